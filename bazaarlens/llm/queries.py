@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
-from . import ann, bpe, chat, mixing, sharding, token_counts, webp
+from . import ann, bpe, chat, mixing, sharding, suffix_dedup, token_counts, webp
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op4_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op5_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal(table(spark, sf_dir, "documents"))
+
+
 def op6_fair_queueing_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -90,7 +94,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_prefix_targets, op4_multiprobe_lsh, op6_fair_queueing_mix, op9_two_pass_shuffle, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_prefix_targets, op4_multiprobe_lsh, op5_interval_expansion, op6_fair_queueing_mix, op9_two_pass_shuffle, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
