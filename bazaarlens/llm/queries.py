@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
-from . import ann, bpe, chat, mixing, sharding, suffix_dedup, token_counts, webp
+from . import ann, bpe, chat, mixing, near_dup, quality, sharding, suffix_dedup, token_counts, webp
 from .common import table
 
 
@@ -80,6 +80,15 @@ FROM queue GROUP BY place
 """
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, quality.grades(table(spark, sf_dir, "labels"))))
+
+
+def op8_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = sharding.two_pass_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
@@ -94,7 +103,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_prefix_targets, op4_multiprobe_lsh, op5_interval_expansion, op6_fair_queueing_mix, op9_two_pass_shuffle, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_prefix_targets, op4_multiprobe_lsh, op5_interval_expansion, op6_fair_queueing_mix, op7_ordinal_quality, op8_bottom_k_near_dup, op9_two_pass_shuffle, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
