@@ -136,14 +136,15 @@ def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
     return found.withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode the ids again and digest both, without moving ids out of the task."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, decode the ids again and digest both in the task; ``with_ids`` also returns the ids."""
 
     def row(i: int, text: str | None) -> tuple:
         own = codec(path)
         ids = own.encode(text)
-        return i, len(ids), hashlib.sha256(own.digits(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+        found = i, len(ids), hashlib.sha256(own.digits(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+        return (*found, ids) if with_ids else found
 
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    found = map_rows(docs, [id_col, text_col], row, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", out)
-    return found.withColumnRenamed("id", id_col)
+    out = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(docs, [id_col, text_col], row, schema, pa.schema(out)).withColumnRenamed("id", id_col)

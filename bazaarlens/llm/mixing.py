@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
+
 WEIGHTS = (3, 1, 2)
 BUDGET, EPOCHS = 1.5, 2
 #: Rows in a slice, on average over all sources.
@@ -29,9 +31,9 @@ SLICE_ROWS = 4000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size)``: the number of words in each text."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """``(doc_id, source, size)`` and the ``extra`` columns: the number of words in each text."""
+    return docs.select(*extra, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(source_sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
@@ -76,16 +78,16 @@ def _running(rows: DataFrame, keys: list[str], slice_col: str, order: list, valu
     return found.join(cells, [*keys, slice_col]).withColumn(out, F.col("_base") + F.col("_run")).drop("_base", "_run")
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 11) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` for each row of ``sizes``; ``copies``
+def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 11, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """``(doc_id, source, size, extra, source_size, target, copies)`` for each row of ``sizes``; ``copies``
     says how often the mix holds the row. ``sized`` should be a stored table: it is read several times."""
     slices = max(64, sized.count() // SLICE_ROWS)
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("key")
-    rows = sized.select("doc_id", key, "size", mark.alias("mark"))
+    rows = sized.select("doc_id", key, "size", mark.alias("mark"), *extra)
     # slices of the seeded order, by the first 32 bits of the mark
     rows = rows.withColumn("slice", F.floor(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") * slices / 2**32))
-    rows = _running(rows, ["key"], "slice", [F.asc("mark"), F.asc("doc_id"), F.asc("size")], "size", "upto", "place")
+    rows = _running(rows, ["key"], "slice", ["mark", "doc_id", "size", *extra], "size", "upto", "place")
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, epochs)
     rows = rows.join(by_source.withColumn("key", key), "key")
     copies = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
@@ -97,22 +99,23 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     total = sized.agg(F.floor(F.sum("size") * F.lit(budget)).alias("_budget"))
     # the budget is one row
     copies = copies.join(F.broadcast(total), F.lit(True)).withColumn("in", (F.col("target") > 0) & (F.col("running") <= F.col("_budget")))
-    whole = copies.groupBy("key", "slice", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")], F.count_if(F.col("in")).alias("copies"))
+    whole = copies.groupBy("key", "slice", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", *extra, "source_size", "target")], F.count_if(F.col("in")).alias("copies"))
     return whole.drop("key", "slice", "place")
 
 
-def mixed(docs: DataFrame, sized: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all their columns.
-    Rows with the same id share its copies: the i-th of them has those of the i-th size."""
-    copies = mix(sized, **parameters).select("doc_id", "size", "copies")
-    same = Window.partitionBy("doc_id").orderBy("size")
-    copies = copies.withColumn("_nth", F.row_number().over(same)).select(F.col("doc_id").alias("_id"), "_nth", F.col("copies").alias("_copies"))
-    numbered = docs.withColumn("_nth", F.row_number().over(same_rows())) if "doc_id" in docs.columns else docs
-    out = numbered.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (numbered["_nth"] == copies["_nth"])).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[out[c] for c in docs.columns])
-
-
-def same_rows():
-    """Rows of an id, by size."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
-    return Window.partitionBy("doc_id").orderBy(size)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all their columns."""
+    ident, rows, keys = F.col(id_col), docs, [id_col]
+    if docs.groupBy(id_col).count().where(f"count > 1 or `{id_col}` is null").limit(1).count():
+        # rows of one id are told apart by a number
+        rows = docs.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, source_col)))
+        keys.append("_nth")
+    extra = keys[1:]
+    sized = materialize(sizes(rows, id_col, text_col, source_col, extra), "sizes")
+    copies = mix(sized, extra=extra, **parameters).where("copies > 0")
+    copies = copies.select(F.col("doc_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in extra], F.col("copies").cast("int").alias("_copies"))
+    on = ident.eqNullSafe(F.col("_id")) if extra else ident == F.col("_id")
+    for k in extra:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    taken = rows.join(copies, on)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -187,3 +187,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     found = rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each group of near duplicates and
+    repeated rows, the one with the smallest id; rows with a null id all stay."""
+    decided = near_duplicates(docs, id_col, text_col, **parameters)
+    ids = decided.where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc_nulls_last(text_col)))
+    stay = docs.join(ids, id_col, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -352,7 +352,7 @@ def without_spans(text: bytes, spans: list) -> tuple[bytes, int]:
 def merged(spans: list) -> list[tuple[int, int]]:
     """Maximal runs of the union; spans that touch are one."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+    for a, b in sorted((s["a"], s["b"]) for s in (() if spans is None else spans)):
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:
