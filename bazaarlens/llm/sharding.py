@@ -29,8 +29,10 @@ LAW = "key"
 
 def shard_of(id_col: Column, shards: int, seed: int = SEED) -> Column:
     """The shard whose seeded hash of the id is highest; a tie goes to the lower shard."""
+    if shards == 1:
+        return F.lit(0)
     best = F.greatest(*[F.struct(F.xxhash64(id_col, F.lit(seed + s)).alias("h"), F.lit(-s).alias("s")) for s in range(shards)])
-    return (-best["s"]).cast("int") if shards > 1 else F.lit(0)
+    return (-best["s"]).cast("int")
 
 
 def grown_shard(id_col: Column, shard: Column, shards: int, seed: int = SEED) -> Column:
