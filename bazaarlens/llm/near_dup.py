@@ -7,14 +7,14 @@ its sketch values but for a chance of about 1e-7, so it is enough to list each c
 rarest values of its sketch, that many that two such classes must meet in one. Values that many
 classes hold (common passages) are in few lists, and values that no other class holds are in none.
 
-Rounds then confirm links on full sets: (1) every class of a list is paired with the list's first
-one; the union sketch estimates each pair, and the best pair of a class is confirmed. Connected
-components follow. (2) In lists that hold more than one component, all pairs of different
-components that the estimate lets through are confirmed, if the list has at most LIST classes. (3)
-Longer lists are cut by the exact prefix filter: a pair over the threshold shares one of the rarest
-shingles of each full set, (1 - THRESHOLD) of the set and one more; pairs of different components in
-those lists are confirmed. So links inside a component are not confirmed one by one, and no link
-between components is lost for a list's length.
+Two rounds then confirm links on full sets. (1) Every class of a list is paired with the list's
+class that has the fewest values of its own, the one most like the others; the union sketch estimates each pair, and the best pair of a class is confirmed. Connected
+components follow. (2) Classes of lists that still hold more than one component go through the exact
+prefix filter: two sets over the threshold meet in one of the rarest shingles of each, before fewer
+shingles are left in either than the pair must have in common; shingles that only one set has come
+first and list nothing. Pairs of different components that meet there and pass the estimate are
+confirmed. So links inside a component are not confirmed one by one, pairs of a large family that can't
+be links are not made, and no link between components is lost for a list's length.
 
 Defined results: words are split at ASCII white space, A-Z is lowered; a set of fewer words than a
 shingle has is the whole sequence; null and empty texts have an empty set and no links; rows with the
@@ -39,7 +39,6 @@ from ..plans.storage import materialize
 SHINGLE, K = 5, 64
 #: A link's similarity, in hundredths; the share of the sketch that candidates have in common at least.
 THRESHOLD, SHARED = 85, 0.62
-LIST = 48
 
 _RNG = np.random.default_rng(5)
 _FACTORS = [int(x) | 1 for x in _RNG.integers(0, 2**63, 64)]
@@ -99,13 +98,14 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
 
 
 def _rarest(values: DataFrame, owner: str, take: Column) -> DataFrame:
-    """``(v, owner)``: of the rows (v, owner, n) of each owner, its rarest values; ``take`` of them, less
-    those that no other owner has, which come first and can't bring two owners together."""
+    """``(v, owner, of, alone, place)``: of the rows (v, owner, of) of each owner, its rarest values,
+    ``take`` of them, numbered from 1. Values that no other owner has (``alone`` of them) are numbered
+    first, but can't bring two owners together and are left out."""
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = values.join(shared.hint("merge"), "v")
     by = Window.partitionBy(owner)
-    rows = rows.withColumn("alone", F.col("of") - F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy("df", "v")))
-    return rows.where(F.col("place") <= take - F.col("alone")).select("v", owner)
+    rows = rows.withColumn("alone", F.col("of") - F.count(F.lit(1)).over(by))
+    return rows.withColumn("place", F.col("alone") + F.row_number().over(by.orderBy("df", "v"))).where(F.col("place") <= take).select("v", owner, "of", "alone", "place")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -122,23 +122,32 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, shared: float, thre
     return both.withColumn("e", _estimate(F.col("as"), F.col("bs"), k)).where(F.col("e") >= shared).select("a", "b", "e")
 
 
-def _apart(lists: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of a list's classes (v, sig, n, comp) that are in different components."""
-    other = lists.select("v", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-    near = (F.col("sig") < F.col("b")) & (F.col("comp") != F.col("bc")) & (100 * F.least("n", "bn") >= threshold * F.greatest("n", "bn"))
-    return lists.join(other, (lists["v"] == other["v"]) & near).select(F.col("sig").alias("a"), "b").distinct()
+def _apart(sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of the sets (sig, comp, items) that may be links, by the exact prefix filter, and are in
+    different components."""
+    own = sets.select(F.xxhash64("sig").alias("id"), F.size("items").cast("long").alias("of"), F.explode("items").alias("v"))
+    larger = F.col("of") - F.ceil(F.col("of") * threshold / 100) + 1
+    smaller = F.col("of") - F.ceil(F.col("of") * 2 * threshold / (100 + threshold)) + 1
+    rare = _rarest(own, "id", larger).join(sets.select(F.xxhash64("sig").alias("id"), "sig", "comp"), "id")
+    short = rare.where(F.col("place") <= smaller).select("v", F.col("sig").alias("y"), F.col("of").alias("yn"), F.col("comp").alias("yc"), F.col("place").alias("yp"))
+    near = (F.col("comp") != F.col("yc")) & (F.col("yn") <= F.col("of")) & (100 * F.col("yn") >= threshold * F.col("of"))
+    # what two sets of these sizes must have in common; they must meet before so many are left in either
+    common = F.ceil(threshold * (F.col("of") + F.col("yn")) / (100 + threshold) - 1e-9)
+    near = near & (F.col("place") <= F.col("of") - common + 1) & (F.col("yp") <= F.col("yn") - common + 1)
+    met = rare.join(short, (rare["v"] == short["v"]) & near)
+    return met.select(F.least("sig", "y").alias("a"), F.greatest("sig", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, threshold: int = THRESHOLD, shared: float = SHARED, longest: int = LIST) -> DataFrame:
+def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, threshold: int = THRESHOLD, shared: float = SHARED) -> DataFrame:
     """``(src, dst)``: confirmed links between class representatives (smallest ids) that connect all
-    documents which links connect; and classes' members, as ``(class, member)`` of the same columns."""
+    classes which links connect."""
     own = sketched.where("n > 0 and doc_id is not null")
     classes = materialize(own.groupBy("sig").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     held = F.size("sketch")
     values = classes.select("sig", held.cast("long").alias("of"), F.explode("sketch").alias("v"))
-    lists = materialize(_rarest(values, "sig", F.col("of") - F.ceil(F.col("of") * shared) + 1), "lists")
+    lists = materialize(_rarest(values, "sig", F.col("of") - F.ceil(F.col("of") * shared) + 1).select("v", "sig", "alone"), "lists")
 
-    leaders = lists.groupBy("v").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    leaders = lists.groupBy("v").agg(F.min(F.struct("alone", "sig")).alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("v", F.col("a.sig").alias("a"))
     listed = lists.join(leaders.hint("merge"), "v")
     light = classes.select("sig", "cls", "n")
     wanted = listed.select("sig").distinct().join(light, "sig")
@@ -156,20 +165,12 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
 
     edges = as_ids(first)
     comps = connected_components(edges)
-    now = listed.join(light, "sig").join(comps, F.col("cls") == F.col("node"), "left").select("v", "sig", "n", "members", F.coalesce("component", "cls").alias("comp"))
+    now = listed.join(light, "sig").join(comps, F.col("cls") == F.col("node"), "left").select("v", "sig", F.coalesce("component", "cls").alias("comp"))
     now = materialize(now, "lists-apart")
     mixed = now.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("v")
-    now = now.join(mixed.hint("merge"), "v")
-    second = _confirmed(_estimated(_apart(now.where(F.col("members") <= longest), threshold), classes, k, shared, threshold).select("a", "b"), sets, threshold)
-    edges = edges.unionByName(as_ids(materialize(second, "links")))
-
-    long_ = now.where(F.col("members") > longest).select("sig", "n", "comp").distinct()
-    if long_.limit(1).count():
-        items = long_.join(sets, "sig").select("sig", F.col("n").alias("of"), F.explode("items").alias("v"))
-        rare = _rarest(items, "sig", F.col("of") - F.ceil(F.col("of") * threshold / 100) + 1)
-        pairs = _estimated(_apart(rare.join(long_, "sig"), threshold), classes, k, shared, threshold)
-        edges = edges.unionByName(as_ids(materialize(_confirmed(pairs.select("a", "b"), sets, threshold), "links")))
-    return edges
+    open_ = materialize(now.join(mixed.hint("merge"), "v").select("sig", "comp").distinct().join(sets, "sig"), "open")
+    pairs = _estimated(_apart(open_, threshold), classes, k, shared, threshold).select("a", "b")
+    return edges.unionByName(as_ids(materialize(_confirmed(pairs, sets, threshold), "links")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
