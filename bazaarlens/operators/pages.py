@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import features as X
 from ..functions import markup
-from ..functions.text import canonical_url, join_url, normalize_listing, price_plain
+from ..functions.text import canonical_url, join_url, normalize_listing, price_plain, unescape_html
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,13 @@ MERCHANTS = [
 ]
 
 #: Signs of a page that blocks readers, in lower case. Fixed values.
-BLOCKED = ["captcha", "access denied", "forbidden", "robot", "cloudflare", "güvenlik doğrulaması"]
+BLOCKED = ["just a moment", "are you a human", "captcha", "access denied", "güvenlik doğrulaması", "security check", "cloudflare"]
+
+#: Marketplaces by domain, in order. Fixed values.
+MARKETPLACES = {
+    "trendyol.com": "Trendyol", "hepsiburada.com": "Hepsiburada", "amazon.com.tr": "Amazon", "n11.com": "n11", "pttavm.com": "PttAVM", "idefix.com": "idefix", "pazarama.com": "Pazarama",
+    "mediamarkt.com.tr": "MediaMarkt", "vatanbilgisayar.com": "Vatan", "teknosa.com": "Teknosa",
+}
 
 
 def is_blocked(html: Column, title: Column) -> Column:
@@ -159,18 +165,44 @@ def node_score(good: Column, price: Column, bad: Column, promo: Column, promo_pa
     return total
 
 
-def comparison_offers(listing: Column) -> Column:
-    """Offers that a price comparison page holds as text, cheapest first: (vendor, price, url), other sites
-    only, each address once."""
-    each = F.regexp_extract_all(listing, F.lit(r'"vendorName":"([^"]*)","price":([0-9.]+),"url":"(http[^"]+)"'), F.lit(0))
-    part = lambda o, k: F.regexp_extract(o, r'"vendorName":"([^"]*)","price":([0-9.]+),"url":"(http[^"]+)"', k)
-    rows = F.transform(each, lambda o: F.struct(part(o, 2).try_cast("double").alias("price"), part(o, 1).alias("vendor"), F.get(F.split(part(o, 3), r"\?"), 0).alias("url")))
-    return F.array_sort(F.array_distinct(F.filter(rows, lambda r: (r["price"] > 0) & ~r["url"].contains("akakce.com"))))
-
-
-def marketplace_of(url: Column, known: dict[str, str]) -> Column:
+def marketplace_of(url: Column, known: dict[str, str] = MARKETPLACES) -> Column:
     """The first marketplace whose domain the address contains, else Other."""
     out = F.lit("Other")
     for domain, name in reversed(known.items()):
         out = F.when(F.contains(url, F.lit(domain)), name).otherwise(out)
     return out
+
+
+def comparison_offers(pages: DataFrame, keys: list[str], own_domain: str) -> DataFrame:
+    """``(keys, place, price, seller, marketplace, url)``: offers that a comparison page holds as JSON-LD text,
+    cheapest first. Only prices above 0 and addresses of other sites; each address once, whatever its query."""
+    pattern = r'"@type":"Offer","availability":"[^"]*","price":"([0-9.]+)","url":"([^"]+)","seller":\{"@type":"Organization","name":"([^"]+)"'
+    rows = pages.withColumn("_t", unescape_html("html")).select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).alias("pos", "o"))
+    part = lambda k: F.regexp_extract("o", pattern, k)
+    rows = rows.select(*keys, "pos", part(1).try_cast("double").alias("price"), part(2).alias("url"), F.element_at(F.split(part(3), "/"), -1).alias("seller"))
+    rows = rows.where((F.col("price") > 0) & F.col("url").startswith("http") & ~F.contains("url", F.lit(own_domain)))
+    once = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, F.get(F.split("url", r"\?"), 0)).orderBy("pos"))).where("n = 1")
+    return once.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("price", "pos")).alias("place"), "price", "seller", marketplace_of(F.col("url")).alias("marketplace"), "url")
+
+
+def comparison_products(pages: DataFrame, keys: list[str], base: str) -> DataFrame:
+    """``(keys, pos, name, price, brand, vendor, image, url, code)``: products in a comparison page's embedded
+    state, each address (or name, without one) once. Name and price are required."""
+    block = r'\[0,\{"code":\[0,\d+\].*?\}\]'
+    rows = pages.withColumn("_t", unescape_html("html")).select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(block), F.lit(0))).alias("pos", "b"))
+    text = lambda key, shape=r'"([^"]+)"': F.nullif(F.regexp_extract("b", rf'"{key}":\[0,{shape}\]', 1), F.lit(""))
+    url = text("url")
+    rows = rows.select(
+        *keys, "pos", text("name", r'"([^"]{5,200})"').alias("name"), text("price", r"([0-9.]+)").try_cast("double").alias("price"), text("mkName").alias("brand"), text("vdName").alias("vendor"),
+        text("imageUrl").alias("image"), F.when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url).alias("url"), text("code", r"(\d+)").alias("code"),
+    )
+    rows = rows.where("name is not null and price is not null")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, F.coalesce("url", "name")).orderBy("pos"))).where("n = 1").drop("n")
+
+
+def title_confirms(page_title: Column, name: Column) -> Column:
+    """Whether two or more of the name's first eight words of four letters are in the page's title; so an
+    item list isn't taken for a product page."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9çğıöşü]{4,}"), F.lit(0))
+    words = F.slice(F.filter(words, lambda t: ~t.isin("urun", "fiyat", "model")), 1, 8)
+    return F.size(F.filter(words, lambda t: F.contains(F.lower(F.coalesce(page_title, F.lit(""))), t))) >= 2

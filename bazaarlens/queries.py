@@ -276,7 +276,7 @@ def url_canonical(spark, d):
     return A.table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, regexp_matches(lower(coalesce(regexp_extract(html, '<title>([^<]*)', 1), '') || ' ' || substr(html, 1, 12000)), 'captcha|access denied|forbidden|robot|cloudflare|güvenlik doğrulaması') AS blocked FROM pages")
+@query("SELECT page_id, regexp_matches(lower(coalesce(regexp_extract(html, '<title>([^<]*)', 1), '') || ' ' || substr(html, 1, 12000)), 'just a moment|are you a human|captcha|access denied|güvenlik doğrulaması|security check|cloudflare') AS blocked FROM pages")
 def blocked_pages(spark, d):
     return A.table(spark, d, "pages").select("page_id", pages.is_blocked(F.col("html"), F.regexp_extract("html", "<title>([^<]*)", 1)).alias("blocked"))
 

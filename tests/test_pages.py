@@ -67,8 +67,24 @@ def test_small_columns(spark):
     assert df.select(pages.best_card_price(F.col("n"))).first()[0] == "7 TL"
     yes, no = F.lit(True), F.lit(False)
     assert df.select(pages.node_score(yes, yes, no, no, no, yes, yes)).first()[0] == 170
-    text = '"vendorName":"A","price":12.5,"url":"https://x/1?u=2" "vendorName":"A","price":12.5,"url":"https://x/1?u=3" "vendorName":"B","price":9,"url":"https://y/2" "vendorName":"C","price":0,"url":"https://z"'
-    rows = df.select(pages.comparison_offers(F.lit(text))).first()[0]
-    assert [(r.price, r.vendor, r.url) for r in rows] == [(9.0, "B", "https://y/2"), (12.5, "A", "https://x/1")]
     assert df.select(pages.marketplace_of(F.lit("https://www.n11.com/x"), {"n11.com": "n11", "vatan": "Vatan"})).first()[0] == "n11"
     assert df.select(pages.is_blocked(F.lit("<p>Please solve the CAPTCHA</p>"), F.lit(None))).first()[0]
+
+
+def offer(price, url, seller="shop/A"):
+    return f'{{"@type":"Offer","availability":"x","price":"{price}","url":"{url}","seller":{{"@type":"Organization","name":"{seller}"}}}}'
+
+
+def test_comparison_pages(spark):
+    html = offer("12.5", "https://www.n11.com/1?u=2") + offer("12.5", "https://www.n11.com/1?u=3") + offer("9", "https://y/2", "B") + offer("0", "https://z") + offer("5", "https://own.com/x") + offer("5", "/rel")
+    state = '[0,{"code":[0,1],"name":[0,"First product"],"price":[0,10.5],"url":[0,"/p,1.html"],"mkName":[0,"B"],"vdName":[0,"V"]}] [0,{"code":[0,2],"name":[0,"First product"],"price":[0,11],"url":[0,"/p,1.html"]}] [0,{"code":[0,3],"name":[0,"abc"],"price":[0,1]}]'
+    df = spark.createDataFrame([(1, html), (2, state.replace('"', "&quot;")), (3, None)], "id int, html string")
+    rows = pages.comparison_offers(df, ["id"], "own.com").orderBy("place").collect()
+    assert [(r.price, r.seller, r.marketplace, r.url) for r in rows] == [(9.0, "B", "Other", "https://y/2"), (12.5, "A", "n11", "https://www.n11.com/1?u=2")]
+    (p,) = pages.comparison_products(df, ["id"], "https://own.com").collect()
+    assert (p.id, p.name, p.price, p.brand, p.vendor, p.url, p.code) == (2, "First product", 10.5, "B", "V", "https://own.com/p,1.html", "1")
+
+
+def test_title_confirms(spark):
+    df = spark.createDataFrame([("Icon Kupa Stanley | Shop", "Stanley Icon kupa"), ("Kategori", "Stanley Icon"), (None, None)], "t string, n string")
+    assert [r[0] for r in df.select(pages.title_confirms(F.col("t"), F.col("n"))).collect()] == [True, False, False]
