@@ -29,6 +29,8 @@ class Merchant:
     relevance: bool = False
     #: Ids in addresses, for pages without one.
     id_in_url: str = r"-(\d+)$"
+    #: What an id in the page looks like; it is written in capitals then.
+    id_pattern: str | None = None
     #: Where the brand is missing, the title's first word.
     brand_from_title: bool = False
     gallery: bool = False
@@ -36,9 +38,9 @@ class Merchant:
 
 MERCHANTS = [
     Merchant("n11", r"n11\.com.*/urun/", gallery=True),
-    Merchant("hepsiburada", r"hepsiburada\.com/.*-pm?-", id_in_url=r"-pm?-([A-Za-z0-9]+)$", brand_from_title=True),
+    Merchant("hepsiburada", r"^https?://(www\.)?hepsiburada\.com/.*(?i)-p[-/]", id_in_url=r"(?i)-p-([A-Z0-9]+)$", id_pattern=r"(?i)\b(HB(?:CV|V)?[A-Z0-9]+)\b", brand_from_title=True),
     Merchant("mediamarkt", r"mediamarkt\.com\.tr/tr/product/.*\.html$", relevance=True, id_in_url="^$", brand_from_title=True),
-    Merchant("vatan", r"vatanbilgisayar\.com/.*\.html$", not_link=r"/(kategori|marka|arama)", relevance=True, id_in_url="^$", brand_from_title=True),
+    Merchant("vatan", r"^https?://(www\.)?vatanbilgisayar\.com/.*(?i)\.html$", not_link=r"(?i)/(kategori|marka|arama)/", relevance=True, id_in_url="^$", brand_from_title=True),
 ]
 
 #: Signs of a page that blocks readers, in lower case. Fixed values.
@@ -129,11 +131,15 @@ def parsed_items(pages: DataFrame, merchants: list[Merchant] = MERCHANTS, limit:
     p = pages.where("kind = 'product'").withColumn("product", F.get(markup.product_json("html"), 0)).where("product is not null")
     p = p.withColumn("offer", first_offer("product")).withColumn("title", F.trim(F.coalesce(_json("product", "$.name"), F.lit(""))))
     known, from_title, relevance, gallery, url_id = F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.lit("")
+    said = [F.trim(F.coalesce(_json("product", f"$.{k}"), F.lit(""))) for k in ("sku", "productID", "mpn")]
     for m in merchants:
         own = F.col("merchant") == m.slug
         known, from_title, relevance, gallery = known | own, from_title | (own & F.lit(m.brand_from_title)), relevance | (own & F.lit(m.relevance)), gallery | (own & F.lit(m.gallery))
-        url_id = F.when(own, F.regexp_extract(canonical_url(F.col("url")), m.id_in_url, 1) if "(" in m.id_in_url else F.lit("")).otherwise(url_id)
-    ident = F.coalesce(*[F.nullif(F.trim(_json("product", f"$.{k}")), F.lit("")) for k in ("sku", "productID", "mpn")], F.nullif(url_id, F.lit("")))
+        in_url = F.regexp_extract(canonical_url(F.col("url")), m.id_in_url, 1) if "(" in m.id_in_url else F.lit("")
+        url_id = F.when(own, F.upper(in_url) if m.id_pattern else in_url).otherwise(url_id)
+        if m.id_pattern:
+            said = [F.when(own, F.upper(F.regexp_extract(x, m.id_pattern, 1))).otherwise(x) for x in said]
+    ident = F.coalesce(*[F.nullif(x, F.lit("")) for x in said], F.nullif(url_id, F.lit("")))
     price = F.coalesce(*[F.when(price_plain(_json("offer", f"$.{k}")) != 0, price_plain(_json("offer", f"$.{k}"))) for k in ("price", "lowPrice")])
     brand = F.coalesce(_text_or_first("product", "brand", "name"), F.when(from_title, F.get(F.split("title", r"\s+"), 0)))
     p = p.where(known).withColumns({"merchant_product_id": ident, "price": price, "brand": brand, "relevance": relevance, "gallery": gallery})
@@ -206,3 +212,11 @@ def title_confirms(page_title: Column, name: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9çğıöşü]{4,}"), F.lit(0))
     words = F.slice(F.filter(words, lambda t: ~t.isin("urun", "fiyat", "model")), 1, 8)
     return F.size(F.filter(words, lambda t: F.contains(F.lower(F.coalesce(page_title, F.lit(""))), t))) >= 2
+
+
+def search_url(query: Column, routes: dict[str, str], base: str) -> Column:
+    """Where to search: the first word of the query that has a category page of its own, else the search page."""
+    words = F.split(normalize_listing(query), " ")
+    table = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair]) if routes else None
+    found = F.get(F.filter(F.transform(words, lambda w: table[w]), lambda u: u.isNotNull()), 0) if routes else F.lit(None)
+    return F.coalesce(found, F.concat(F.lit(base), F.replace(F.url_encode(query), F.lit("+"), F.lit("%20"))))

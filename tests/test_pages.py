@@ -88,3 +88,14 @@ def test_comparison_pages(spark):
 def test_title_confirms(spark):
     df = spark.createDataFrame([("Icon Kupa Stanley | Shop", "Stanley Icon kupa"), ("Kategori", "Stanley Icon"), (None, None)], "t string, n string")
     assert [r[0] for r in df.select(pages.title_confirms(F.col("t"), F.col("n"))).collect()] == [True, False, False]
+
+
+def test_ids_by_pattern(spark):
+    url = "https://www.hepsiburada.com/icon-p-hbcv00001"
+    rows = [page(ld(product(sku="hbv0000ab")), "hepsiburada", url=url, pos=0), page(ld(product(sku="other")), "hepsiburada", url=url + "2", pos=1)]
+    assert sorted(r.merchant_product_id for r in items(spark, rows)) == ["HBCV000012", "HBV0000AB"]
+
+
+def test_search_addresses(spark):
+    df = spark.createDataFrame([("Çelik Termos",), ("icon kupa",)], "q string")
+    assert [r[0] for r in df.select(pages.search_url(F.col("q"), {"termos": "https://x/termos"}, "https://x/ara?q=")).collect()] == ["https://x/termos", "https://x/ara?q=icon%20kupa"]
