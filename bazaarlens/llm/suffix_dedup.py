@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialize
 
 LENGTH, ANCHOR = 200, 48
-#: Distinct segments of an anchor above which it is cut finer; bytes of text in a bin, on average.
-HOT, BIN_BYTES = 512, 1 << 20
+#: Bytes of text in a bin, on average.
+BIN_BYTES = 1 << 20
+#: Distinct segments of an anchor (of about 256 bytes) that would fill a bin alone; above, it is cut finer.
+HOT = BIN_BYTES // 256
 #: Bytes of documents that are hashed at once.
 CHUNK = 4 << 20
 
