@@ -105,36 +105,50 @@ def segments(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tu
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` symbols at least. Symbols are 1 to 256; 0 ends a piece,
-    each end differs from all others and they are ordered by place. The last symbol is 0."""
+    each end differs from all others, in any order. The last symbol is 0."""
     n = len(symbols)
-    span = 7
-    ends = symbols == 0
-    key = np.zeros(n, np.uint64)
-    open_ = np.ones(n, bool)  # no end so far
-    wide = np.concatenate([symbols.astype(np.uint64), np.zeros(span, np.uint64)])
-    for k in range(span):
-        key = key << np.uint64(9) | np.where(open_, wide[k : k + n], np.uint64(0))
-        open_[: n - k] &= ~ends[k:]
-        open_[n - k :] = False
-    order = np.argsort(key, kind="stable")
-    key, done = key[order], ~open_[order]
+    used = np.flatnonzero(np.bincount(symbols, minlength=257))
+    dense = np.zeros(257, np.uint64)
+    dense[used] = np.arange(len(used))
+    bits = max(1, int(len(used) - 1).bit_length())
+    span = 63 // bits
+    padded = np.concatenate([dense[symbols], np.zeros(span, np.uint64)])
+    key = padded[:n].copy()
+    for k in range(1, span):
+        key <<= np.uint64(bits)
+        key |= padded[k : n + k]
+    ends = np.flatnonzero(symbols == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    done = left < span
+    # nothing from the end on counts
+    key &= ~((np.uint64(1) << np.uint64(bits) * np.arange(span, -1, -1, dtype=np.uint64)) - np.uint64(1))[np.minimum(left, span)]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = (key[1:] != key[:-1]) | done[1:]  # a suffix that has met its end is alone
+    new[1:] = (key[1:] != key[:-1]) | done[order[1:]]  # a suffix that has met its end is alone
+    places, rows = np.arange(n), order
     rank = np.empty(n, np.int64)
     while True:
+        # groups of the rows that were together so far; a group's rank is its first place
         starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, n))
-        rank[order] = np.repeat(starts, sizes)
-        if span >= depth or len(starts) == n:
+        sizes = np.diff(np.append(starts, len(rows)))
+        rank[rows] = np.repeat(places[starts], sizes)
+        together = np.repeat(sizes > 1, sizes)
+        places, rows = places[together], rows[together]
+        if span >= depth or not len(rows):
             return order
-        at = np.flatnonzero(np.repeat(sizes > 1, sizes))  # places of groups that are still together
-        rows = order[at]
         # no suffix of such a group meets its end within span symbols, so the next rank exists
-        both = np.repeat(starts, sizes)[at] << 32 | rank[np.minimum(rows + span, n - 1)]
-        by = np.argsort(both, kind="stable")
-        order[at], both = rows[by], both[by]
-        new[at[1:]] |= both[1:] != both[:-1]
-        span *= 2
+        after = rank[np.minimum(rows + span, n - 1)]
+        if n < 1 << 21:  # two further ranks fit; past an end, the second means nothing and the first is unique
+            both = rank[rows] << 42 | after << 21 | rank[np.minimum(rows + 2 * span, n - 1)]
+        else:
+            both = rank[rows] << 32 | after
+        by = np.argsort(both)
+        rows, both = rows[by], both[by]
+        order[places] = rows
+        new = np.ones(len(rows), bool)
+        new[1:] = both[1:] != both[:-1]
+        span *= 3 if n < 1 << 21 else 2
 
 
 def shared_prefix_bounds(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -151,7 +165,7 @@ def shared_prefix_bounds(symbols: np.ndarray, order: np.ndarray, length: int) ->
     place[order] = np.arange(n, dtype=np.int32)
     before = order - 1
     last_to_first = place[before]  # of the first suffix too; its symbol before is an end
-    transform = symbols[before]
+    last_to_first[symbols[before] == 0] = -1
     first = symbols[order]
     known = np.zeros(n + 1, bool)
     known[: np.count_nonzero(symbols == 0) + 1] = True  # ends differ from each other and from all symbols
@@ -164,9 +178,10 @@ def shared_prefix_bounds(symbols: np.ndarray, order: np.ndarray, length: int) ->
         if not total:
             break
         ids = np.repeat(np.arange(1, len(low) + 1, dtype=np.int32), sizes)
-        rows = np.arange(total) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes) if len(low) > 1 else np.arange(low[0], high[0] + 1)
-        keep = transform[rows] != 0
-        to, ids = last_to_first[rows[keep]], ids[keep]
+        rows = np.arange(total, dtype=np.int32) + np.repeat((low - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        to = last_to_first[rows]  # -1 after an end
+        inner = to >= 0
+        to, ids = to[inner], ids[inner]
         if len(to) > n >> 4:
             mark[:] = 0
             mark[to] = ids
@@ -177,7 +192,7 @@ def shared_prefix_bounds(symbols: np.ndarray, order: np.ndarray, length: int) ->
             to, ids = to[by], ids[by]
         if not len(to):
             break
-        breaks = np.flatnonzero((np.diff(to) != 1) | (np.diff(ids) != 0) | (np.diff(first[to].astype(np.int16)) != 0))
+        breaks = np.flatnonzero((to[1:] != to[:-1] + 1) | (ids[1:] != ids[:-1]) | (first[to[1:]] != first[to[:-1]]))
         low = to[np.append(0, breaks + 1)]
         high = to[np.append(breaks, len(to) - 1)]
         fresh = ~known[high + 1]
