@@ -323,16 +323,13 @@ def _judged(pieces: DataFrame, bins: int, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, keys: list[str], length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, bin_bytes: int = BIN_BYTES) -> DataFrame:
     """``(keys, spans array<struct<a, b>>)``: for each document with repeats, spans [a, b) of bytes that
     repeated strings cover; they may overlap. ``docs`` has the keys and ``text``, and keys are unique."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange serves both the count and the rows; the rows of an anchor stream past its count
-    found = _occurrences(docs, keys, length, anchor).repartition(parts, "anchor")
+    found = materialize(_occurrences(docs, keys, length, anchor), "segments")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     places = materialize(found.join(again.hint("merge"), "anchor"), "anchors")
     distinct = places.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct(*keys, "first", "last")).alias("at"))
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     distinct = distinct.join(kinds.hint("merge"), "anchor").select("anchor", "seg", "weight", "at.*", (F.col("kinds") > hot).alias("hot"))
-    distinct = materialize(distinct, "segments")
+    distinct = materialize(distinct, "distinct-segments")
     size, any_hot = distinct.agg(F.sum(F.col("last") - F.col("first") + length), F.max("hot")).first()
     bins = max(1, -(-(size or 0) // bin_bytes))
     pieces = _pieces(docs, distinct, keys, length)
