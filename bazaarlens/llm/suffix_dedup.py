@@ -332,12 +332,11 @@ def repeated_spans(docs: DataFrame, keys: list[str], length: int = LENGTH, ancho
     distinct = materialize(distinct, "distinct-segments")
     size, any_hot = distinct.agg(F.sum(F.col("last") - F.col("first") + length), F.max("hot")).first()
     bins = max(1, -(-(size or 0) // bin_bytes))
-    pieces = _pieces(docs, distinct, keys, length)
+    pieces = materialize(_pieces(docs, distinct, keys, length), "pieces")
     names = ["anchor", "seg"]
     if not any_hot:
         runs = _judged(pieces.withColumn("dealt", F.xxhash64("anchor")), bins, length).select(*names, "runs")
     else:
-        pieces = materialize(pieces, "pieces")
         single = pieces.where("hot")
         # copies of a string are counted before they move
         counted = single.groupBy("piece").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes")).where("weight > 1")
