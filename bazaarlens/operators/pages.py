@@ -156,21 +156,6 @@ def parsed_items(pages: DataFrame, merchants: list[Merchant] = MERCHANTS, limit:
     )
 
 
-def best_card_price(nodes: Column) -> Column:
-    """The price text of a rendered card: of (text, score, order) the highest score that is 0 or more, first in order."""
-    fine = F.filter(nodes, lambda n: n["score"] >= 0)
-    return F.get(F.transform(F.array_sort(F.transform(fine, lambda n: F.struct((-n["score"]).alias("s"), n["order"].alias("o"), n["text"].alias("t")))), lambda n: n["t"]), 0)
-
-
-def node_score(good: Column, price: Column, bad: Column, promo: Column, promo_parent: Column, leaf: Column, single: Column) -> Column:
-    """What a node of a card says for being the current price. Fixed values."""
-    parts = ((good, 100), (price, 35), (bad, -140), (promo, -180), (promo_parent, -80), (leaf, 20), (single, 15))
-    total = F.lit(0)
-    for flag, points in parts:
-        total = total + F.when(flag, points).otherwise(0)
-    return total
-
-
 def marketplace_of(url: Column, known: dict[str, str] = MARKETPLACES) -> Column:
     """The first marketplace whose domain the address contains, else Other."""
     out = F.lit("Other")

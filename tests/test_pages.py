@@ -63,10 +63,7 @@ def test_links(spark):
 
 
 def test_small_columns(spark):
-    df = spark.sql("SELECT array(named_struct('text','9 TL','score',-1,'order',0), named_struct('text','5 TL','score',30,'order',2), named_struct('text','7 TL','score',30,'order',1)) n")
-    assert df.select(pages.best_card_price(F.col("n"))).first()[0] == "7 TL"
-    yes, no = F.lit(True), F.lit(False)
-    assert df.select(pages.node_score(yes, yes, no, no, no, yes, yes)).first()[0] == 170
+    df = spark.range(1)
     assert df.select(pages.marketplace_of(F.lit("https://www.n11.com/x"), {"n11.com": "n11", "vatan": "Vatan"})).first()[0] == "n11"
     assert df.select(pages.is_blocked(F.lit("<p>Please solve the CAPTCHA</p>"), F.lit(None))).first()[0]
 
