@@ -76,10 +76,11 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def rated_features(docs: DataFrame, rated: DataFrame, most: int = RATED) -> DataFrame:
-    """``(grade, features)`` of at most ``most`` rated documents, the same ones on each run."""
+    """``(grade, doc_id, features)`` of at most ``most`` rated documents, the same ones on each run; an id that
+    documents repeat counts once."""
     sample = rated.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` rows of two numbers
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     out = pa.schema([("grade", pa.int32()), ("doc_id", pa.int64()), ("features", pa.list_(pa.int32()))])
     return map_rows(chosen, ["grade", "doc_id", "text"], lambda g, i, t: (g, i, features(t)), "grade int, doc_id long, features array<int>", out)
 
@@ -93,37 +94,39 @@ class Model:
         return 1 / (1 + np.exp(self.thresholds - float(self.weights[found].sum(dtype=np.float64))))
 
 
-def fit(rows: list[tuple[int, list[int]]], n_grades: int = GRADES, rounds: int = 250, decay: float = 1e-3, seen: int = SEEN) -> Model | None:
-    """Full-batch Adam on the log-likelihood, each grade with the same total weight up to a root."""
-    y = np.array([g for g, _ in rows])
+def fit(grade: np.ndarray, counts: np.ndarray, found: np.ndarray, n_grades: int = GRADES, rounds: int = 250, decay: float = 1e-3, seen: int = SEEN) -> Model | None:
+    """Full-batch Adam on the log-likelihood, rare grades weighing more. ``counts`` says how many of the
+    features ``found`` belong to each document."""
+    y = grade.astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    which = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    what = np.concatenate([np.array(f, np.int64) for _, f in rows])
-    own, place = np.unique(what, return_inverse=True)
-    often = np.bincount(place) >= seen
-    number = np.cumsum(often) - 1
-    keep = often[place]
-    which, place, own = which[keep], number[place[keep]], own[often]
+    tally = np.bincount(found, minlength=1 << BITS)
+    own = np.flatnonzero(tally >= seen)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[own] = np.arange(len(own), dtype=np.int32)
+    place = number[found]
+    of = np.repeat(np.arange(len(y), dtype=np.int32), counts)[place >= 0]
+    place = place[place >= 0]
+    counts = np.bincount(of, minlength=len(y))
+    ends = np.cumsum(counts)
+    del of, number, tally
     share = np.sqrt(len(y) / (n_grades * np.maximum(1, np.bincount(y, minlength=n_grades))))
     each = share[y] / share[y].sum()
-    w, t, gaps = np.zeros(len(own)), np.zeros(1), np.zeros(n_grades - 2)
-    theta = np.concatenate([w, t - 0.5, gaps])
+    row = np.arange(len(y))
+    theta = np.concatenate([np.zeros(len(own)), [-0.5], np.zeros(n_grades - 2)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         w, low, gaps = theta[: len(own)], theta[len(own)], np.exp(theta[len(own) + 1 :])
         cuts = low + np.concatenate([[0], np.cumsum(gaps)])
-        s = np.bincount(which, w[place], len(rows))
+        sums = np.concatenate([[0.0], np.cumsum(w[place])])
+        s = sums[ends] - sums[ends - counts]
         upto = 1 / (1 + np.exp(np.clip(s[:, None] - cuts, -40, 40)))
         wide = np.hstack([np.zeros((len(y), 1)), upto, np.ones((len(y), 1))])
         slope = np.hstack([np.zeros((len(y), 1)), upto * (1 - upto), np.zeros((len(y), 1))])
-        p = np.maximum(wide[np.arange(len(y)), y + 1] - wide[np.arange(len(y)), y], 1e-9)
-        up, down = slope[np.arange(len(y)), y + 1] / p * each, slope[np.arange(len(y)), y] / p * each
-        by_cut = np.zeros(n_grades + 1)
-        np.add.at(by_cut, y + 1, -up)
-        np.add.at(by_cut, y, down)
-        by_cut = by_cut[1:-1]
-        grad = np.concatenate([np.bincount(place, (up - down)[which], len(own)) + decay * w, [by_cut.sum()], [by_cut[j + 1 :].sum() * gaps[j] for j in range(n_grades - 2)]])
+        p = np.maximum(wide[row, y + 1] - wide[row, y], 1e-9)
+        up, down = slope[row, y + 1] / p * each, slope[row, y] / p * each
+        by_cut = (np.bincount(y, down, n_grades + 1) - np.bincount(y + 1, up, n_grades + 1))[1:-1]
+        grad = np.concatenate([np.bincount(place, np.repeat(up - down, counts), len(own)) + decay * w, [by_cut.sum()], [by_cut[j + 1 :].sum() * gaps[j] for j in range(n_grades - 2)]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
@@ -133,10 +136,14 @@ def fit(rows: list[tuple[int, list[int]]], n_grades: int = GRADES, rounds: int =
 
 def train(docs: DataFrame, rated: DataFrame, most: int = RATED, n_grades: int = GRADES) -> Model | None:
     """A model of at most ``most`` rated documents, which come to the driver as features."""
-    rows = rated_features(docs, rated, most).toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")[:most]
-    got, held = rows["features"].to_pylist(), rows["grade"].to_pylist()
-    return fit([(held[k], got[k]) for k in order], n_grades)
+    rows = rated_features(docs, rated, most).toArrow().combine_chunks()
+    rows = rows.sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return None
+    lists = rows["features"].combine_chunks()
+    counts = np.diff(lists.offsets.to_numpy())
+    found = lists.flatten().to_numpy()
+    return fit(rows["grade"].to_numpy(), counts, found, n_grades)
 
 
 def score(docs: DataFrame, model: Model | None, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
