@@ -39,7 +39,7 @@ BIN_BYTES = 1 << 20
 #: Distinct segments of an anchor (of about 256 bytes) that would fill a bin alone; above, it is cut finer.
 HOT = BIN_BYTES // 256
 #: Bytes of documents that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _RNG = np.random.default_rng(48)
 _BYTE_VALUES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
