@@ -324,7 +324,8 @@ def repeated_spans(docs: DataFrame, keys: list[str], length: int = LENGTH, ancho
     """``(keys, spans array<struct<a, b>>)``: for each document with repeats, spans [a, b) of bytes that
     repeated strings cover; they may overlap. ``docs`` has the keys and ``text``, and keys are unique."""
     found = materialize(_occurrences(docs, keys, length, anchor), "segments")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # stored, so that both sides of the join are plain shuffles, which Spark can split where an anchor is frequent
+    again = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "again")
     places = materialize(found.join(again.hint("merge"), "anchor"), "anchors")
     distinct = places.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct(*keys, "first", "last")).alias("at"))
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
