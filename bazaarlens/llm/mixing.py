@@ -108,14 +108,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ident, rows, keys = F.col(id_col), docs, [id_col]
     if docs.groupBy(id_col).count().where(f"count > 1 or `{id_col}` is null").limit(1).count():
         # rows of one id are told apart by a number
-        rows = docs.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, source_col)))
-        keys.append("_nth")
+        rows = docs.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, source_col)))
+        keys.append("_mix_nth")
     extra = keys[1:]
     sized = materialize(sizes(rows, id_col, text_col, source_col, extra), "sizes")
     copies = mix(sized, extra=extra, **parameters).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in extra], F.col("copies").cast("int").alias("_copies"))
-    on = ident.eqNullSafe(F.col("_id")) if extra else ident == F.col("_id")
+    copies = copies.select(F.col("doc_id").alias("_mix_id"), *[F.col(k).alias(f"{k}_of") for k in extra], F.col("copies").cast("int").alias("_mix_copies"))
+    on = ident.eqNullSafe(F.col("_mix_id")) if extra else ident == F.col("_mix_id")
     for k in extra:
-        on = on & (F.col(k) == F.col(f"_{k}"))
+        on = on & (F.col(k) == F.col(f"{k}_of"))
     taken = rows.join(copies, on)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

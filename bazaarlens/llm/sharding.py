@@ -41,7 +41,8 @@ def grown_shard(id_col: Column, shard: Column, shards: int, seed: int = SEED) ->
 
 
 def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``shard`` and ``slot`` (gapless from 0 in each shard)."""
+    """All columns of ``docs``, and ``shard`` and ``slot`` (gapless from 0 in each shard), which replace
+    columns of these names."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 8
     total = docs.agg(F.sum(size)).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
@@ -57,7 +58,7 @@ def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     counts = counts.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     # a fixed number of partitions: a bucket is about one task
     parts = max(shards, shards * per_shard)
-    record = F.struct(F.xxhash64(ident, F.lit(seed + 1)).alias("h"), ident.alias("i"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
+    record = F.struct(F.xxhash64(ident, F.lit(seed + 1)).alias("h"), ident.alias("i"), F.col(text_col).alias("t"), F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("row"))
     buckets = placed(docs, record.alias("_record")).repartition(parts, "_shard", "_bucket")
     buckets = buckets.groupBy("_shard", "_bucket").agg(F.sort_array(F.collect_list("_record")).alias("_records")).sortWithinPartitions("_shard", "_bucket")
     mixed = buckets.select("_shard", "_bucket", F.shuffle("_records", seed).alias("_records"))

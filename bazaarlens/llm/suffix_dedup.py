@@ -414,8 +414,10 @@ def removed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is narrowed to whole characters, so that what is left is text; ``n_chars``, if present, is set anew.
     Rows with a null id are kept as they are."""
     names = docs.columns
-    others = tuple(c for c in names if c not in (id_col, text_col))
-    judged = with_spans(docs, id_col, text_col, others, **parameters)
+    others = [c for c in names if c not in (id_col, text_col)]
+    # other columns travel in a struct, so that their names can't clash
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in others], F.lit(None).alias("_end")).alias("rest"))
+    judged = with_spans(packed, columns=("rest",), **parameters)
 
     def cut(text: str, spans: list) -> str:
         data = text.encode()
@@ -434,7 +436,7 @@ def removed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # only rows with repeats go through Python
     done = judged.where("spans is null").unionByName(judged.where("spans is not null").withColumn("text", cut_all("text", "spans")))
-    done = done.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *others)
+    done = done.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"rest.`{c}`").alias(c) for c in others])
     if "n_chars" in others:
         done = done.withColumn("n_chars", F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return done.select(*names).unionByName(docs.where(F.col(id_col).isNull()))

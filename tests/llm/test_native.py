@@ -93,6 +93,13 @@ def test_order_is_shuffled(spark):
     assert 1850 < rising < 2150
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8, 9), (2, "c", "t", 1, 2, 3)], "doc_id long, text string, source string, shard int, slot int, copies int")
+    rows = sharding.two_pass_shuffle(docs)
+    assert sorted(rows.columns) == sorted(docs.columns) and rows.where("copies in (9, 3)").count() == 2
+    assert mixing.mixed(docs).columns == docs.columns
+
+
 def test_shards_of_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame([(None, None, "a", ""), (None, "x", "b", ""), (1, "", "c", ""), (1, "", "c", ""), (2, "é" * 9000, None, "")], SCHEMA)
     rows = sharding.two_pass_shuffle(docs).collect()

@@ -83,7 +83,7 @@ def test_repeated_ids_null_ids_and_no_rows(spark):
 
 def test_texts_are_cut_to_whole_characters(spark):
     texts = ["aé" + PASSAGE + "éa", "é" + PASSAGE + "ü", "clean", None]
-    docs = spark.createDataFrame([(i, t, "q", len(t or "")) for i, t in enumerate(texts)] + [(None, PASSAGE, "q", 320)], "doc_id long, text string, lang string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "q", len(t or "")) for i, t in enumerate(texts)] + [(None, PASSAGE, "q", 320)], "doc_id long, text string, spans string, n_chars long")
     out = S.removed_texts(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
