@@ -101,7 +101,8 @@ def _rarest(values: DataFrame, owner: str, take: Column) -> DataFrame:
     """``(v, owner, of, alone, place)``: of the rows (v, owner, of) of each owner, its rarest values,
     ``take`` of them, numbered from 1. Values that no other owner has (``alone`` of them) are numbered
     first, but can't bring two owners together and are left out."""
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # stored, so that both sides of the join are plain shuffles, which Spark can split where a value is frequent
+    shared = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     rows = values.join(shared.hint("merge"), "v")
     by = Window.partitionBy(owner)
     rows = rows.withColumn("alone", F.col("of") - F.count(F.lit(1)).over(by))
@@ -147,11 +148,11 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
     values = classes.select("sig", held.cast("long").alias("of"), F.explode("sketch").alias("v"))
     lists = materialize(_rarest(values, "sig", F.col("of") - F.ceil(F.col("of") * shared) + 1).select("v", "sig", "alone"), "lists")
 
-    leaders = lists.groupBy("v").agg(F.min(F.struct("alone", "sig")).alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("v", F.col("a.sig").alias("a"))
+    leaders = materialize(lists.groupBy("v").agg(F.min(F.struct("alone", "sig")).alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("v", F.col("a.sig").alias("a")), "leaders")
     listed = lists.join(leaders.hint("merge"), "v")
     light = classes.select("sig", "cls", "n")
     wanted = listed.select("sig").distinct().join(light, "sig")
-    sets = materialize(_full_sets(docs, wanted, id_col, text_col, size), "sets").dropDuplicates(["sig"])
+    sets = materialize(_full_sets(docs, wanted, id_col, text_col, size).dropDuplicates(["sig"]), "sets")
 
     star = listed.where("a <> sig").select("a", F.col("sig").alias("b")).distinct()
     star = _estimated(star, classes, k, shared, threshold)
@@ -196,5 +197,5 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     decided = near_duplicates(docs, id_col, text_col, **parameters)
     ids = decided.where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc_nulls_last(text_col)))
-    stay = docs.join(ids, id_col, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    stay = docs.join(ids, id_col, "left_semi").withColumn("_nth_of_id", nth).where("_nth_of_id = 1").select(*docs.columns)
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
