@@ -6,6 +6,9 @@ transforms and returns the pixel array. The writer stores a payload as 8-bit gre
 palette with bundled pixels where at most 16 values occur, with prefix codes and back-references
 for runs; ``write_image`` takes the other transforms and the colour cache for any ARGB image.
 
+A payload over IMAGE bytes, or of a size that no width and height of the format give, is stored as
+several images, one after the other; no bytes are added, and ``feature`` names each image.
+
 Defined results of ``text_media``: a null or empty text is 64 zero bytes; ids pass through; repeated
 rows give repeated rows; other columns are not read; an empty table gives an empty table. A damaged
 stream raises ValueError.
@@ -17,6 +20,7 @@ import hashlib
 import heapq
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +35,8 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE, MAX_COPY, LONGEST_CODE = 16384, 4096, 15
+#: Bytes of a payload that one image holds at most, a multiple of 64 * MAX_SIDE; bounds the memory of a row.
+IMAGE = 1024 * MAX_SIDE
 #: Near pixels by distance, then by how far they are to the side, left of the pixel first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 SPAN = 15  # bits that one look-up of the grey reader takes
@@ -720,6 +726,34 @@ def read_samples(data: bytes) -> bytes:
     return (read_image(data) & 255).astype(np.uint8).tobytes()
 
 
+def cuts(n: int) -> list[int]:
+    """Sizes of the images that hold a payload of n bytes, a multiple of 64: one image if it is at most
+    IMAGE bytes and has a shape, else whole images of IMAGE bytes, then columns of full height, then the rest."""
+    found = [IMAGE] * ((n - 1) // IMAGE)
+    left = n - IMAGE * len(found)
+    try:
+        shape_of(left)
+    except ValueError:
+        tail = left % (64 * MAX_SIDE)  # not 0, since full columns have a shape
+        return [*found, left - tail, tail]
+    return [*found, left]
+
+
+def write_media(payload: bytes) -> bytes:
+    """A payload of any size as one file, or as several, one after the other (``cuts``)."""
+    ends = np.cumsum(cuts(len(payload))).tolist()
+    return b"".join(write_samples(payload[at:end]) for at, end in zip([0, *ends], ends))
+
+
+def images(media: bytes) -> Iterator[np.ndarray]:
+    """The pixel arrays of the files that follow each other in ``media``."""
+    at = 0
+    while at < len(media) or not at:
+        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        yield read_image(media[at:end])
+        at = end
+
+
 # ---- on documents -------------------------------------------------------------------------------
 
 
@@ -743,24 +777,40 @@ def features(pixels: np.ndarray) -> str:
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_bytes, media binary)``: each text's padded bytes as a lossless WebP file."""
+    """``(id, n_bytes, media binary)``: each text's padded bytes as lossless WebP, one file or several."""
     out = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-    found = map_rows(docs, [id_col, text_col], lambda i, t: (i, len(utf8(t)), write_samples(padded(utf8(t)))), "id long, n_bytes long, media binary", out, rows=64)
+    found = map_rows(docs, [id_col, text_col], lambda i, t: (i, len(utf8(t)), write_media(padded(utf8(t)))), "id long, n_bytes long, media binary", out, rows=64)
     return found.withColumnRenamed("id", id_col)
 
 
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Pixel arrays read back from the files: ``(id, height, width, pixels array<int>)``, ARGB as
-    signed 32-bit integers, rows from the top. A null file gives nulls."""
-
-    def row(i, data):
-        if data is None:
-            return i, None, None, None
-        pixels = read_image(data)
-        return i, *pixels.shape, pixels.astype(np.int32).ravel()
-
-    out = pa.schema([("id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.list_(pa.int32()))])
-    found = map_rows(media, [id_col, media_col], row, "id long, height int, width int, pixels array<int>", out, rows=16)
+    """Pixel arrays read back from the files: ``(id, image, height, width, pixels array<int>)``, ARGB as
+    signed 32-bit integers, rows from the top; a row for each image of the media, numbered from 0. A null
+    file gives one row of nulls."""
+    out = pa.schema([("id", pa.int64()), ("image", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.list_(pa.int32()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if data is None:
+                    yield i, None, None, None, None
+                else:
+                    for n, pixels in enumerate(images(data)):
+                        yield i, n, *pixels.shape, pixels.astype(np.int32).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = [], 0
+        for row in rows(batches):
+            part.append(row)
+            size += 0 if row[4] is None else len(row[4])
+            if len(part) == 16 or size >= IMAGE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part), out)], schema=out)
+                part, size = [], 0
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part), out)], schema=out)
+
+    found = media.select(id_col, media_col).mapInArrow(run, "id long, image int, height int, width int, pixels array<int>")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -769,10 +819,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def row(i: int, text: str | None) -> tuple:
         data = utf8(text)
-        media = write_samples(padded(data))
-        pixels = read_image(media)
-        got = (pixels & 255).astype(np.uint8).tobytes()
-        return i, len(data), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(pixels)
+        media = write_media(padded(data))
+        n_got, digest, found = 0, hashlib.sha256(), []
+        for pixels in images(media):
+            got = (pixels & 255).astype(np.uint8).tobytes()
+            n_got += len(got)
+            digest.update(got)
+            found.append(features(pixels))
+        return i, len(data), n_got, digest.hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), "; ".join(found)
 
     out = pa.schema(
         [("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]

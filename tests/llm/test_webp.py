@@ -68,6 +68,29 @@ def test_wide_payload():
     assert h * w == 64 * (webp.MAX_SIDE + 1) and h <= webp.MAX_SIDE
 
 
+@pytest.mark.parametrize("n", [64, 1 << 20, 64 * 16411, 64 * 262147, webp.MAX_SIDE**2, webp.MAX_SIDE**2 + 64, webp.MAX_SIDE**2 + 64 * 16411])
+def test_every_size_has_shapes(n):
+    sizes = webp.cuts(n)
+    assert sum(sizes) == n
+    for size in sizes:
+        h, w = webp.shape_of(size)
+        assert h * w == size and w % 64 == 0 and max(h, w) <= webp.MAX_SIDE
+
+
+def test_sizes_without_a_shape(spark, monkeypatch):
+    prime = "some words " * 95_482  # 64 * 16411 bytes when padded
+    assert len(webp.padded(prime.encode())) == 64 * 16411
+    df = spark.createDataFrame([(1, prime), (2, "short")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in webp.text_media(df).collect()}
+    payload = webp.padded(prime.encode())
+    assert rows[1].payload_sha256 == hashlib.sha256(payload).hexdigest() and rows[1].payload_bytes == len(payload) and rows[2].n_bytes == 5
+    images = [r for r in webp.decode_media(webp.encode_media(df)).orderBy("doc_id", "image").collect() if r.doc_id == 1]
+    assert [r.image for r in images] == [0, 1] and b"".join(np.array(r.pixels).astype(np.uint8).tobytes() for r in images) == payload
+    monkeypatch.setattr(webp, "IMAGE", 64 * webp.MAX_SIDE)
+    media = webp.write_media(payload * 3)
+    assert b"".join((x & 255).astype(np.uint8).tobytes() for x in webp.images(media)) == payload * 3
+
+
 def test_damage_is_told():
     data = webp.write_samples(webp.padded(b"some words of a text, not a run of one letter " * 9))
     for bad in (b"", data[:40], b"RIFX" + data[4:]):
