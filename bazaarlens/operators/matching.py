@@ -114,9 +114,28 @@ def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEF
     return compared.unionByName(settled)
 
 
+#: What a score depends on, besides merchants and which offer id is smaller.
+MATCHED = ("norm", "brand_key", "words", "volume", "colours", "models", "valid_gtin")
+
+
 def match_edges(featured: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``(a, b, score, reason)``: the pairs that reach the score."""
-    return scored_pairs(featured, candidate_pairs(featured, settings), settings).where(F.col("score") >= settings.min_score)
+    """``(a, b, score, reason)``: the pairs of offers that reach the score.
+
+    Offers that are equal in MATCHED are one kind. Kinds are paired and scored, in both orders since the
+    text ratio has a first text, and each with itself; their offers of different merchants are the pairs.
+    """
+    kind = F.sha2(F.to_json(F.struct(*MATCHED)), 256)
+    of = materialize(featured.select("offer_id", "merchant_id", kind.alias("kind")), "kinds-of-offers")
+    kinds = materialize(featured.select(kind.alias("offer_id"), *MATCHED).dropDuplicates(["offer_id"]), "kinds")
+    pairs = materialize(candidate_pairs(kinds.withColumn("merchant_id", F.col("offer_id")), settings), "kind-pairs")
+    own = kinds.select(F.col("offer_id").alias("a"), F.col("offer_id").alias("b"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own)
+    # kinds have no merchant, so that a kind can match itself
+    scored = scored_pairs(kinds.withColumn("merchant_id", F.lit(None).cast("string")), pairs, settings).where(F.col("score") >= settings.min_score)
+    scored = materialize(scored.withColumnsRenamed({"a": "ka", "b": "kb"}), "kind-edges")
+    left = of.select(F.col("kind").alias("ka"), F.col("offer_id").alias("a"), F.col("merchant_id").alias("am"))
+    right = of.select(F.col("kind").alias("kb"), F.col("offer_id").alias("b"), F.col("merchant_id").alias("bm"))
+    return scored.join(left, "ka").join(right, "kb").where("a < b and am <> bm").select("a", "b", "score", "reason")
 
 
 def _merge(edges: list[tuple], merchant: dict[str, str]) -> list[tuple[list[str], str]]:

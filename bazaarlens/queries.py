@@ -223,27 +223,25 @@ def jaccard_pairs(spark, d):
     return rows.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "jac")
 
 
-def _some_offers(spark, d):
-    """An offer for each part and merchant, the cheapest; all parts."""
-    rows = matching.offer_rows(A.merchants(spark, d), A.products(spark, d), A.variants(spark, d), A.offers(spark, d))
-    best = rows.groupBy("product_id").agg(F.min(F.struct("price", "offer_id", "merchant_id", "merchant", "brand", "title", "gtin", "currency", "product_url")).alias("b"))
-    return best.select("product_id", "b.*")
+def _all_offers(spark, d):
+    """All offers in stock, of all parts."""
+    return matching.offer_rows(A.merchants(spark, d), A.products(spark, d), A.variants(spark, d), A.offers(spark, d))
 
 
 @query()
 def match_edges(spark, d):
-    return matching.match_edges(materialize(matching.with_features(_some_offers(spark, d)), "featured"))
+    return matching.match_edges(materialize(matching.with_features(_all_offers(spark, d)), "featured"))
 
 
 @query()
 def match_groups(spark, d):
-    found = matching.resolve(_some_offers(spark, d))
+    found = matching.resolve(_all_offers(spark, d))
     return found["groups"].join(found["facts"].drop("slot"), "group_id")
 
 
 @query()
 def canonical_survivors(spark, d):
-    found = matching.resolve(_some_offers(spark, d))
+    found = matching.resolve(_all_offers(spark, d))
     applied = canonical.applied_groups(found["groups"], found["facts"], found["featured"], A.product_matches(spark, d).where("status = 'rejected'"))
     return canonical.canonical_rows(canonical.survivors(found["groups"].join(applied, "group_id").join(found["featured"], "offer_id")))
 

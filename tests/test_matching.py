@@ -129,3 +129,28 @@ def test_groups_are_applied_in_order(spark):
     assert [r.group_id for r in canonical.applied_groups(groups, facts, offers, prior).collect()] == ["g2"]
     none = canonical.applied_groups(groups, facts.where("false"), offers, prior)
     assert none.count() == 0
+
+
+def test_queries_match_all_offers(spark, sf, tmp_path):
+    """The three queries on a few parts, against all pairs of all their offers in stock."""
+    from bazaarlens import queries as Q
+
+    for t in ("part", "supplier", "lineitem"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        if t != "supplier":
+            key = "p_partkey" if t == "part" else "l_partkey"
+            df = df.where(f"{key} in (9, 10, 19, 29)" if t == "part" else f"{key} in (9, 10, 19, 29) and l_orderkey % 2 = 0")
+        df.write.parquet(f"file://{tmp_path}/{t}.parquet")
+    d = f"file://{tmp_path}"
+    featured = matching.with_features(Q._all_offers(spark, d)).cache()
+    own = {r.offer_id: r for r in featured.collect()}
+    assert len(own) == spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag <> 'R'").count() > 4
+    pairs = spark.createDataFrame(list(itertools.combinations(sorted(own), 2)), "a string, b string")
+    want = {(r.a, r.b): (r.score, r.reason) for r in matching.scored_pairs(featured, pairs, bounded=False).collect() if r.score >= DEFAULT.min_score}
+    assert {(r.a, r.b): (r.score, r.reason) for r in Q.QUERIES["match_edges"](spark, d).collect()} == want
+    assert any(own[a].product_id == own[b].product_id for a, b in want)
+    groups = {}
+    for r in Q.QUERIES["match_groups"](spark, d).collect():
+        groups.setdefault(r.group_id, []).append(r.offer_id)
+    assert sorted(map(sorted, groups.values())) == clusters([(a, b, s) for (a, b), (s, _) in want.items()], {i: r.merchant_id for i, r in own.items()})
+    assert {r.id for r in Q.QUERIES["canonical_survivors"](spark, d).collect()} <= {f"canonical-{g}" for g in groups}
