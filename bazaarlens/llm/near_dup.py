@@ -2,8 +2,8 @@
 
 A document's set holds a 64-bit hash of each distinct SHINGLE-word shingle; the K smallest of these,
 under the one hash function, are its sketch. Documents with equal sets are one class. Inverted lists
-of retained values bring classes together: a pair with Jaccard similarity THRESHOLD shares SHARED of
-its sketch values but for a chance of about 1e-7, so it is enough to list each class under the
+of retained values bring classes together: a pair with Jaccard similarity THRESHOLD shares
+``least_shared`` of its sketch values but for a chance of MISS at most, so it is enough to list each class under the
 rarest values of its sketch, that many that two such classes must meet in one. Values that many
 classes hold (common passages) are in few lists, and values that no other class holds are in none.
 
@@ -26,6 +26,7 @@ not read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,21 @@ from ..plans.components import connected_components
 from ..plans.storage import materialize
 
 SHINGLE, K = 5, 64
-#: A link's similarity, in hundredths; the share of the sketch that candidates have in common at least.
-THRESHOLD, SHARED = 85, 0.62
+#: A link's similarity, in hundredths; the chance that the sketches of a pair at the threshold hide it.
+THRESHOLD, MISS = 85, 1e-7
 
 _RNG = np.random.default_rng(5)
 _FACTORS = [int(x) | 1 for x in _RNG.integers(0, 2**63, 64)]
 
 
+def least_shared(threshold: int = THRESHOLD, k: int = K) -> float:
+    """The share of k sketch values that a pair at the threshold has in common but for a chance of MISS."""
+    p, missed, m = threshold / 100, 0.0, 0
+    while m < k and (missed := missed + comb(k, m) * p**m * (1 - p) ** (k - m)) <= MISS:
+        m += 1
+    return m / k
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.encode().lower().split() if text else []  # bytes: ASCII letters and white space only
@@ -139,9 +148,10 @@ def _apart(sets: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.least("sig", "y").alias("a"), F.greatest("sig", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, threshold: int = THRESHOLD, shared: float = SHARED) -> DataFrame:
+def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, threshold: int = THRESHOLD, shared: float | None = None) -> DataFrame:
     """``(src, dst)``: confirmed links between class representatives (smallest ids) that connect all
     classes which links connect."""
+    shared = least_shared(threshold, k) if shared is None else shared
     own = sketched.where("n > 0 and doc_id is not null")
     classes = materialize(own.groupBy("sig").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     held = F.size("sketch")

@@ -9,6 +9,9 @@ from bazaarlens.llm import bpe, mixing, near_dup, quality, suffix_dedup
 from bazaarlens.llm.common import table
 from bazaarlens.plans.storage import materialize
 
+#: Similarity of near duplicates in the corpus; the query of operator 8 keeps to its own, 85.
+SIMILAR = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on rated ones of them, doesn't reject."""
@@ -16,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dup.kept_documents(docs)
+    """One document of each group of near duplicates, of a similarity of SIMILAR hundredths or more."""
+    return near_dup.kept_documents(docs, threshold=SIMILAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

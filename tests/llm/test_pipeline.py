@@ -39,3 +39,23 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_similar_from_80(spark, sf):
+    """Five-word shingles: of 100 shingles each, texts share 90 (0.82) or 88 (0.79)."""
+    words = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    base, other = words("w", 104), words("v", 104)
+    texts = [base, base[:94] + words("x", 10), other, other[:92] + words("y", 12)]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [0, 2, 3]
+
+
+def test_chance_of_a_miss():
+    from math import comb
+
+    from bazaarlens.llm import near_dup
+
+    for threshold in (80, 85):
+        m, p = round(64 * near_dup.least_shared(threshold)), threshold / 100
+        below = lambda m: sum(comb(64, j) * p**j * (1 - p) ** (64 - j) for j in range(m))
+        assert below(m) <= 1e-7 < below(m + 1)
