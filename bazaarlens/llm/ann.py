@@ -4,7 +4,8 @@ Largest inner product becomes smallest Euclidean distance by one more component:
 by the largest norm, gets sqrt(1 - |x|^2), a query gets 0. Each of TABLES tables hashes a vector to
 floor((a_j . x + b_j) / WIDTH) for HASHES Gaussian directions. A query visits the buckets of a table,
 its own and the perturbed ones that hold vectors, in order of estimated success: the squared distance
-from its projections to the bucket's intervals. It stops when the buckets hold VISIT of the vectors.
+from its projections to the bucket's intervals. It stops when the buckets hold VISIT of the vectors,
+or goes on, a bucket of each table at a time, while a block's candidates of all tables are under LIMIT.
 Candidates of all tables are merged and ranked by the inner product of the original vectors in double
 precision.
 
@@ -66,6 +67,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     q_unit = np.hstack([q / np.sqrt((q * q).sum(1))[:, None], np.zeros((len(q), 1))])
     found = np.full((len(q), len(x)), -np.inf)
     rng = np.random.default_rng([seed, x.shape[1]])
+    small, tabled = visit * len(x) <= limit, []  # otherwise one table alone holds enough
     for _ in range(tables):
         a, b = rng.normal(size=(unit.shape[1], hashes)), rng.uniform(0, width, hashes)
         cells, of = np.unique(np.floor((unit @ a + b) / width).astype(np.int64), axis=0, return_inverse=True)
@@ -86,8 +88,19 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         for cell in np.flatnonzero(taken.any(axis=0)):
             who, what = np.flatnonzero(taken[:, cell]), rows[starts[cell] : ends[cell]]
             found[np.ix_(who, what)] = q[who] @ x[what].T
+        if small:
+            tabled.append((visits, taken.sum(axis=1), rows, starts, ends))
     out = ([], [], [])
     for k in range(len(q)):
+        others = ids != qids[k]
+        step, short = 0, lambda: np.count_nonzero((found[k] > -np.inf) & others) < min(limit, np.count_nonzero(others))  # noqa: B023
+        while small and short():
+            for visits, visited, rows, starts, ends in tabled:
+                if visited[k] + step < visits.shape[1] and short():
+                    cell = visits[k, visited[k] + step]
+                    what = rows[starts[cell] : ends[cell]]
+                    found[k, what] = x[what] @ q[k]
+            step += 1
         own = np.flatnonzero((found[k] > -np.inf) & (ids != qids[k]))
         if len(own) > limit:  # a little below the last score, since products in blocks are rounded differently
             least = np.partition(found[k, own], len(own) - limit)[len(own) - limit]

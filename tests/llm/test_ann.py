@@ -50,3 +50,20 @@ def test_rows_that_take_no_part(spark):
     assert got == {20: [(2, 1.0), (3, 1.0), (1, 0.5)]}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert ann.nearest(df, df.limit(0)).count() == 0
+
+
+def test_small_tables_give_all(spark):
+    """With the production parameters: all others if they are fewer than 20, else 20."""
+    rng = np.random.default_rng(3)
+    for n in (2, 10, 15, 21, 25, 60):
+        x = rng.normal(size=(n, 64))
+        for seed in range(5):
+            q, _, _ = ann.search_block(np.arange(n), x, np.arange(n), x, float(np.sqrt((x * x).sum(1)).max()), ann.LIMIT, seed, ann.TABLES, ann.HASHES, ann.WIDTH, ann.VISIT)
+            assert np.bincount(q, minlength=n).tolist() == [min(20, n - 1)] * n
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(15, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.nearest(df, df.where("vec_id % 5 = 0")))
+    want = brute(rows, [r for r in rows if r[0] % 5 == 0], 20)
+    assert {q: [i for i, _ in b] for q, b in got.items()} == {q: [i for i, _ in b] for q, b in want.items()}
+    good = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert found(ann.nearest(good, good.where("vec_id = 20"))) == {20: [(2, 1.0), (3, 1.0), (1, 0.5)]}
