@@ -7,10 +7,9 @@ one more example without a target, so that nothing of a conversation is lost. Th
 ``<\\|`` and, in roles, a line end becomes ``\\n``, which ``unescape`` reverses, so no text can hold
 a control string.
 
-Rows are dealt by conversation, sorted by turn and read as a stream. A worker holds one
-conversation's formatted text at most up to INLINE characters of it: a longer conversation's examples
-hold the text after the first ``prefix_chars`` characters, which are the text of the example before,
-so output grows with the conversation and not with its square.
+Rows are dealt by conversation, sorted by turn and read as a stream. Every example holds its whole
+text, however long the conversation is, so output grows with the square of a conversation's turns. A
+worker holds one conversation's formatted text and a batch of examples, of one example if it is long.
 
 Defined results: a null text is empty, a null role is the empty role; rows are ordered by turn
 (null first), then role and text, and repeated rows are repeated turns; a null conv_id is one more
@@ -29,8 +28,6 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET_ROLE = "assistant"
-#: Characters of a conversation up to which each of its examples holds its whole text.
-INLINE = 1 << 20
 
 EXAMPLES = "conv_id long, example_no int, n_context_turns int, prefix_chars long, text string, loss_start long, loss_end long"
 _EXAMPLES = pa.schema(
@@ -74,7 +71,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in batch.slice(at, 512).columns))
 
 
-def _expanded(rows: Iterator[tuple], inline: int) -> Iterator[tuple]:
+def _expanded(rows: Iterator[tuple], inline: int | None) -> Iterator[tuple]:
     """Examples of turns (conv_id, role, text) that come in order. ``kept`` pieces follow the text of
     the last example; ``full`` is that text while the conversation is short."""
     now, any_row = None, False
@@ -96,7 +93,7 @@ def _expanded(rows: Iterator[tuple], inline: int) -> Iterator[tuple]:
         if role == TARGET_ROLE:
             before = "".join(kept) + head
             piece = f"{before}{body}{END}\n"
-            if full is not None and sent + len(piece) <= inline:
+            if full is not None and (inline is None or sent + len(piece) <= inline):
                 full += piece
                 at = sent + len(before)
                 yield now, number, turns, 0, full, at, at + len(body)
@@ -110,10 +107,11 @@ def _expanded(rows: Iterator[tuple], inline: int) -> Iterator[tuple]:
     yield from rest()
 
 
-def expand(conversations: DataFrame, inline: int = INLINE) -> DataFrame:
+def expand(conversations: DataFrame, inline: int | None = None) -> DataFrame:
     """One row for each example: its number in the conversation, turns of context, text and where in
-    ``text`` the loss mask lies (null without a target). ``prefix_chars`` is 0, or the number of
-    characters that come before ``text`` and are the whole text of the example before."""
+    ``text`` the loss mask lies (null without a target). ``prefix_chars`` is 0. Only if a caller asks for
+    it by ``inline``, a conversation of more characters is given in parts: ``prefix_chars`` is then the
+    number of characters that come before ``text`` and are the whole text of the example before."""
     ordered = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(lambda b: _batches(_expanded(_rows(b), inline), _EXAMPLES), EXAMPLES)
 

@@ -60,3 +60,14 @@ def test_escape_is_reversible():
     for text in ("", "\\", "<|", "\\<|", "<\\|", "a\\n\n", "<<||>>"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
         assert chat.unescape_role(chat.escape_role(text)) == text and "\n" not in chat.escape_role(text)
+
+
+def test_long_conversation_is_whole(spark):
+    """Over 2**20 characters every example still holds all turns before it."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " * 20_000, "") for k in range(12)]
+    examples = chat.expand(spark.createDataFrame(rows, SCHEMA))
+    found = sorted(examples.collect(), key=lambda r: r.example_no)
+    whole = "".join(f"{chat.START}{r[2]}\n{r[3]}{chat.END}\n" for r in rows)
+    assert len(whole) > 1 << 20 and found[-1].text == whole and all(r.prefix_chars == 0 and whole.startswith(r.text) for r in found)
+    assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in found] == [r[3] for r in rows if r[2] == "assistant"]
+    assert chat.digest(examples).first().formatted_chars == sum(len(r.text) for r in found) and got(chat.digest(examples)) == want(rows)
