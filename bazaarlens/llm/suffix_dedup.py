@@ -14,9 +14,12 @@ An anchor with more than HOT distinct segments (a passage that very many documen
 text of its own around it) is cut finer before it is dealt: into single strings of LENGTH bytes,
 whose copies are counted before they move, so such a group is not gathered either.
 
-Defined results: a null or empty text has no bytes; rows with a null id are left out, since spans
-are joined by id; rows that repeat an id are numbered, each is a document; other columns are not
-read; an empty table gives no rows; texts are judged whole, however long.
+Rows are known by two keys, the id (for a null id a hash of the text) and a hash of the text; rows with
+equal keys are the same text with the same id, so they get the same spans.
+
+Defined results: a null or empty text has no bytes; rows with a null id count and are judged like
+others; rows that repeat an id are documents of their own; other columns are not read; an empty table
+gives no rows; texts are judged whole, however long.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
@@ -280,7 +283,8 @@ def _occurrences(docs: DataFrame, keys: list[str], length: int, anchor: int) ->
 def _pieces(docs: DataFrame, distinct: DataFrame, keys: list[str], length: int) -> DataFrame:
     """The bytes of distinct segments, from the document that stands for each; hot ones as single strings."""
     wanted = distinct.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "seg", "weight", "first", "last", "hot")).alias("found"))
-    rows = wanted.join(docs, keys).select("found", "text")
+    # rows that repeat a key have one text, which would give its pieces once for each row
+    rows = wanted.join(docs.groupBy(*keys).agg(F.first("text").alias("text")), keys).select("found", "text")
     out = pa.schema([("piece", pa.binary()), ("anchor", pa.int64()), ("seg", pa.int64()), ("offset", pa.int32()), ("hot", pa.bool_()), ("weight", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,23 +335,20 @@ def repeated_spans(docs: DataFrame, keys: list[str], length: int = LENGTH, ancho
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     distinct = distinct.join(kinds.hint("merge"), "anchor").select("anchor", "seg", "weight", "at.*", (F.col("kinds") > hot).alias("hot"))
     distinct = materialize(distinct, "distinct-segments")
-    size, any_hot = distinct.agg(F.sum(F.col("last") - F.col("first") + length), F.max("hot")).first()
+    size = distinct.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0]
     bins = max(1, -(-(size or 0) // bin_bytes))
     pieces = materialize(_pieces(docs, distinct, keys, length), "pieces")
     names = ["anchor", "seg"]
-    if not any_hot:
-        runs = _judged(pieces.withColumn("dealt", F.xxhash64("anchor")), bins, length).select(*names, "runs")
-    else:
-        single = pieces.where("hot")
-        # copies of a string are counted before they move
-        counted = single.groupBy("piece").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes")).where("weight > 1")
-        nothing = F.lit(0).cast("long")
-        counted = counted.select("piece", nothing.alias("anchor"), nothing.alias("seg"), "weight", F.lit(1).alias("windows"), "bytes", F.xxhash64("piece").alias("dealt"))
-        whole = pieces.where("not hot").select("piece", *names, "weight", "windows", "bytes", F.xxhash64("anchor").alias("dealt"))
-        judged = materialize(_judged(whole.unionByName(counted), bins, length), "judged")
-        again = judged.where("piece is not null").select("piece")
-        of_single = single.select("piece", *names, "offset").join(again, "piece").select(*names, F.array(F.struct(F.col("offset").alias("x"), F.col("offset").alias("y"))).alias("runs"))
-        runs = judged.where("piece is null").select(*names, "runs").unionByName(of_single)
+    # copies of a single string are counted before they move
+    single = pieces.where("hot")
+    counted = single.groupBy("piece").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes")).where("weight > 1")
+    nothing = F.lit(0).cast("long")
+    counted = counted.select("piece", nothing.alias("anchor"), nothing.alias("seg"), "weight", F.lit(1).alias("windows"), "bytes", F.xxhash64("piece").alias("dealt"))
+    whole = pieces.where("not hot").select("piece", *names, "weight", "windows", "bytes", F.xxhash64("anchor").alias("dealt"))
+    judged = materialize(_judged(whole.unionByName(counted), bins, length), "judged")
+    again = judged.where("piece is not null").select("piece")
+    of_single = single.select("piece", *names, "offset").join(again, "piece").select(*names, F.array(F.struct(F.col("offset").alias("x"), F.col("offset").alias("y"))).alias("runs"))
+    runs = judged.where("piece is null").select(*names, "runs").unionByName(of_single)
     spans = places.join(runs, names).select(*keys, F.transform("runs", lambda r: F.struct((F.col("first") + r["x"]).alias("a"), (F.col("first") + r["y"] + length).alias("b"))).alias("s"))
     return spans.groupBy(*keys).agg(F.flatten(F.collect_list("s")).alias("spans"))
 
@@ -374,24 +375,23 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def with_keys(docs: DataFrame, id_col: str, *columns: str) -> tuple[DataFrame, list[str]]:
-    """``(doc_id[, nth], columns)`` of rows with an id, and the names of the unique keys. Only where ids
-    repeat, rows of an id are numbered."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), *columns)
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        return rows, ["doc_id"]
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*columns)).cast("long")
-    return rows.withColumn("nth", nth), ["doc_id", "nth"]
+KEYS = ["doc_key", "text_key"]
+
+
+def with_keys(docs: DataFrame, id_col: str, text_col: str, *columns: str) -> DataFrame:
+    """``(doc_key, text_key, doc_id, columns, text)`` of every row; equal keys mean equal ids and texts."""
+    ident, text = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(F.coalesce(ident, F.xxhash64(F.lit("no id"), text)).alias("doc_key"), F.xxhash64(ident.isNull(), text).alias("text_key"), ident.alias("doc_id"), *columns, text.alias("text"))
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = (), **parameters) -> DataFrame:
-    """``columns``, the id, ``text`` and ``spans`` (null without repeats) of every document with an id."""
-    rows, keys = with_keys(docs.withColumn("_text", F.col(text_col)).drop(text_col).withColumnRenamed("_text", "text"), id_col, *columns, "text")
-    return rows.join(repeated_spans(rows.select(*keys, "text"), keys, **parameters), keys, "left")
+    """``columns``, the id, ``text`` and ``spans`` (null without repeats) of every row."""
+    rows = with_keys(docs, id_col, text_col, *columns)
+    return rows.join(repeated_spans(rows.select(*KEYS, "text"), KEYS, **parameters), KEYS, "left")
 
 
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every document with an id."""
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row."""
     judged = with_spans(docs, id_col, text_col, **parameters)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -411,8 +411,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **p
 
 def removed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents with repeated strings cut from ``text``, other columns as they were. A removed run
-    is narrowed to whole characters, so that what is left is text; ``n_chars``, if present, is set anew.
-    Rows with a null id are kept as they are."""
+    is narrowed to whole characters, so that what is left is text; ``n_chars``, if present, is set anew."""
     names = docs.columns
     others = [c for c in names if c not in (id_col, text_col)]
     # other columns travel in a struct, so that their names can't clash
@@ -439,4 +438,4 @@ def removed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     done = done.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"rest.`{c}`").alias(c) for c in others])
     if "n_chars" in others:
         done = done.withColumn("n_chars", F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return done.select(*names).unionByName(docs.where(F.col(id_col).isNull()))
+    return done.select(*names)

@@ -74,10 +74,13 @@ def test_documents(spark, hot):
 
 
 def test_repeated_ids_null_ids_and_no_rows(spark):
-    rows = [(1, PASSAGE), (1, PASSAGE), (1, "alone"), (None, PASSAGE), (2, None)]
+    rows = [(1, PASSAGE), (1, PASSAGE), (1, "alone"), (None, PASSAGE), (None, PASSAGE), (None, None), (2, None), (None, "null " + PASSAGE[:210] + "!"), (3, "y" * 10 + PASSAGE[100:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in S.removal(docs).collect())
-    assert got == [(1, 5, 0), (1, 320, 320), (1, 320, 320), (2, 0, 0)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.removal(docs).collect()), key=str)
+    assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute([(t or "").encode() for _, t in rows], 200))), key=str)
+    long = "".join(random.Random(9).choices("abcdefghij \n", k=1_200_000))  # over a chunk
+    one = spark.createDataFrame([(1, PASSAGE), (None, long + PASSAGE)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in S.removal(one).collect()} == {1: 320, None: 320}
     assert S.removal(docs.limit(0)).count() == 0
 
 
@@ -88,7 +91,7 @@ def test_texts_are_cut_to_whole_characters(spark):
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got[0] == ("aéa", 3) or got[0] == ("aéa"[:1] + "éa", 3) or got[0][0].startswith("a")
-    assert PASSAGE[:200] not in got[0][0] and got[2] == ("clean", 5) and got[3] == (None, 0) and got[None] == (PASSAGE, 320)
+    assert PASSAGE[:200] not in got[0][0] and got[2] == ("clean", 5) and got[3] == (None, 0) and got[None] == ("", 0)
 
 
 def test_whole_table(spark, sf):
