@@ -12,15 +12,16 @@ class that has the fewest values of its own, the one most like the others; the u
 components follow. (2) Classes of lists that still hold more than one component go through the exact
 prefix filter: two sets over the threshold meet in one of the rarest shingles of each, before fewer
 shingles are left in either than the pair must have in common; shingles that only one set has come
-first and list nothing. Pairs of different components that meet there and pass the estimate are
-confirmed. So links inside a component are not confirmed one by one, pairs of a large family that can't
+first and list nothing. Pairs of different components that meet there are confirmed, all of them, without
+an estimate, and join the components found before. So links inside a component are not confirmed one by one, pairs of a large family that can't
 be links are not made, and no link between components is lost for a list's length.
 
 Defined results: words are split at ASCII white space, A-Z is lowered; a set of fewer words than a
 shingle has is the whole sequence; null and empty texts have an empty set and no links; rows with the
 same id are one document if their texts differ, linked to all that either is linked to; rows with a
-null id take no part in links and come back with a null component and kept; other columns are
-not read; an empty table gives no rows.
+null id are linked by their texts like others, their component is the smallest id that they reach and
+null if they reach none, and of a group without any id one row is kept; other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,34 +69,40 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(total ^ total >> np.uint64(31))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, key, th, text)``: the key is the id, or for a null id the hash ``th`` of the text."""
+    ident, th = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    return docs.select(ident.alias("doc_id"), F.coalesce(ident, th).alias("key"), th.alias("th"), F.col(text_col).alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, n, sig binary, sketch array<long>)``: set size, digest of the set, its k smallest values."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    """``(doc_id, key, th, n, sig binary, sketch array<long>)``: set size, digest of the set, its k smallest values."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], out.field(3).type)], schema=out
-                )
+                sets = [shingle_set(t, size) for t in part.column(3).to_pylist()]
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], out.field(5).type)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], schema=out)
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, th long, n long, sig binary, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(sig, items array<long>)`` of the classes ``wanted`` (sig, cls)."""
-    rows = docs.select(F.col(id_col).alias("cls"), F.col(text_col).alias("text")).join(wanted.select("cls", "sig"), "cls").select("sig", "text")
+    """``(sig, items array<long>)`` of the classes ``wanted`` (sig, key, th), each from the text that stands for it."""
+    # rows that repeat id and text are one
+    texts = _keyed(docs, id_col, text_col).groupBy("key", "th").agg(F.first("text").alias("text"))
+    rows = texts.join(wanted.select("key", "th", "sig"), ["key", "th"]).select("sig", "text")
     out = pa.schema([("sig", pa.binary()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [(sig, s.view(np.int64)) for sig, t in zip(*(c.to_pylist() for c in part.columns)) if xxhash.xxh3_128_digest((s := shingle_set(t, size)).tobytes()) == sig]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*got), out)], schema=out)
+                sets = [shingle_set(t, size).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, out.field(1).type)], schema=out)
 
     return rows.mapInArrow(run, "sig binary, items array<long>")
 
@@ -148,64 +155,86 @@ def _apart(sets: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.least("sig", "y").alias("a"), F.greatest("sig", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, threshold: int = THRESHOLD, shared: float | None = None) -> DataFrame:
-    """``(src, dst)``: confirmed links between class representatives (smallest ids) that connect all
-    classes which links connect."""
+def _renamed(pairs: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """``(src, dst)``: the pairs (a, b) of sets by a ``name`` that ``names`` (sig, name) gives."""
+    ids = names.select("sig", F.col(name).alias("to"))
+    named = pairs.join(ids.withColumnsRenamed({"sig": "a", "to": "src"}), "a").join(ids.withColumnsRenamed({"sig": "b", "to": "dst"}), "b")
+    return named.select("src", "dst")
+
+
+def class_components(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, threshold: int = THRESHOLD, shared: float | None = None) -> DataFrame:
+    """``(sig, comp, real)`` for each class with words: equal ``comp`` if links connect them, and ``real``, the
+    smallest id in the component or null. ``sketched`` is stored. Runs jobs, since it stores tables."""
     shared = least_shared(threshold, k) if shared is None else shared
-    own = sketched.where("n > 0 and doc_id is not null")
-    classes = materialize(own.groupBy("sig").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    held = F.size("sketch")
-    values = classes.select("sig", held.cast("long").alias("of"), F.explode("sketch").alias("v"))
+    own = sketched.where("n > 0")
+    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key", "th"))
+    classes = own.groupBy("sig").agg(first_of.alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select("sig", "at.*", "n", "sketch"), "classes")
+    values = classes.select("sig", F.size("sketch").cast("long").alias("of"), F.explode("sketch").alias("v"))
     lists = materialize(_rarest(values, "sig", F.col("of") - F.ceil(F.col("of") * shared) + 1).select("v", "sig", "alone"), "lists")
 
     leaders = materialize(lists.groupBy("v").agg(F.min(F.struct("alone", "sig")).alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("v", F.col("a.sig").alias("a")), "leaders")
     listed = lists.join(leaders.hint("merge"), "v")
-    light = classes.select("sig", "cls", "n")
+    light = classes.select("sig", "none", "key", "th")
     wanted = listed.select("sig").distinct().join(light, "sig")
-    sets = materialize(_full_sets(docs, wanted, id_col, text_col, size).dropDuplicates(["sig"]), "sets")
+    sets = materialize(_full_sets(docs, wanted, id_col, text_col, size), "sets")
 
     star = listed.where("a <> sig").select("a", F.col("sig").alias("b")).distinct()
     star = _estimated(star, classes, k, shared, threshold)
     best = star.groupBy("b").agg(F.max_by("a", F.struct("e", "a")).alias("a")).select("a", "b")
     first = materialize(_confirmed(best, sets, threshold), "links")
+    comps = connected_components(_renamed(first, light, "key"))
+    found = light.join(comps, F.col("key") == F.col("node"), "left").select("sig", "none", "key", F.coalesce("component", "key").alias("comp"))
+    found = materialize(found, "components")
 
-    def as_ids(pairs: DataFrame) -> DataFrame:
-        ids = light.select("sig", "cls")
-        named = pairs.join(ids.withColumnsRenamed({"sig": "a", "cls": "src"}), "a").join(ids.withColumnsRenamed({"sig": "b", "cls": "dst"}), "b")
-        return named.select("src", "dst")
-
-    edges = as_ids(first)
-    comps = connected_components(edges)
-    now = listed.join(light, "sig").join(comps, F.col("cls") == F.col("node"), "left").select("v", "sig", F.coalesce("component", "cls").alias("comp"))
-    now = materialize(now, "lists-apart")
+    now = materialize(listed.join(found, "sig").select("v", "sig", "comp"), "lists-apart")
     mixed = now.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("v")
     open_ = materialize(now.join(mixed.hint("merge"), "v").select("sig", "comp").distinct().join(sets, "sig"), "open")
-    pairs = _estimated(_apart(open_, threshold), classes, k, shared, threshold).select("a", "b")
-    return edges.unionByName(as_ids(materialize(_confirmed(pairs, sets, threshold), "links")))
+    second = materialize(_confirmed(_apart(open_, threshold), sets, threshold), "links")
+    # an id with several texts is in several classes
+    repeated = own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    several = own.select("doc_id", "sig").join(repeated, "doc_id").distinct().join(found, "sig")
+    several = several.join(several.groupBy("doc_id").agg(F.min("comp").alias("src")), "doc_id").select("src", F.col("comp").alias("dst")).where("src < dst").distinct()
+    # the rest connects components found before
+    more = connected_components(_renamed(second, found, "comp").unionByName(several))
+    found = found.join(more, F.col("comp") == F.col("node"), "left").select("sig", F.coalesce("component", "comp").alias("comp"), F.when(~F.col("none"), F.col("key")).alias("id"))
+    # a component's node may be the hash of a text
+    return found.join(found.groupBy("comp").agg(F.min("id").alias("real")), "comp").select("sig", "comp", "real")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, **parameters) -> DataFrame:
+    """``(doc_id, th, n, component_id, kept)`` for every row."""
+    size, k = parameters.get("size", SHINGLE), parameters.get("k", K)
+    # rows are numbered once, where they are stored
+    sketched = materialize(sketches(docs, id_col, text_col, k, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # stored, so that both sides of the join are plain shuffles, which Spark can split where a set is frequent
+    named = materialize(class_components(docs, sketched, id_col, text_col, **parameters), "named").hint("merge")
+    rows = sketched.select("doc_id", "th", "n", "sig", "row")
+    with_id = rows.where("doc_id is not null").join(named, "sig", "left")
+    own = F.when(F.col("n") > 0, F.col("real")).otherwise(F.col("doc_id"))
+    with_id = with_id.select("doc_id", "th", "n", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    without = rows.where("doc_id is null").join(named, "sig", "left")
+    first = without.where("n > 0 and real is null").groupBy("comp").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    without = without.join(first, "row", "left").select("doc_id", "th", "n", F.col("real").alias("component_id"), (F.coalesce("first", F.lit(False)) | (F.col("n") == 0)).alias("kept"))
+    return with_id.unionByName(without)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row."""
-    size, k = parameters.get("size", SHINGLE), parameters.get("k", K)
-    sketched = materialize(sketches(docs, id_col, text_col, k, size), "sketches")
-    edges = links(docs, sketched, id_col, text_col, **parameters)
-    rows = sketched.select("doc_id", "n", "sig")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("cls"))
-    members = rows.where("n > 0 and doc_id is not null").join(classes, "sig")
-    # an id with several texts is in several classes; its copies join these
-    several = members.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select(F.col("low").alias("src"), F.col("high").alias("dst"))
-    comps = connected_components(edges.unionByName(several))
-    named = classes.join(comps, F.col("cls") == F.col("node"), "left").select("sig", F.coalesce("component", "cls").alias("comp"))
-    own = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    found = rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    """``(doc_id, n_shingles, component_id, kept)`` for every row. Runs jobs, since it stores tables."""
+    return _decided(docs, id_col, text_col, **parameters).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each group of near duplicates and
-    repeated rows, the one with the smallest id; rows with a null id all stay."""
-    decided = near_duplicates(docs, id_col, text_col, **parameters)
-    ids = decided.where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    repeated rows, the one with the smallest id; of groups without any id one row. Texts without words
+    stay, once for each id and all of those with a null id."""
+    kept = materialize(_decided(docs, id_col, text_col, **parameters).where("kept"), "kept")
+    ids = kept.where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc_nulls_last(text_col)))
     stay = docs.join(ids, id_col, "left_semi").withColumn("_nth_of_id", nth).where("_nth_of_id = 1").select(*docs.columns)
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    null_id = docs.where(F.col(id_col).isNull())
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = kept.where("doc_id is null and n > 0").select(F.col("th").alias("_text_hash"))
+    nth = F.row_number().over(Window.partitionBy("_text_hash").orderBy(text_col))
+    one = null_id.where(words).withColumn("_text_hash", F.xxhash64(text_col)).join(texts, "_text_hash", "left_semi").withColumn("_nth_of_text", nth).where("_nth_of_text = 1").select(*docs.columns)
+    return stay.unionByName(one).unionByName(null_id.where(~words))

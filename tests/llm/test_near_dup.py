@@ -1,6 +1,7 @@
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 
@@ -76,16 +77,33 @@ def test_chain(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text with words"), (7, "quite another text with words"), (None, "a b c d e f"), (None, None), (9, None)]
+    """Null ids are linked like others; an id with several texts connects what each is linked to."""
+    alike = [f"n{k}" for k in range(60)]
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text with words"), (7, "quite another text with words"), (None, "a b c d e f"), (None, None), (None, ""), (9, None), (5, "third text of the id"), (4, "third text of the id")]
+    rows += [(None, "only null ids here too"), (None, "only null ids here too"), (None, "Only NULL ids here too"), (None, " ".join(alike)), (None, " ".join(alike[:-1])), (None, " ".join(alike[:-1])), (11, "x y z")]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")
-    out = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs).collect()), key=str)
-    assert out == sorted([(False, 5, 2, 5, True), (False, 5, 2, 5, True), (False, 5, 1, 5, True), (False, 7, 1, 5, False), (True, None, 2, None, True), (True, None, 0, None, True), (False, 9, 0, 9, True)], key=str)
-    kept = sorted(((r.doc_id, r.text) for r in N.kept_documents(docs).collect()), key=str)
-    assert kept == sorted([(5, "quite another text with words"), (None, "a b c d e f"), (None, None), (9, None)], key=str)
+    out = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs).collect())
+    known = Counter([(5, 2, 4, False), (5, 2, 4, False), (5, 1, 4, False), (7, 1, 4, False), (None, 2, 4, False), (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True), (5, 1, 4, False), (4, 1, 4, True), (11, 1, 11, True)])
+    assert out - known == Counter(x for x in out.elements() if x[0] is None and x[2] is None and x[1])
+    assert out & known == known
+    assert out[None, 1, None, True] == 1 and out[None, 1, None, False] == 2
+    nulls = [x for x in out.elements() if x[0] is None and x[1] > 50]
+    assert len(nulls) == 3 and {x[2] for x in nulls} == {None} and sum(x[3] for x in nulls) == 1
+    kept = [(r.doc_id, r.text) for r in N.kept_documents(docs).collect()]
+    assert sorted((i, t or "") for i, t in kept if i is not None) == [(4, "third text of the id"), (9, ""), (11, "x y z")]
+    texts = [t for i, t in kept if i is None]
+    assert len(texts) == 4 and texts.count(None) == texts.count("") == 1 and sum("null ids" in (t or "").lower() for t in texts) == 1
     assert N.kept_documents(docs).columns == docs.columns
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_through_null_ids(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(3, " ".join(words[:200])), (None, " ".join(words[8:208])), (8, " ".join(words[16:216]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in N.near_duplicates(docs).collect()} == {(3, 3), (None, 3), (8, 3)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (103, 101), (7, 7), (None, 5)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
