@@ -109,6 +109,35 @@ def test_shards_of_odd_rows(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 5
 
 
+def test_shard_by_plain_python(spark):
+    """Rendezvous hashing again: Spark gives one hash for each id and shard, plain Python picks."""
+    n = 24
+    df = spark.range(-50, 400).select(F.col("id").alias("doc_id")).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    hashes = [F.xxhash64("doc_id", F.lit(sharding.SEED + s)).alias(f"h{s}") for s in range(n + 1)]
+    rows = df.select("doc_id", *hashes, sharding.shard_of(F.col("doc_id"), n).alias("shard")).withColumn("grown", sharding.grown_shard(F.col("doc_id"), F.col("shard"), n)).collect()
+    for r in rows:
+        own = [r[f"h{s}"] for s in range(n + 1)]
+        assert r.shard == max(range(n), key=lambda s: (own[s], -s)) and r.grown == max(range(n + 1), key=lambda s: (own[s], -s))
+    held = Counter(r.shard for r in rows)
+    assert len(held) == n and max(held.values()) < 45
+
+
+def test_copies_are_spread(spark):
+    """A third of all rows are equal, another third have a null id: no bucket holds more than its share of them."""
+    rows = [(7, "same text") for _ in range(3000)] + [(None, f"text {k}") for k in range(3000)] + [(k, f"other {k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = sharding.two_pass_shuffle(docs, shards=2, bucket_bytes=4000)
+    got = df.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for shard in (0, 1):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    assert len({r.shard for r in got if r.doc_id == 7}) == len({r.shard for r in got if r.doc_id is None}) == 1
+    parts = Counter(r.p for r in df.select(F.spark_partition_id().alias("p")).collect())
+    assert max(parts.values()) < 1500
+    again = Counter(map(tuple, sharding.two_pass_shuffle(docs.repartition(7), shards=2, bucket_bytes=4000).collect()))
+    assert again == Counter(map(tuple, got))
+
+
 def test_query_columns(spark, sf):
     from bazaarlens.llm import queries
 
