@@ -7,7 +7,8 @@ source's tokens up to and including it divided by the source's target, so a sour
 has its target. All copies are range-sorted by finish time and the mix is cut where the running total
 would pass the budget.
 
-Running sums are taken in two levels, so a source with a third of all rows is no task of its own:
+Rows that nothing tells apart are one weighted row until their places in the order are known, so null
+ids are a row for each size and source. Running sums are taken in two levels, so a source with a third of all rows is no task of its own:
 the seeded order of each source is cut into slices, sums of slices are added up per source, and rows
 per slice. The global cut works the same way on slices of finish time. The number of slices follows
 the number of rows (SLICE_ROWS).
@@ -82,16 +83,22 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     """``(doc_id, source, size, extra, source_size, target, copies)`` for each row of ``sizes``; ``copies``
     says how often the mix holds the row. ``sized`` should be a stored table: it is read several times."""
     slices = max(64, sized.count() // SLICE_ROWS)
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *[F.col(c).cast("string") for c in extra]))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("key")
-    rows = sized.select("doc_id", key, "size", mark.alias("mark"), *extra)
+    # rows that nothing tells apart are one, with a number
+    alike = sized.groupBy("doc_id", "source", "size", *extra).agg(F.count(F.lit(1)).alias("rows"))
+    rows = alike.select("doc_id", key, "size", mark.alias("mark"), "rows", (F.col("rows") * F.col("size")).alias("held"), *extra)
     # slices of the seeded order, by the first 32 bits of the mark
     rows = rows.withColumn("slice", F.floor(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") * slices / 2**32))
-    rows = _running(rows, ["key"], "slice", ["mark", "doc_id", "size", *extra], "size", "upto", "place")
+    rows = _running(rows, ["key"], "slice", ["mark", "doc_id", "size", *extra], "held", "upto", "place")
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, epochs)
     rows = rows.join(by_source.withColumn("key", key), "key")
-    copies = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    copies = copies.withColumn("finish", F.when(F.col("target") > 0, (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target")))
+    # each of them for itself again, in runs that are dealt out before they are taken apart
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SLICE_ROWS)))
+    nth = F.explode(F.sequence(F.col("run") * SLICE_ROWS, F.least(F.col("rows"), (F.col("run") + 1) * SLICE_ROWS) - 1))
+    copies = rows.withColumn("run", runs).repartition("key", "slice", "place", "run").withColumn("nth", nth).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    upto = F.col("upto") - (F.col("rows") - F.col("nth") - 1) * F.col("size")
+    copies = copies.withColumn("finish", F.when(F.col("target") > 0, (F.col("epoch") * F.col("source_size") + upto) / F.col("target")))
     # a target of 0 is never reached: such copies come last, in slices of their own
     copies = copies.withColumn("finish_slice", F.coalesce(F.floor(F.col("finish") * slices), 10**12 + F.col("slice")))
     order = [F.asc("finish"), F.col("source").asc_nulls_last(), F.asc("doc_id"), F.asc("size"), F.asc("epoch")]
@@ -99,23 +106,21 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     total = sized.agg(F.floor(F.sum("size") * F.lit(budget)).alias("_budget"))
     # the budget is one row
     copies = copies.join(F.broadcast(total), F.lit(True)).withColumn("in", (F.col("target") > 0) & (F.col("running") <= F.col("_budget")))
-    whole = copies.groupBy("key", "slice", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", *extra, "source_size", "target")], F.count_if(F.col("in")).alias("copies"))
-    return whole.drop("key", "slice", "place")
+    whole = copies.groupBy("key", "slice", "place", "nth").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", *extra, "source_size", "target")], F.count_if(F.col("in")).alias("copies"))
+    return whole.drop("key", "slice", "place", "nth")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all their columns."""
-    ident, rows, keys = F.col(id_col), docs, [id_col]
-    if docs.groupBy(id_col).count().where(f"count > 1 or `{id_col}` is null").limit(1).count():
-        # rows of one id are told apart by a number
-        rows = docs.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, source_col)))
-        keys.append("_mix_nth")
-    extra = keys[1:]
-    sized = materialize(sizes(rows, id_col, text_col, source_col, extra), "sizes")
-    copies = mix(sized, extra=extra, **parameters).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_mix_id"), *[F.col(k).alias(f"{k}_of") for k in extra], F.col("copies").cast("int").alias("_mix_copies"))
-    on = ident.eqNullSafe(F.col("_mix_id")) if extra else ident == F.col("_mix_id")
-    for k in extra:
-        on = on & (F.col(k) == F.col(f"{k}_of"))
-    taken = rows.join(copies, on)
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all their columns. Rows
+    are told apart by two hashes of all columns; equal rows are one with a number, as which they are taken.
+    Runs jobs, since it stores the sizes."""
+    hashes = ["_mix_a", "_mix_b"]
+    hashed = docs.select("*", F.xxhash64(*docs.columns).alias("_mix_a"), F.xxhash64(F.lit("b"), *docs.columns).alias("_mix_b"))
+    sized = materialize(sizes(hashed, id_col, text_col, source_col, hashes), "sizes")
+    taken = mix(sized, extra=hashes, **parameters).groupBy(*hashes).agg(F.sum("copies").alias("_mix_copies")).where("_mix_copies > 0")
+    whole = hashed.groupBy(*hashes).agg(F.first(F.struct(*docs.columns)).alias("_mix_row"))
+    # in runs, so that no list of copies is long
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_copies") - 1) / SLICE_ROWS)))
+    run = whole.join(taken, hashes).select("_mix_row", "_mix_copies", runs.alias("_mix_run"))
+    own = F.least(F.col("_mix_copies") - F.col("_mix_run") * SLICE_ROWS, F.lit(SLICE_ROWS))
+    return run.select("_mix_row", F.explode(F.sequence(F.lit(1).cast("long"), own)).alias("_mix_copy")).select("_mix_row.*")

@@ -52,6 +52,25 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(mixing.sizes(docs.limit(0))).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mix_of_hot_ids_equals_sql(spark):
+    """Null ids, equal rows and rows that share an id, more than a slice of them."""
+    rows = [(None, "a b c", "x")] * 5000 + [(None, "d " * (k % 40), "x") for k in range(3000)] + [(9, "e f", "y")] * 300 + [(9, "g", "x")] * 20 + [(k, "h i j k", None) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    rel = con.execute(OP6_SQL)
+    names = [c[0] for c in rel.description]
+    want = Counter(tuple(None if (v := r[names.index(n)]) != v else v for n in ("doc_id", "size", "source_size", "target", "taken")) for r in rel.fetchall())
+    got = Counter((r.doc_id, r.size, r.source_size, r.target, r.size * r.copies) for r in mixing.mix(mixing.sizes(docs)).collect())
+    assert got == want
+    out = mixing.mixed(docs)
+    taken, largest = Counter(), 40
+    for r in out.collect():
+        taken[r.source] += len(r.text.split())
+    for source, target in {(r.source, r.target) for r in mixing.mix(mixing.sizes(docs)).select("source", "target").distinct().collect()}:
+        assert abs(taken[source] - target) <= 2 * largest
+
+
 def test_mix_is_near_its_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text"), F.expr("if(doc_id % 3 = 0, 'hot', source)").alias("source"))
     rows = mixing.mix(mixing.sizes(docs)).collect()
