@@ -1,136 +1,282 @@
 """Operator 4: nearest neighbours by multiprobe p-stable hashing.
 
 Largest inner product becomes smallest Euclidean distance by one more component: a vector x, divided
-by the largest norm, gets sqrt(1 - |x|^2), a query gets 0. Each of TABLES tables hashes a vector to
-floor((a_j . x + b_j) / WIDTH) for HASHES Gaussian directions. A query visits the buckets of a table,
-its own and the perturbed ones that hold vectors, in order of estimated success: the squared distance
-from its projections to the bucket's intervals. It stops when the buckets hold VISIT of the vectors,
-or goes on, a bucket of each table at a time, while a block's candidates of all tables are under LIMIT.
-Candidates of all tables are merged and ranked by the inner product of the original vectors in double
-precision.
+by the largest norm, gets sqrt(1 - |x|^2), a query is divided by its own norm and gets 0. Each of TABLES tables hashes a vector to
+floor((a_j . x + b_j) / WIDTH) for Gaussian directions a_j, as many as give CELL_ROWS vectors a bucket. The
+index is a row (table, bucket, vector) for each vector and table.
+
+A query visits buckets of a table, its own and perturbed ones, in order of estimated success: the
+chance that a vector as near as its LIMIT-th nearest falls there, which is a product of Gaussian
+intervals, one for each hash. It stops when the chances of its buckets in all tables add up to RECALL,
+or after PROBES buckets of a table. How near the LIMIT-th nearest is, is estimated from SAMPLE vectors, with which each query is compared;
+they also give a score that LIMIT vectors reach, and below it no candidate is kept.
 
-Vectors are dealt into blocks by a hash of the id; every block indexes all its vectors, every query
-visits every block (a stated query set against all rows, in blocks), and the blocks' best are merged
-by Spark. In a block, of equal vectors the LIMIT + 1 smallest ids can be among a query's nearest, so
-the rest of them is not ranked; that is exact.
+Queries and vectors meet by equal (table, bucket): buckets are dealt into parts of about PART_ROWS vectors,
+a query goes to the parts of its buckets only, and in a part it is multiplied with the vectors of its
+buckets. A bucket with more than PART_ROWS vectors is split into pieces, and its queries into others.
+Candidates of all tables are merged and ranked by the inner product of the original vectors in double
+precision. A query with too few candidates is compared with all vectors, in blocks.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; so do rows with a null id. A repeated id counts once, with its smallest
-vector. Ties go to the smaller id; with fewer candidates than LIMIT, all are returned; other columns
-are not read; an empty table gives no rows.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components take no part; so do rows with a null id. A query is compared with the vectors of its length. Rows that repeat an id
+are candidates each for itself; a query's own row is one with its id and its vector. Of equal vectors the
+LIMIT + 1 smallest ids can be among a query's nearest, so the rest is not indexed; that is exact. Ties go to the smaller id; with
+fewer candidates than LIMIT, all are returned; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import erf, log2, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..plans.storage import materialize
 
 LIMIT = 20
-TABLES, HASHES, WIDTH, VISIT = 6, 4, 0.8, 0.26
-#: Rows of a block and queries that a task holds at once.
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+TABLES, WIDTH, CELL_ROWS = 8, 2.5, 4
+RECALL, PROBES = 0.93, 512
+#: Vectors on the driver, by which buckets are estimated.
+SAMPLE = 4096
+#: Vectors of a part, and queries that meet a piece of a large bucket.
+PART_ROWS, QUERY_ROWS = 8192, 4096
+
+_RNG = np.random.default_rng(4)
+_FACTORS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BELOW = np.frompyfunc(lambda z: 0.5 * (1 + erf(z / sqrt(2))), 1, 1)
+#: The Gaussian distribution function as a table.
+_GRID = np.linspace(-8, 8, 4097)
+_CDF = _BELOW(_GRID).astype(float)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(id, v array<double>)`` of the rows that take part."""
+    """``(id, v)`` of the rows that take part."""
     v = F.col("v")
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    # one row
-    return rows.join(F.broadcast(common.select("n")), F.size("v") == F.col("n")).select("id", "v")
-
-
-def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products; equal vectors get equal scores, whatever stands beside them."""
-    return np.add.reduce(rows * query, axis=1)
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, largest: float, limit: int, seed: int, tables: int, hashes: int, width: float, visit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best of one block."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    _, same = np.unique(x, axis=0, return_inverse=True)
-    by = np.lexsort((ids, same.ravel()))
-    place = np.arange(len(by)) - np.searchsorted(same.ravel()[by], same.ravel()[by])
-    keep = np.sort(by[place <= limit])
-    ids, x = ids[keep], x[keep]
-    unit = x / largest
-    unit = np.hstack([unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))[:, None]])
-    q_unit = np.hstack([q / np.sqrt((q * q).sum(1))[:, None], np.zeros((len(q), 1))])
-    found = np.full((len(q), len(x)), -np.inf)
-    rng = np.random.default_rng([seed, x.shape[1]])
-    small, tabled = visit * len(x) <= limit, []  # otherwise one table alone holds enough
-    for _ in range(tables):
-        a, b = rng.normal(size=(unit.shape[1], hashes)), rng.uniform(0, width, hashes)
-        cells, of = np.unique(np.floor((unit @ a + b) / width).astype(np.int64), axis=0, return_inverse=True)
-        of = of.ravel()
-        rows = np.argsort(of, kind="stable")
-        ends = np.cumsum(np.bincount(of, minlength=len(cells)))
-        starts = np.append(0, ends[:-1])
-        at = q_unit @ a + b
-        low = cells * width
-        cost = np.zeros((len(q), len(cells)))
-        for j in range(hashes):  # how far the query's projection is outside the bucket's interval
-            away = np.maximum(low[:, j] - at[:, j, None], at[:, j, None] - low[:, j] - width)
-            cost += np.maximum(away, 0) ** 2
-        visits = np.argsort(cost, axis=1, kind="stable")
-        held = np.cumsum((ends - starts)[visits], axis=1)
-        taken = np.zeros(cost.shape, bool)
-        np.put_along_axis(taken, visits, np.concatenate([np.zeros((len(q), 1)), held[:, :-1]], axis=1) < visit * len(x), axis=1)
-        for cell in np.flatnonzero(taken.any(axis=0)):
-            who, what = np.flatnonzero(taken[:, cell]), rows[starts[cell] : ends[cell]]
-            found[np.ix_(who, what)] = q[who] @ x[what].T
-        if small:
-            tabled.append((visits, taken.sum(axis=1), rows, starts, ends))
-    out = ([], [], [])
-    for k in range(len(q)):
-        others = ids != qids[k]
-        step, short = 0, lambda: np.count_nonzero((found[k] > -np.inf) & others) < min(limit, np.count_nonzero(others))  # noqa: B023
-        while small and short():
-            for visits, visited, rows, starts, ends in tabled:
-                if visited[k] + step < visits.shape[1] and short():
-                    cell = visits[k, visited[k] + step]
-                    what = rows[starts[cell] : ends[cell]]
-                    found[k, what] = x[what] @ q[k]
-            step += 1
-        own = np.flatnonzero((found[k] > -np.inf) & (ids != qids[k]))
-        if len(own) > limit:  # a little below the last score, since products in blocks are rounded differently
-            least = np.partition(found[k, own], len(own) - limit)[len(own) - limit]
-            own = own[found[k, own] >= least - 1e-9 * max(1.0, abs(least))]
-        score = exact_scores(q[k], x[own])
-        best = np.lexsort((ids[own], -score))[:limit]
-        out[0].append(np.full(len(best), qids[k]))
-        out[1].append(ids[own][best])
-        out[2].append(score[best])
-    return tuple(np.concatenate(x) if x else np.array([]) for x in out)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, seed: int = 7, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, visit: float = VISIT, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each query the best found among all other vectors."""
-    x = materialize(usable(vectors, id_col, vector_col), "ann-vectors")
-    stats = x.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)))).first()
-    total, largest = stats[0], float(stats[1] or 1.0)
-    blocks = max(1, -(-total // block_rows))
-    q = usable(queries, id_col, vector_col).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    q_parts = max(1, -(-q.count() // QUERY_ROWS))
-    # every block of vectors meets every part of the queries
-    left = x.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    right = q.withColumn("part", F.pmod(F.xxhash64("qid", F.lit(seed)), F.lit(q_parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    return rows.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
+
+
+def bits_of_hash(width: float) -> float:
+    """How many bits a hash of a Gaussian value has, over all offsets."""
+    edges = np.arange(-8, 8, width)
+    at = np.linspace(0, width, 64, endpoint=False)[:, None] + np.append(edges, edges[-1] + width)
+    p = np.diff(np.interp(at, _GRID, _CDF), axis=1)
+    return float(-(p * np.log2(np.maximum(p, 1e-300))).sum() / len(at))
+
+
+@dataclass
+class Index:
+    """Hashing and probing for vectors of one length."""
+
+    rows: int
+    largest: float
+    sample: np.ndarray
+    limit: int = LIMIT
+    seed: int = 7
+    tables: int = TABLES
+    width: float = WIDTH
+    recall: float = RECALL
+    probes: int = PROBES
+    cell_rows: int = CELL_ROWS
+
+    def directions(self, table: int) -> tuple[np.ndarray, np.ndarray]:
+        n = max(1, round(log2(max(2, self.rows / self.cell_rows)) / bits_of_hash(self.width)))
+        rng = np.random.default_rng([self.seed, self.sample.shape[1], table])
+        return rng.normal(size=(self.sample.shape[1] + 1, n)), rng.uniform(0, self.width, n)
+
+    @staticmethod
+    def named(cells: np.ndarray) -> np.ndarray:
+        """One number for the hashes of a bucket."""
+        x = (cells.astype(np.int64).view(np.uint64) * _FACTORS[np.arange(cells.shape[-1]) % 256]).sum(axis=-1, dtype=np.uint64)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ x >> np.uint64(31)).view(np.int64)
+
+    def cells(self, x: np.ndarray, table: int) -> np.ndarray:
+        a, b = self.directions(table)
+        unit = x / self.largest
+        unit = np.hstack([unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))[:, None]])
+        return self.named(np.floor((unit @ a + b) / self.width))
+
+    def nearness(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query: about how near its limit-th nearest is, between unit vectors, and a score that ``limit`` vectors
+        other than its own reach."""
+        scores = q @ self.sample.T
+        scale = np.sqrt((q * q).sum(1)) * self.largest
+        m = scores.shape[1]
+        best = -np.sort(-scores, axis=1)
+        least = best[:, self.limit] - 1e-9 * scale if m > self.limit else np.full(len(q), -np.inf)
+        if self.rows <= 2 * self.limit or m < 3:
+            return np.full(len(q), -0.99), least
+        best /= scale[:, None]
+        rank = max(3, int(1.5 * self.limit * m / self.rows)) + 1
+        held = best[:, rank] if m > rank else best[:, -1]
+        tail = best.mean(axis=1) + best.std(axis=1) * NormalDist().inv_cdf(1 - self.limit / self.rows)
+        return np.clip(np.maximum(held, np.minimum(tail, best[:, 1])), -0.99, 0.99), least
+
+    def visited(self, q: np.ndarray, near: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of each query in order of estimated success, and how many of them it visits. A bucket is
+        built hash by hash; as the chances multiply, the best ``probes`` beginnings hold all beginnings of the best."""
+        a, b = self.directions(table)
+        at = (q / np.sqrt((q * q).sum(1))[:, None]) @ a[:-1]
+        mean, spread = near[:, None] * at, np.sqrt(1 - near * near)[:, None]
+        own = np.floor((mean + b) / self.width)
+        cells, cost = np.zeros((len(q), 1, 0)), np.zeros((len(q), 1))
+        for j in range(len(b)):
+            around = own[:, j, None] + np.arange(-2, 3)
+            low = around * self.width - b[j] - mean[:, j, None]
+            p = np.interp((low + self.width) / spread, _GRID, _CDF) - np.interp(low / spread, _GRID, _CDF)
+            total = (cost[:, :, None] - np.log(np.maximum(p, 1e-30))[:, None, :]).reshape(len(q), -1)
+            n = min(self.probes, total.shape[1])
+            keep = np.argpartition(total, n - 1, axis=1)[:, :n]
+            cost = np.take_along_axis(total, keep, 1)
+            cells = np.concatenate([np.take_along_axis(cells, (keep // 5)[:, :, None], 1), np.take_along_axis(around, keep % 5, 1)[:, :, None]], axis=2)
+        order = np.argsort(cost, axis=1, kind="stable")
+        chance = np.cumsum(np.exp(-np.take_along_axis(cost, order, 1)), axis=1)
+        enough = 1 - (1 - self.recall) ** (1 / self.tables)
+        return np.take_along_axis(self.named(cells), order, 1), np.minimum((chance < enough).sum(axis=1) + 1, order.shape[1])
+
+
+def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products row by row; equal vectors get equal scores, whatever stands beside them."""
+    return np.concatenate([np.add.reduce(rows[k : k + 65536] * queries[k : k + 65536], axis=1) for k in range(0, len(rows), 65536)]) if len(rows) else np.zeros(0)
+
+
+FOUND = "q long, query_id long, row long, vec_id long, score double, own boolean"
+
+
+def best_in_part(mine: pd.DataFrame, asked: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """The best ``limit`` + 1 of each query among the vectors of its buckets in one part."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    nothing = pd.DataFrame({n: np.zeros(0, np.int64) for n in names}).astype({"score": float, "own": bool})
+    if mine.empty or asked.empty:
+        return nothing
+    mine = mine.sort_values("cell", kind="stable")
+    x, q = np.stack(mine.v.to_numpy()).astype(float), np.stack(asked.v.to_numpy()).astype(float)
+    cells, starts = np.unique(mine.cell.to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(mine))
+    who, cell = np.repeat(np.arange(len(asked)), asked.cells.map(len)), np.concatenate(asked.cells.to_numpy())
+    place = np.searchsorted(cells, cell)
+    met = cells[np.minimum(place, len(cells) - 1)] == cell
+    who, place = who[met], place[met]
+    order = np.argsort(place, kind="stable")
+    who, place = who[order], place[order]
+    least = asked.least.to_numpy()
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for at, n in zip(*np.unique(place, return_counts=True)) if len(place) else ():
+        a, b = starts[at], ends[at]
+        first = np.searchsorted(place, at)
+        step = max(1, (1 << 21) // (b - a))
+        for k in range(first, first + n, step):
+            some = who[k : min(k + step, first + n)]
+            i, j = np.nonzero(q[some] @ x[a:b].T >= least[some, None])
+            pairs.append((some[i], a + j))
+    if not pairs:
+        return nothing
+    i, j = map(np.concatenate, zip(*pairs))
+    score = exact_scores(q[i], x[j]) if len(i) < 1 << 20 else np.concatenate([exact_scores(q[i[k : k + (1 << 16)]], x[j[k : k + (1 << 16)]]) for k in range(0, len(i), 1 << 16)])
+    ids = mine.id.to_numpy()[j]
+    order = np.lexsort((ids, -score, i))
+    i, j, score, ids = i[order], j[order], score[order], ids[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) <= limit
+    i, j, score, ids = i[keep], j[keep], score[keep], ids[keep]
+    qids = asked.qid.to_numpy()[i]
+    own = (ids == qids) & (x[j] == q[i]).all(axis=1)
+    return pd.DataFrame(dict(zip(names, (asked.q.to_numpy()[i], qids, mine.row.to_numpy()[j], ids, score, own))))
+
+
+def _by_length(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    for batch in batches:
+        for k in range(0, len(batch), 256):
+            part = batch.iloc[k : k + 256]
+            for dim, rows in part.groupby(part.v.map(len)):
+                yield int(dim), rows, np.stack(rows.v.to_numpy()).astype(float)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, part_rows: int = PART_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", **parameters) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: for each query row the best found among all other vectors.
+    ``parameters`` are those of ``Index``. Runs jobs, since it stores tables."""
+    few = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    x = materialize(usable(vectors, id_col, vector_col).withColumn("nth", few).where(F.col("nth") <= limit + 1).select(F.monotonically_increasing_id().alias("row"), "id", "v"), "ann-vectors")
+    q = materialize(usable(queries, id_col, vector_col).select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("qid"), "v"), "ann-queries")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e))
+    sizes = x.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("largest")).collect()  # a row for each length of vectors
+    picked: dict[int, list] = {}
+    for r in x.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect():
+        picked.setdefault(len(r.v), []).append(r.v)
+    index = {r.dim: Index(r.rows, r.largest, np.array(picked.get(r.dim, np.zeros((0, r.dim))), float), limit, **parameters) for r in sizes}
+    parts = {dim: -(-own.rows // part_rows) for dim, own in index.items()}
+
+    def hashed(whole: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for dim, rows, v in _by_length(batches):
+                for t in range(index[dim].tables):
+                    cell = index[dim].cells(v, t)
+                    out = pd.DataFrame({"dim": dim, "t": t, "cell": cell})
+                    yield out.assign(part=cell % parts[dim], row=rows.row.to_numpy(), id=rows.id.to_numpy(), v=rows.v.to_numpy()) if whole else out
+
+        return run
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, rows, v in _by_length(batches):
+            if dim not in index:
+                continue
+            near, least = index[dim].nearness(v)
+            for t in range(index[dim].tables):
+                cells, n = index[dim].visited(v, near, t)
+                who = np.repeat(np.arange(len(rows)), n)
+                cell = cells[np.arange(cells.shape[1]) < n[:, None]]
+                part = cell % parts[dim]
+                order = np.lexsort((part, who))
+                who, cell, part = who[order], cell[order], part[order]
+                cuts = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+                i = who[cuts]
+                yield pd.DataFrame({"dim": dim, "t": t, "part": part[cuts], "q": rows.q.to_numpy()[i], "qid": rows.qid.to_numpy()[i], "v": rows.v.to_numpy()[i], "least": least[i], "cells": np.split(cell, cuts[1:])})
+
+    v_type = x.schema["v"].dataType.simpleString()
+    large = x.mapInPandas(hashed(False), "dim int, t int, cell long").groupBy("dim", "t", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
+    large = materialize(large.select("dim", "t", "cell", F.ceil(F.col("n") / part_rows).alias("pieces")), "ann-large")
+    probes = materialize(q.mapInPandas(probed, f"dim int, t int, part long, q long, qid long, v {v_type}, least double, cells array<long>"), "ann-probes")
+    q_pieces = F.lit(max(1, -(-q.count() // QUERY_ROWS)))
+    nothing = F.lit(0).cast("long")
+    group = ["dim", "t", "part", "piece", "q_piece"]
+
+    indexed = x.mapInPandas(hashed(True), f"dim int, t int, cell long, part long, row long, id long, v {v_type}").join(large, ["dim", "t", "cell"], "left")
+    split = F.col("pieces").isNotNull()
+    vectors_of = ["cell", "row", "id", "v"]
+    mine = indexed.select("dim", "t", F.when(split, F.col("cell")).otherwise(F.col("part")).alias("part"), F.when(split, F.pmod(F.xxhash64("row"), "pieces")).otherwise(F.lit(-1)).alias("piece"), F.explode(F.sequence(nothing, F.when(split, q_pieces - 1).otherwise(0).cast("long"))).alias("q_piece"), *vectors_of)
+    queries_of = ["q", "qid", "v", "least", "cells"]
+    asked = probes.select("dim", "t", "part", F.lit(-1).cast("long").alias("piece"), nothing.alias("q_piece"), *queries_of)
+    in_large = probes.withColumn("cell", F.explode("cells")).join(large, ["dim", "t", "cell"])
+    in_large = in_large.select("dim", "t", F.col("cell").alias("part"), F.explode(F.sequence(nothing, F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("q"), q_pieces).alias("q_piece"), "q", "qid", "v", "least", F.array("cell").alias("cells"))
 
     def search(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or asked.empty:
-            return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
-        got = search_block(mine.id.to_numpy(), np.stack(mine.v.to_numpy()), asked.qid.to_numpy(), np.stack(asked.qv.to_numpy()), largest, limit, seed, tables, hashes, width, visit)
-        return pd.DataFrame({"query_id": got[0].astype(np.int64), "vec_id": got[1].astype(np.int64), "score": got[2].astype(float)})
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "vec_id", "score")
+        return best_in_part(mine, asked, limit)
+
+    met = mine.groupBy(*group).cogroup(asked.unionByName(in_large).groupBy(*group)).applyInPandas(search, FOUND)
+    found = materialize(met.repartition("q").dropDuplicates(["q", "row"]), "ann-found")
+
+    # queries with too few candidates meet all vectors of their length
+    counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    lengths = q.sparkSession.createDataFrame([(d, i.rows, parts[d]) for d, i in index.items()], "dim int, rows long, blocks long")
+    short = q.withColumn("dim", F.size("v")).join(F.broadcast(lengths), "dim").join(counts, "q", "left").where(F.coalesce("n", nothing) < F.least(F.lit(limit + 1), "rows"))
+    short = materialize(short.select("dim", "q", "qid", "v", "blocks"), "ann-short")
+    q_pieces = F.lit(max(1, -(-short.count() // QUERY_ROWS)))
+    every = F.lit(-1).alias("t")
+    rest = x.withColumn("dim", F.size("v")).join(F.broadcast(short.select("dim", "blocks").distinct()), "dim")
+    rest = rest.select("dim", every, F.pmod(F.xxhash64("row"), "blocks").alias("part"), nothing.alias("piece"), F.explode(F.sequence(nothing, (q_pieces - 1).cast("long"))).alias("q_piece"), nothing.alias("cell"), "row", "id", "v")
+    short = short.select("dim", every, F.explode(F.sequence(nothing, F.col("blocks") - 1)).alias("part"), nothing.alias("piece"), F.pmod(F.xxhash64("q"), q_pieces).alias("q_piece"), "q", "qid", "v", F.lit(float("-inf")).alias("least"), F.array(nothing).alias("cells"))
+    exact = rest.groupBy(*group).cogroup(short.groupBy(*group)).applyInPandas(search, FOUND)
+
+    all_found = found.unionByName(exact).repartition("q").dropDuplicates(["q", "row"])
+    of = Window.partitionBy("q")
+    others = all_found.withColumn("mine", F.min(F.when(F.col("own"), F.col("row"))).over(of)).where(F.col("mine").isNull() | (F.col("row") != F.col("mine")))
+    ranked = others.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,14 +1,18 @@
 import math
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from bazaarlens.llm import ann
 
 
 def brute(rows, queries, limit):
+    """The nearest of each query row among all rows but itself."""
     out = {}
     for q, v in queries:
-        scored = sorted(((-float(np.add.reduce(np.array(v) * np.array(x))), i) for i, x in rows if i != q))
+        own = rows.index((q, v))
+        scored = sorted((-float(np.add.reduce(np.array(v) * np.array(x))), i) for k, (i, x) in enumerate(rows) if k != own and len(x) == len(v))
         out[q] = [(i, -s) for s, i in scored[:limit]]
     return out
 
@@ -20,11 +24,13 @@ def found(df):
     return out
 
 
-def test_recall_and_scores(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_scores(spark, sf):
+    """With the production parameters, and parts of few rows."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
-    got = found(ann.nearest(df, df.where("vec_id % 20 = 0"), block_rows=200))
+    got = found(ann.nearest(df, df.where("vec_id % 20 = 0"), part_rows=300))
     assert set(got) == set(want)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
@@ -34,36 +40,80 @@ def test_recall_and_scores(spark):
         assert all(math.isclose(s, float(np.dot(vectors[q], vectors[i])), abs_tol=1e-12) for i, s in best)
 
 
-def test_full_visit_is_exact(spark):
+def test_clusters_are_found_in_few_buckets():
+    """Where vectors have near neighbours, a query scores under a tenth of all rows, with a recall over 0.9."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(300, 64))
+    x = (centres[:, None] + 0.2 * rng.normal(size=(300, 60, 64))).reshape(-1, 64)
+    x *= rng.uniform(0.97, 1.0, (18000, 1)) / np.sqrt((x * x).sum(1))[:, None]
+    own = ann.Index(len(x), float(np.sqrt((x * x).sum(1)).max()), x[rng.choice(len(x), ann.SAMPLE, replace=False)])
+    q = x[::200]
+    near, least = own.nearness(q)
+    candidates = np.zeros((len(q), len(x)), bool)
+    for t in range(own.tables):
+        cell = own.cells(x, t)
+        cells, n = own.visited(q, near, t)
+        for k in range(len(q)):
+            candidates[k] |= np.isin(cell, cells[k, : n[k]])
+    scores = q @ x.T
+    scores[np.arange(len(q)), np.arange(0, len(x), 200)] = -np.inf
+    top = np.argsort(-scores, axis=1)[:, :20]
+    assert (np.take_along_axis(scores, top, 1)[:, -1] >= least).all()
+    recall, scored = np.take_along_axis(candidates, top, 1).mean(), candidates.mean()
+    assert recall > 0.9 and scored < 0.1
+
+
+def test_large_buckets_are_split(spark):
+    """Many near copies of one vector: their bucket has more rows than a part."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 1e-6 * rng.normal(size=8)).tolist()) for i in range(300)] + [(300 + i, rng.normal(size=8).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    got = found(ann.nearest(df, df.where("vec_id % 20 = 0"), part_rows=50))
+    assert {q: b for q, b in got.items() if q < 300} == {q: b for q, b in want.items() if q < 300}
+    assert all(len(b) == 20 for b in got.values())
+
+
+def test_equal_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 4)).round(1)
     rows = [(i, base[i % 30].tolist()) for i in range(150)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert found(ann.nearest(df, df.where("vec_id % 20 = 0"), limit=7, block_rows=40, visit=1.1)) == brute(rows, [r for r in rows if r[0] % 20 == 0], 7)
+    assert found(ann.nearest(df, df.where("vec_id % 20 = 0"), limit=7, part_rows=40, recall=1.0)) == brute(rows, [r for r in rows if r[0] % 20 == 0], 7)
 
 
 def test_rows_that_take_no_part(spark):
     good = [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
     bad = [(40, None), (60, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [])]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2 as score", "'x' as block")
-    got = found(ann.nearest(df, df.where("vec_id % 20 = 0"), visit=1.1))
-    assert got == {20: [(2, 1.0), (3, 1.0), (1, 0.5)]}
+    got = found(ann.nearest(df, df.where("vec_id % 20 = 0")))
+    assert got == {20: [(2, 1.0), (3, 1.0), (3, 1.0), (1, 0.5)]}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert ann.nearest(df, df.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_two_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 40, rng.normal(size=16).tolist()) for k in range(80)] + [(100 + k, rng.normal(size=5).tolist()) for k in range(30)]
+    rows.append(rows[7])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id in (7, 20, 100, 110)"), recall=1.0).collect()
+    by_score = Counter((r.query_id, r.vec_id, round(r.score, 9)) for r in got)
+    want = Counter()
+    for q in [r for r in rows if r[0] in (7, 20, 100, 110)]:
+        want.update((q[0], i, round(s, 9)) for i, s in brute(rows, [q], 20)[q[0]])
+    assert by_score == want
+
+
 def test_small_tables_give_all(spark):
     """With the production parameters: all others if they are fewer than 20, else 20."""
     rng = np.random.default_rng(3)
-    for n in (2, 10, 15, 21, 25, 60):
-        x = rng.normal(size=(n, 64))
-        for seed in range(5):
-            q, _, _ = ann.search_block(np.arange(n), x, np.arange(n), x, float(np.sqrt((x * x).sum(1)).max()), ann.LIMIT, seed, ann.TABLES, ann.HASHES, ann.WIDTH, ann.VISIT)
-            assert np.bincount(q, minlength=n).tolist() == [min(20, n - 1)] * n
-    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(15, 64)))]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = found(ann.nearest(df, df.where("vec_id % 5 = 0")))
-    want = brute(rows, [r for r in rows if r[0] % 5 == 0], 20)
-    assert {q: [i for i, _ in b] for q, b in got.items()} == {q: [i for i, _ in b] for q, b in want.items()}
-    good = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert found(ann.nearest(good, good.where("vec_id = 20"))) == {20: [(2, 1.0), (3, 1.0), (1, 0.5)]}
+    for n in (2, 15, 25, 60):
+        rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 64)))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = found(ann.nearest(df, df.where("vec_id % 5 = 0")))
+        want = brute(rows, [r for r in rows if r[0] % 5 == 0], 20)
+        assert {q: len(b) for q, b in got.items()} == {q: len(b) for q, b in want.items()}
+        if n <= 20:
+            assert {q: [i for i, _ in b] for q, b in got.items()} == {q: [i for i, _ in b] for q, b in want.items()}
