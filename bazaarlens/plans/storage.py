@@ -13,12 +13,15 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests on one machine), a temporary folder is used and
-    registered as the checkpoint folder.
+    Where the session sets none and the master is local (tests on one machine), a temporary folder is
+    used and registered as the checkpoint folder. On a cluster executors could not read each other's
+    local files, so there a session without the setting is refused.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="bazaarlens-")
