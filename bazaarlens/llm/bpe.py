@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens remembered by a worker; a full memory is emptied, results do not depend on it.
-REMEMBERED = 200_000
+#: Bytes of pre-tokens that a worker remembers, about, and the longest one; a full memory is emptied. Results do not
+#: depend on either.
+REMEMBERED, LONGEST = 64 << 20, 256
 
 
 def byte_alphabet() -> list[str]:
@@ -93,8 +94,10 @@ class Codec:
 
     def _pre_token(self, text: str) -> tuple[int, ...]:
         data = text.encode()
-        whole = self.ranks.get(data)  # a pre-token that is a token itself is never merged up to
-        return (whole,) if whole is not None else tuple(self.model.encode("".join([self.letters[b] for b in data])))
+        ids = tuple(self.model.encode("".join([self.letters[b] for b in data])))
+        if len(ids) > 1 and (whole := self.ranks.get(data)) is not None:
+            return (whole,)  # a token that merges don't reach stands for itself
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.cut(text)))) if text else []
@@ -108,12 +111,17 @@ class Codec:
 
 class _Remembered(dict):
     def __init__(self, make):
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            # about what a string, a tuple and their entry take
+            self.held += 250 + 4 * len(key) + 8 * len(value)
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[key] = value
         return value
 
 

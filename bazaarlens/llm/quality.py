@@ -94,6 +94,26 @@ class Model:
         return 1 / (1 + np.exp(self.thresholds - float(self.weights[found].sum(dtype=np.float64))))
 
 
+def objective(theta: np.ndarray, y: np.ndarray, place: np.ndarray, counts: np.ndarray, each: np.ndarray, decay: float, n_grades: int) -> tuple[float, np.ndarray]:
+    """The weighted negative log-likelihood of grades ``y``, with a penalty on weights, and its gradient.
+    ``theta``: a weight for each feature, the first threshold, and the logarithms of the gaps to the next ones;
+    ``place`` holds the features of all documents, ``counts`` of them in each."""
+    n = len(theta) - n_grades + 1
+    row = np.arange(len(y))
+    w, low, gaps = theta[:n], theta[n], np.exp(theta[n + 1 :])
+    cuts = low + np.concatenate([[0], np.cumsum(gaps)])
+    sums, ends = np.concatenate([[0.0], np.cumsum(w[place])]), np.cumsum(counts)
+    s = sums[ends] - sums[ends - counts]
+    upto = 1 / (1 + np.exp(np.clip(s[:, None] - cuts, -40, 40)))
+    wide = np.hstack([np.zeros((len(y), 1)), upto, np.ones((len(y), 1))])
+    slope = np.hstack([np.zeros((len(y), 1)), upto * (1 - upto), np.zeros((len(y), 1))])
+    p = np.maximum(wide[row, y + 1] - wide[row, y], 1e-9)
+    up, down = slope[row, y + 1] / p * each, slope[row, y] / p * each
+    by_cut = (np.bincount(y, down, n_grades + 1) - np.bincount(y + 1, up, n_grades + 1))[1:-1]
+    grad = np.concatenate([np.bincount(place, np.repeat(up - down, counts), n) + decay * w, [by_cut.sum()], [by_cut[j + 1 :].sum() * gaps[j] for j in range(n_grades - 2)]])
+    return float(-(each * np.log(p)).sum() + decay / 2 * (w * w).sum()), grad
+
+
 def fit(grade: np.ndarray, counts: np.ndarray, found: np.ndarray, n_grades: int = GRADES, rounds: int = 250, decay: float = 1e-3, seen: int = SEEN) -> Model | None:
     """Full-batch Adam on the log-likelihood, rare grades weighing more. ``counts`` says how many of the
     features ``found`` belong to each document."""
@@ -108,25 +128,13 @@ def fit(grade: np.ndarray, counts: np.ndarray, found: np.ndarray, n_grades: int
     of = np.repeat(np.arange(len(y), dtype=np.int32), counts)[place >= 0]
     place = place[place >= 0]
     counts = np.bincount(of, minlength=len(y))
-    ends = np.cumsum(counts)
     del of, number, tally
     share = np.sqrt(len(y) / (n_grades * np.maximum(1, np.bincount(y, minlength=n_grades))))
     each = share[y] / share[y].sum()
-    row = np.arange(len(y))
     theta = np.concatenate([np.zeros(len(own)), [-0.5], np.zeros(n_grades - 2)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
-        w, low, gaps = theta[: len(own)], theta[len(own)], np.exp(theta[len(own) + 1 :])
-        cuts = low + np.concatenate([[0], np.cumsum(gaps)])
-        sums = np.concatenate([[0.0], np.cumsum(w[place])])
-        s = sums[ends] - sums[ends - counts]
-        upto = 1 / (1 + np.exp(np.clip(s[:, None] - cuts, -40, 40)))
-        wide = np.hstack([np.zeros((len(y), 1)), upto, np.ones((len(y), 1))])
-        slope = np.hstack([np.zeros((len(y), 1)), upto * (1 - upto), np.zeros((len(y), 1))])
-        p = np.maximum(wide[row, y + 1] - wide[row, y], 1e-9)
-        up, down = slope[row, y + 1] / p * each, slope[row, y] / p * each
-        by_cut = (np.bincount(y, down, n_grades + 1) - np.bincount(y + 1, up, n_grades + 1))[1:-1]
-        grad = np.concatenate([np.bincount(place, np.repeat(up - down, counts), len(own)) + decay * w, [by_cut.sum()], [by_cut[j + 1 :].sum() * gaps[j] for j in range(n_grades - 2)]])
+        _, grad = objective(theta, y, place, counts, each, decay, n_grades)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)

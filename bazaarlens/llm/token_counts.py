@@ -65,19 +65,22 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """Totals for any context limits, also those between lengths: documents longer than the limit,
-    tokens kept after cutting each document to it, and tokens in documents that fit whole."""
-    wanted = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long").distinct()
-    fits = F.col("n_tokens") <= F.col("limit")
-    # wanted is a stated list on the driver, so broadcasting it is bounded by its argument
-    joined = sums.select("n_tokens", "n_docs").join(F.broadcast(wanted), F.lit(True))
-    return joined.groupBy("limit").agg(
-        F.sum(F.when(fits, 0).otherwise(F.col("n_docs"))).alias("docs_cut"),
-        F.sum(F.least("n_tokens", "limit") * F.col("n_docs")).alias("truncated_total"),
-        F.sum(F.when(fits, F.col("n_tokens") * F.col("n_docs")).otherwise(0)).alias("tokens_in_whole_docs"),
-    )
+    tokens kept after cutting each document to it, and tokens in documents that fit whole. Each is looked
+    up in the suffix sums of the next length above the limit, all limits in one pass."""
+    wanted = sorted({int(x) for x in limits})
+    if not wanted:
+        return sums.sparkSession.createDataFrame([], "limit long, docs_cut long, truncated_total long, tokens_in_whole_docs long")
+    above = lambda x: F.min(F.when(F.col("n_tokens") > x, F.struct("n_tokens", "docs_at_least", "tokens_at_least")))
+    rows = sums.agg(F.max("corpus_tokens").alias("all"), F.array(*[F.struct(F.lit(x).cast("long").alias("limit"), above(x).alias("next")) for x in wanted]).alias("found"))
+    rows = rows.where("all is not null").select("all", F.inline("found"))
+    cut, whole = F.coalesce("next.docs_at_least", F.lit(0)).cast("long"), (F.col("all") - F.coalesce("next.tokens_at_least", F.lit(0))).cast("long")
+    return rows.select("limit", cut.alias("docs_cut"), (whole + F.col("limit") * cut).alias("truncated_total"), whole.alias("tokens_in_whole_docs"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """The smallest length up to which at least the given share of documents lies."""
-    wanted = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double").distinct()
-    return sums.join(F.broadcast(wanted), F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    """The smallest length up to which at least the given share of documents lies, all shares in one pass."""
+    wanted = sorted({float(x) for x in shares})
+    if not wanted:
+        return sums.sparkSession.createDataFrame([], "share double, n_tokens long")
+    rows = sums.agg(F.array(*[F.struct(F.lit(x).alias("share"), F.min(F.when(F.col("quantile") >= x, F.col("n_tokens"))).alias("n_tokens")) for x in wanted]).alias("found"))
+    return rows.select(F.inline("found")).where("n_tokens is not null")

@@ -696,7 +696,7 @@ def write_samples(payload: bytes) -> bytes:
     samples = np.frombuffer(payload, np.uint8)
     height, width = shape_of(len(samples))
     tally = np.bincount(samples, minlength=256)
-    if np.count_nonzero(tally) <= 16 and len(samples) <= 1 << 16:
+    if np.count_nonzero(tally) <= 16:
         return write_image((samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)).reshape(height, width), palette=True)
     each, profiles = _profiles()
     lengths, codes, header, header_widths = profiles[int(np.argmin(each @ tally))]

@@ -1,3 +1,5 @@
+import math
+
 from bazaarlens.llm import quality as Q
 
 
@@ -20,6 +22,44 @@ def test_ordered_and_separates():
     assert right >= 0.9 * 200
 
 
+def test_gradient_by_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n_grades in (2, 3, 5):
+        counts = rng.integers(0, 5, 40)
+        place, y, each = rng.integers(0, 7, counts.sum()), rng.integers(0, n_grades, 40), rng.uniform(0.1, 1, 40)
+        theta = rng.normal(size=7 + n_grades - 1)
+        of = lambda t: Q.objective(t, y, place, counts, each, 0.01, n_grades)  # noqa: B023, E731
+        cuts = theta[7] + np.concatenate([[0], np.cumsum(np.exp(theta[8:]))])
+        loss = 0.005 * float((theta[:7] ** 2).sum())
+        for k, at in enumerate(np.cumsum(counts) - counts):
+            s = sum(theta[f] for f in place[at : at + counts[k]])
+            upto = [0.0, *(1 / (1 + math.exp(s - c)) for c in cuts), 1.0]
+            loss -= each[k] * math.log(upto[y[k] + 1] - upto[y[k]])
+        value, grad = of(theta)
+        assert math.isclose(value, loss, rel_tol=1e-9)
+        for j in range(len(theta)):
+            step = np.eye(len(theta))[j] * 1e-6
+            assert math.isclose((of(theta + step)[0] - of(theta - step)[0]) / 2e-6, grad[j], rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_scores_by_formula(spark, sf):
+    """The query against plain Python: its features, one sum, one sigmoid for each threshold."""
+    from bazaarlens.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = Q.train(docs, Q.grades(spark.read.parquet(f"{sf}/labels.parquet")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op7_ordinal_quality(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        s = math.fsum(float(model.weights[f]) for f in Q.features(texts[r.doc_id]))
+        tails = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert math.isclose(r.tail_probability, tails[-1], abs_tol=1e-6) and math.isclose(r.expected_grade, sum(tails), abs_tol=1e-6)
+        assert r.keep == (r.tail_probability >= Q.CUTOFF)
+
+
 def test_held_out_accuracy(spark):
     """Fitted on four fifths of the rated documents of a table, judged on the rest."""
     d = "/root/testdata/sf0.1"

@@ -34,6 +34,51 @@ def test_predictors_by_hand():
     assert webp._predict(13, left, top, corner, 0) == 0xFF374E66
 
 
+def test_every_predictor_by_formula():
+    """The fourteen modes of the format, written out on single channels."""
+    rng = np.random.default_rng(4)
+    clamp = lambda x: max(0, min(255, x))
+    avg = lambda a, b: (a + b) // 2
+    toward_zero = lambda x: x // 2 if x >= 0 else -(-x // 2)
+    forms = {
+        0: None, 1: lambda l, t, c, r: l, 2: lambda l, t, c, r: t, 3: lambda l, t, c, r: r, 4: lambda l, t, c, r: c, 5: lambda l, t, c, r: avg(avg(l, r), t), 6: lambda l, t, c, r: avg(l, c), 7: lambda l, t, c, r: avg(l, t),
+        8: lambda l, t, c, r: avg(c, t), 9: lambda l, t, c, r: avg(t, r), 10: lambda l, t, c, r: avg(avg(l, c), avg(t, r)), 12: lambda l, t, c, r: clamp(l + t - c), 13: lambda l, t, c, r: clamp(avg(l, t) + toward_zero(avg(l, t) - c)),
+    }
+    bytes_of = lambda p: [p >> k & 255 for k in (24, 16, 8, 0)]
+    for _ in range(300):
+        l, t, c, r = (int(x) for x in rng.integers(0, 2**32, 4))
+        for mode, form in forms.items():
+            want = [255, 0, 0, 0] if form is None else [form(*x) for x in zip(*map(bytes_of, (l, t, c, r)))]
+            assert bytes_of(webp._predict(mode, l, t, c, r)) == want, mode
+        guess = [a + b - d for a, b, d in zip(*map(bytes_of, (l, t, c)))]
+        far = lambda p: sum(abs(x - y) for x, y in zip(guess, bytes_of(p)))  # noqa: B023, E731
+        assert webp._predict(11, l, t, c, r) == (l if far(l) < far(t) else t)
+
+
+def test_a_predicted_image_pixel_by_pixel():
+    """Borders too: the first pixel is opaque black, the first row follows from the left, the first column from above, and
+    right of the last column is the row's own first pixel."""
+    rng = np.random.default_rng(6)
+    h, w, block = 9, 11, 2
+    image = rng.integers(0, 2**32, (h, w), dtype=np.uint32)
+    modes = rng.integers(0, 14, (-(-h >> block), -(-w >> block)))
+    flat = image.ravel().tolist()
+    for y in range(h):
+        for x in range(w):
+            n = y * w + x
+            at = lambda k: flat[k]
+            want = 0xFF000000 if n == 0 else at(n - 1) if y == 0 else at(n - w) if x == 0 else webp._predict(int(modes[y >> block, x >> block]), at(n - 1), at(n - w), at(n - w - 1), at(n - w + 1))
+            assert webp._predicted(flat, n, w, modes.ravel().tolist(), modes.shape[1], block) == want
+    assert (webp.read_image(webp.write_image(image, modes, None, block)) == image).all()
+
+
+def test_few_values_are_a_palette_at_every_size():
+    for n in (64, 1 << 10, (1 << 16) + 64):
+        payload = (b"abcdabdc" * (n // 8))[:n]
+        data = webp.write_samples(payload)
+        assert webp.read_samples(data) == payload and webp.Bits(data[20:]).read(8) == 0x2F
+
+
 def test_several_groups_of_codes():
     """A stream with an image of code groups, written bit by bit: a 4 x 8 image, upper half one value, lower half another."""
     out = webp.Out()
@@ -100,7 +145,7 @@ def test_damage_is_told():
 
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (None, "x"), (-3, "y"), (-3, "y")], docs.schema)).withColumnRenamed("x", "media")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (None, "x"), (-3, "y"), (-3, "y")], docs.schema)).selectExpr("*", "'m' AS media", "1 AS n_bytes", "2 AS image", "3 AS pixels", "'t' AS feature")
     rows, texts = webp.text_media(docs).collect(), [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     assert len(rows) == len(texts)
     want = sorted((str(i), len(b), hashlib.sha256(webp.padded(b)).hexdigest(), zlib.crc32(webp.padded(b)[-64:])) for i, b in texts)
