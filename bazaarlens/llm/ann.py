@@ -45,7 +45,7 @@ RECALL, PROBES = 0.93, 512
 #: Vectors on the driver, by which buckets are estimated.
 SAMPLE = 4096
 #: Vectors of a part, and queries that meet a piece of a large bucket.
-PART_ROWS, QUERY_ROWS = 8192, 4096
+PART_ROWS, QUERY_ROWS = 65536, 4096
 
 _RNG = np.random.default_rng(4)
 _FACTORS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
