@@ -130,14 +130,14 @@ class Index:
         own = np.floor((mean + b) / self.width)
         cells, cost = np.zeros((len(q), 1, 0)), np.zeros((len(q), 1))
         for j in range(len(b)):
-            around = own[:, j, None] + np.arange(-2, 3)
+            around = own[:, j, None] + np.arange(-1, 2)
             low = around * self.width - b[j] - mean[:, j, None]
             p = np.interp((low + self.width) / spread, _GRID, _CDF) - np.interp(low / spread, _GRID, _CDF)
             total = (cost[:, :, None] - np.log(np.maximum(p, 1e-30))[:, None, :]).reshape(len(q), -1)
             n = min(self.probes, total.shape[1])
             keep = np.argpartition(total, n - 1, axis=1)[:, :n]
             cost = np.take_along_axis(total, keep, 1)
-            cells = np.concatenate([np.take_along_axis(cells, (keep // 5)[:, :, None], 1), np.take_along_axis(around, keep % 5, 1)[:, :, None]], axis=2)
+            cells = np.concatenate([np.take_along_axis(cells, (keep // 3)[:, :, None], 1), np.take_along_axis(around, keep % 3, 1)[:, :, None]], axis=2)
         order = np.argsort(cost, axis=1, kind="stable")
         chance = np.cumsum(np.exp(-np.take_along_axis(cost, order, 1)), axis=1)
         enough = 1 - (1 - self.recall) ** (1 / self.tables)
