@@ -66,6 +66,11 @@ def recent_history(history: DataFrame, settings: Settings = DEFAULT) -> DataFram
     return history.where((F.col("price") > 0) & (F.col("checked_at") >= since)).select("offer_id", "price", "checked_at")
 
 
+def typed_history(history: DataFrame) -> DataFrame:
+    """Snapshots whose ``checked_at`` is ISO text (with Z or an offset) as timestamps; text that is no time is left out."""
+    return history.withColumn("checked_at", F.col("checked_at").try_cast("timestamp")).where("checked_at is not null")
+
+
 def history_analysis(current: DataFrame, history: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """For each (offer_id, current_price): points, 30-day mean, 90-day low, last distinct price, strongest
     drop and the status that verifies a deal. Values are not rounded.

@@ -154,3 +154,47 @@ def test_queries_match_all_offers(spark, sf, tmp_path):
         groups.setdefault(r.group_id, []).append(r.offer_id)
     assert sorted(map(sorted, groups.values())) == clusters([(a, b, s) for (a, b), (s, _) in want.items()], {i: r.merchant_id for i, r in own.items()})
     assert {r.id for r in Q.QUERIES["canonical_survivors"](spark, d).collect()} <= {f"canonical-{g}" for g in groups}
+
+
+def test_edges_of_a_whole_table_by_hand(spark, sf):
+    """The registered query against all pairs of offers in stock, scored in plain Python."""
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    from bazaarlens import queries
+
+    rows = matching.with_features(queries._all_offers(spark, sf)).select("offer_id", "merchant_id", *matching.MATCHED).collect()
+    kinds: dict = {}
+    for r in rows:
+        kinds.setdefault((r.norm, r.brand_key, tuple(r.words), r.volume, tuple(r.colours), tuple(r.models), r.valid_gtin), []).append((r.offer_id, r.merchant_id))
+
+    def score(x, y):
+        norm, brand, words, volume, colours, models, gtin = zip(x, y)
+        if all(gtin):
+            return 100.0 if gtin[0] == gtin[1] else 0.0
+        sure = all(v is not None for v in volume)
+        if not all(brand) or brand[0] != brand[1] or (sure and abs(volume[0] - volume[1]) > 5):
+            return 0.0
+        for sets in (colours, models):
+            if all(sets) and not set(sets[0]) & set(sets[1]):
+                return 0.0
+        shared, either = set(words[0]) & set(words[1]), set(words[0]) | set(words[1])
+        codes = set(models[0]) & set(models[1])
+        part = len(codes) / min(len(set(m)) for m in models) if all(models) else 0.0
+        ratio = SequenceMatcher(None, norm[0], norm[1]).ratio()
+        jac = len(shared) / len(either) if either else 0.0
+        return min(99.0, 48 + 34 * (0.45 * ratio + 0.55 * jac) + 12 * part + (6 if sure else 0) + (5 if codes else 0))
+
+    want = {}
+    for x, y in [*((k, k) for k in kinds), *combinations(kinds, 2)]:
+        pair = {one: score(*one) for one in ((x, y), (y, x))}
+        if max(pair.values()) < 78:
+            continue
+        for a, am in kinds[x]:
+            for b, bm in kinds[y]:
+                if am != bm and (x != y or a < b):
+                    found = pair[x, y] if a < b else pair[y, x]
+                    if found >= 78:
+                        want[min(a, b), max(a, b)] = round(found, 6)
+    got = {(r.a, r.b): round(r.score, 6) for r in queries.match_edges(spark, sf).collect()}
+    assert got == want and len(got) > 1000
