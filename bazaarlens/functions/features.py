@@ -74,7 +74,7 @@ def model_codes(title: Column) -> Column:
     """Codes with hyphens, or letters with two digits or more; not phrases of colours, not shorter than four
     signs, and without letters only with two hyphens."""
     raw = _by_ascii(title, F.upper, _upper_plain)
-    found = F.regexp_extract_all(raw, F.lit(r"\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b|\b[A-Z]{1,8}\d{2,}[A-Z0-9]*\b"), F.lit(0))
+    found = F.regexp_extract_all(raw, F.lit(r"(?U)\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b|\b[A-Z]{1,8}\d{2,}[A-Z0-9]*\b"), F.lit(0))
     words = _strings([w.upper() for w in _FAMILY])
 
     def good(code: Column) -> Column:

@@ -24,6 +24,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in old.columns])
 
 
+def upsert_newer(old: DataFrame, new: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """``upsert`` of the rows of ``new`` that are not older than the row they replace."""
+    known = old.select(*keys, F.col(time).alias("_known"))
+    return upsert(old, new.join(known, keys, "left").where(F.col("_known").isNull() | (F.col(time) >= F.col("_known"))).drop("_known"), keys)
+
+
 def patch(table: DataFrame, where, values: dict) -> DataFrame:
     """``table`` with columns set in the rows that ``where`` selects."""
     return table.withColumns({c: F.when(F.coalesce(where, F.lit(False)), v).otherwise(F.col(c)) for c, v in values.items()})

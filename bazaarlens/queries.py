@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
@@ -141,9 +141,9 @@ def deal_feed(spark, d):
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS offer_id, arg_max(value, (ts, value)) AS price, max(ts) AS last_checked_at FROM events GROUP BY 1
-UNION ALL SELECT 'old-' || o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority = '5-LOW'""")
+UNION ALL SELECT 'old-' || o_orderkey, o_totalprice, o_orderdate FROM orders""")
 def upsert_latest(spark, d):
-    o = A.table(spark, d, "orders").where("o_orderpriority = '5-LOW'")
+    o = A.table(spark, d, "orders")
     old = o.select(F.concat(F.lit("old-"), F.col("o_orderkey").cast("string")).alias("offer_id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("last_checked_at"))
     known = A.price_history(spark, d).groupBy("offer_id").agg(F.min("price").alias("price"), F.min("checked_at").alias("last_checked_at")).where("cast(offer_id as long) % 2 = 0")
     new = A.price_history(spark, d).groupBy("offer_id").agg(F.max_by("price", F.struct("checked_at", "price")).alias("price"), F.max("checked_at").alias("last_checked_at"))
@@ -218,8 +218,15 @@ SELECT CAST(a.p_partkey AS VARCHAR) AS a, CAST(b.p_partkey AS VARCHAR) AS b, len
 FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8""")
 def jaccard_pairs(spark, d):
     t = _titles(spark, d).select(F.col("id").cast("long").alias("id"), "brand", F.array_distinct(X.meaningful(F.col("tokens"))).alias("w"))
-    a, b = t.select(F.col("id").alias("a"), "brand", F.col("w").alias("x")), t.select(F.col("id").alias("b"), "brand", F.col("w").alias("y"))
-    rows = a.join(b, "brand").where("a < b").withColumn("jac", X.jaccard(F.col("x"), F.col("y"))).where("jac >= 0.8")
+    # prefix filter: two titles with a Jaccard of 0.8 share one of the n - ceil(0.8 n) + 1 rarest words of each
+    words = t.select("id", "brand", F.size("w").alias("n"), F.explode("w").alias("v"))
+    often = words.groupBy("brand", "v").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "v"))
+    rare = words.join(often, ["brand", "v"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-9) + 1)
+    a, b = rare.select("brand", "v", F.col("id").alias("a"), F.col("n").alias("an")), rare.select("brand", "v", F.col("id").alias("b"), F.col("n").alias("bn"))
+    pairs = a.join(b, ["brand", "v"]).where((F.col("a") < F.col("b")) & (F.least("an", "bn") >= 0.8 * F.greatest("an", "bn") - 1e-9)).select("a", "b").distinct()
+    rows = pairs.join(t.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(t.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
+    rows = rows.withColumn("jac", X.jaccard(F.col("x"), F.col("y"))).where("jac >= 0.8")
     return rows.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "jac")
 
 
@@ -332,9 +339,9 @@ def category_flatten(spark, d):
     return flat.select(F.col("subcategory").alias("category"), F.col("category").alias("parent"), "query", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("SELECT p_partkey, r_name FROM part, region WHERE p_size = 1")
+@query("SELECT p_partkey, r_name FROM part, region")
 def collector_steps(spark, d):
-    subs = A.table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("subcategory_slug"), F.lit("q").alias("query"))
+    subs = A.table(spark, d, "part").select(F.col("p_partkey").alias("subcategory_slug"), F.lit("q").alias("query"))
     return catalog.collector_steps(subs, A.table(spark, d, "region").select(F.col("r_name").alias("merchant"))).select(F.col("subcategory_slug").alias("p_partkey"), F.col("merchant").alias("r_name"))
 
 

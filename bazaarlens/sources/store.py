@@ -1,53 +1,73 @@
-"""Tables in versioned folders: a write makes a new version and then moves the pointer, so readers see
-the old table or the new one, and a job that is lost in between changes nothing."""
+"""Tables in versioned folders: a write makes new folders and then adds a pointer, so readers see the old
+table or the new one, and a job that is lost in between changes nothing."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.tables import patch, upsert
+from ..operators.tables import patch, upsert, upsert_newer
+
+
+class WriteConflict(RuntimeError):
+    """Another writer made the same version first; the table is as that writer left it."""
 
 
 class TableStore:
-    """``root`` is any address Spark can write. The newest pointer row names a table's version."""
+    """``root`` is any address Spark can write. The newest pointer names the folders of a table's version;
+    folders are never written again, and an append adds one to those of the version before."""
+
+    _POINTER = "number long, writer string, paths array<string>"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _version(self, name: str) -> tuple[int, str] | None:
-        path = f"{self.root}/{name}/_pointers"
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+    def _pointers(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(self._POINTER).parquet(f"{self.root}/{name}/_pointers")
+        except AnalysisException:  # no such folder
             return None
-        row = self.spark.read.schema("number long, path string").parquet(path).orderBy("number", ascending=False).first()
-        return (row.number, row.path) if row else None
+
+    def _version(self, name: str) -> tuple[int, list[str]]:
+        pointers = self._pointers(name)
+        # of two writers of one version the first name counts
+        row = pointers.orderBy("number", "writer", ascending=[False, True]).first() if pointers else None
+        return (row.number, row.paths) if row else (0, [])
+
+    def _publish(self, name: str, number: int, paths: list[str]) -> None:
+        writer = uuid.uuid4().hex
+        self.spark.createDataFrame([(number, writer, paths)], self._POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/_pointers")
+        if self._pointers(name).where(f"number = {number}").orderBy("writer").first().writer != writer:
+            raise WriteConflict(f"version {number} of {name} was written by another job")
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
-        found = self._version(name)
-        if found is None:
+        _, paths = self._version(name)
+        if not paths:
             if schema is None:
                 raise LookupError(f"no table {name}")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(found[1])
+        return self.spark.read.parquet(*paths)
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
-        found = self._version(name)
+        number, _ = self._version(name)
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         rows.write.parquet(path)
-        pointer = self.spark.createDataFrame([((found[0] if found else 0) + 1, path)], "number long, path string")
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/_pointers")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        found = self._version(name)
-        if found is None:
-            self.overwrite(name, rows)
-        else:
-            rows.write.mode("append").parquet(found[1])
-
-    def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
-        self.overwrite(name, upsert(self.read(name), rows, keys))
+        self._publish(name, number + 1, [path])
+
+    def append(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Adds rows as a folder of their own; a named batch that is there already adds nothing."""
+        number, paths = self._version(name)
+        path = f"{self.root}/{name}/{batch or uuid.uuid4().hex}"
+        if path not in paths:
+            rows.write.mode("overwrite").parquet(path)  # of a batch that was lost before its pointer
+            self._publish(name, number + 1, [*paths, path])
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], newer: str | None = None, schema: str | None = None) -> None:
+        """``newer``: only rows whose time in that column is not before the known one count."""
+        old = self.read(name, schema)
+        self.overwrite(name, upsert_newer(old, rows, keys, newer) if newer else upsert(old, rows, keys))
 
     def patch(self, name: str, where, values: dict) -> None:
         self.overwrite(name, patch(self.read(name), where, values))

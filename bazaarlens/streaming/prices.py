@@ -25,13 +25,13 @@ def latest_prices(batch: DataFrame) -> DataFrame:
 
 
 def apply_batch(store: TableStore) -> Callable[[DataFrame, int], None]:
-    """Appends a batch's history and renews current prices; a batch that comes again adds nothing twice."""
+    """Appends a batch's history as a folder named by its number, so a batch that comes again adds nothing twice,
+    and renews prices of offers that the batch has newer ones for."""
 
     def run(batch: DataFrame, number: int) -> None:
-        known = store.read("price_history", schemas.PRICE_HISTORY)
-        new = batch.join(known.select("offer_id", "checked_at"), ["offer_id", "checked_at"], "left_anti").select("offer_id", "price", "in_stock", "checked_at")
-        store.overwrite("price_history", known.unionByName(new))
-        store.upsert("offers", latest_prices(batch), ["id"])
+        history = batch.dropDuplicates(["offer_id", "checked_at"]).select("offer_id", "price", "in_stock", "checked_at")
+        store.append("price_history", history, f"batch-{number}")
+        store.upsert("offers", latest_prices(batch), ["id"], newer="last_checked_at", schema=schemas.OFFERS)
 
     return run
 

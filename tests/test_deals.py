@@ -1,4 +1,4 @@
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +139,23 @@ def test_category_tree(spark, tmp_path):
     rows = catalog.active_subcategories(tree).collect()
     assert [(r.subcategory_slug, r.query, r.aliases) for r in rows] == [("x", "q1", ["q2"])]
     assert catalog.active_subcategories(tree, slug="none").count() == 0 and catalog.active_subcategories(tree, limit=0).count() == 1
+
+
+def test_late_batches_and_conflicts(spark, tmp_path):
+    """A batch that comes late or again: history holds it once, a newer price stays; versions are kept apart."""
+    from bazaarlens.sources.store import WriteConflict
+
+    store = TableStore(spark, f"file://{tmp_path}/late")
+    run = prices.apply_batch(store)
+    rows = lambda *x: spark.createDataFrame([(o, p, True, datetime(2024, 1, day)) for o, p, day in x], schemas.PRICE_HISTORY)
+    run(rows(("a", 5.0, 20), ("b", 7.0, 20)), 0)
+    before = store.read("price_history")
+    late = rows(("a", 4.0, 10), ("c", 1.0, 3), ("b", 8.0, 21))
+    run(late, 1)
+    run(late, 1)
+    assert before.count() == 2 and store.read("price_history").count() == 5
+    assert {r.id: r.price for r in store.read("offers").collect()} == {"a": 5.0, "b": 8.0, "c": 1.0}
+    number, paths = store._version("offers")
+    with pytest.raises(WriteConflict):
+        for _ in range(40):  # one of two writers of a version loses
+            store._publish("offers", number + 1, paths)
