@@ -85,21 +85,47 @@ def id_in_url(merchant: Column, url: Column) -> Column:
     return out
 
 
+def card_address(hrefs: Column) -> Column:
+    """The first address that leads to a page."""
+    return F.get(F.filter(hrefs, lambda h: (h != "") & ~h.startswith("javascript:")), 0)
+
+
 def card_items(cards: DataFrame, limit: int = DEFAULT.search_limit, most_cards: int = 120) -> DataFrame:
     """Items of cards: the first ``most_cards`` of a page, each address once, the first ``limit`` of them. The
     price may be missing; a card without an address or title makes none."""
-    c = cards.where(F.col("pos") < most_cards).withColumn("href", F.get(F.filter("hrefs", lambda h: (h != "") & ~h.startswith("javascript:")), 0)).where("href is not null")
+    c = cards.where(F.col("pos") < most_cards).withColumn("href", card_address(F.col("hrefs"))).where("href is not null")
     c = c.withColumn("product_url", canonical_url(join_url("page_url", "href"))).withColumn("name", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim("image_alt"), F.lit("")))).where("name is not null")
     once = Window.partitionBy("merchant", "query", "product_url").orderBy("pos")
     c = c.withColumn("nth", F.row_number().over(once)).where("nth = 1")
     c = c.withColumn("nth", F.row_number().over(Window.partitionBy("merchant", "query").orderBy("pos"))).where(F.col("nth") <= limit)
     image = F.get(F.filter("images", lambda i: i.isNotNull() & (i != "")), 0)
     return c.select(
-        "merchant", id_in_url(F.col("merchant"), F.col("product_url")).alias("merchant_product_id"), card_brand(F.col("merchant"), F.col("brand_text"), F.col("name"), F.col("product_url")).alias("brand"), F.col("name").alias("title"),
+        "merchant", "query", id_in_url(F.col("merchant"), F.col("product_url")).alias("merchant_product_id"), card_brand(F.col("merchant"), F.col("brand_text"), F.col("name"), F.col("product_url")).alias("brand"), F.col("name").alias("title"),
         current_price(F.col("nodes"), F.col("card_text")).alias("price"), F.when(image.startswith("//"), F.concat(F.lit("https:"), image)).otherwise(image).alias("image_url"), "product_url", F.lit(True).alias("in_stock"), F.lit(None).cast("string").alias("gtin"),
     )
 
 
+#: What addresses of product pages contain, by merchant, where cards are looked for around links. Fixed values.
+PRODUCT_LINKS = {"hepsiburada": ["-p-HBC", "HBCV", "HBC000", "HB"]}
+
+
+def link_card_items(cards: DataFrame, limit: int = DEFAULT.search_limit, most_links: int = 150) -> DataFrame:
+    """Items of cards that stand around links to product pages, for the merchants of PRODUCT_LINKS: of a page's
+    first ``most_links`` such links, those whose card names an amount. ``cards`` has a row for each link."""
+    href, fits = card_address(F.col("hrefs")), F.lit(False)
+    for merchant, signs in PRODUCT_LINKS.items():
+        fits = fits | ((F.col("merchant") == merchant) & _any(href, signs))
+    nth = F.row_number().over(Window.partitionBy("merchant", "query").orderBy("pos")) - 1
+    near = cards.where(fits).withColumn("pos", nth).where((F.col("pos") < most_links) & _any(F.coalesce("card_text", F.lit("")), ["TL", "₺"]))
+    return card_items(near, limit, most_links)
+
+
+def items_or_fallback(cards: DataFrame, links: DataFrame, limit: int = DEFAULT.search_limit, most_cards: int = 120) -> DataFrame:
+    """Items of cards with their query; a search without any takes those of the cards around its links."""
+    found = card_items(cards, limit, most_cards)
+    return found.unionByName(link_card_items(links, limit).join(found.select("merchant", "query").distinct(), ["merchant", "query"], "left_anti"))
+
+
 #: Labels of links that lead to a shop and name nobody. Fixed values.
 CALLS = ["satıcıya git", "saticiya git", "siteye git", "ürüne git", "urune git"]
 LISTED = "id long, base string, rows array<struct<text:string, links array<struct<href:string, title:string, text:string>>>>"

@@ -83,6 +83,15 @@ def product_links(pages: DataFrame, merchants: list[Merchant] = MERCHANTS, limit
     return first_links(rows.where(fits), ["merchant", "query"], limit)
 
 
+def titled_links(pages: DataFrame, keys: list[str], product_link: str, limit: int = DEFAULT.search_limit, least: int = 3) -> DataFrame:
+    """``(keys, url, pos, title)``: links whose address fits the pattern and whose title, spaces made single, has
+    ``least`` characters or more; each address once, the first ``limit`` of a page."""
+    rows = exploded_links(pages, keys).withColumn("title", F.trim(F.regexp_replace(F.coalesce(F.nullif("title", F.lit("")), "text"), r"\s+", " ")))
+    rows = rows.where(F.col("url").rlike(product_link) & (F.length("title") >= least))
+    once = rows.groupBy(*keys, "url").agg(F.min(F.struct("pos", "title")).alias("first")).select(*keys, "url", "first.*")
+    return once.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).where(F.col("nth") <= limit).drop("nth")
+
+
 def _json(column: str, path: str) -> Column:
     return F.get_json_object(column, path)
 
@@ -199,6 +208,18 @@ def title_confirms(page_title: Column, name: Column) -> Column:
     return F.size(F.filter(words, lambda t: F.contains(F.lower(F.coalesce(page_title, F.lit(""))), t))) >= 2
 
 
+def confirmed_products(pages: DataFrame, candidates: int = 40, enough: int = 5) -> DataFrame:
+    """``(merchant, query, place, url, name, price)``: of a search's first ``candidates`` product pages, the first
+    ``enough`` that hold a product with a price and a name that the page's title confirms."""
+    own = Window.partitionBy("merchant", "query").orderBy("pos", "url")
+    p = pages.where("kind = 'product'").withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= candidates)
+    p = p.withColumn("product", F.get(markup.product_json("html"), 0)).where("product is not null").withColumn("offer", first_offer("product"))
+    price = F.coalesce(*[F.when(price_plain(_json("offer", f"$.{k}")) != 0, price_plain(_json("offer", f"$.{k}"))) for k in ("price", "lowPrice")])
+    p = p.select("merchant", "query", "pos", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), _json("product", "$.name").alias("name"), price.alias("price"))
+    p = p.where(F.col("price").isNotNull() & title_confirms(F.col("title"), F.col("name")))
+    return p.withColumn("place", F.row_number().over(own)).where(F.col("place") <= enough).select("merchant", "query", "place", "url", "name", "price")
+
+
 def search_url(query: Column, routes: dict[str, str], base: str) -> Column:
     """Where to search: the first word of the query that has a category page of its own, else the search page."""
     words = F.split(normalize_listing(query), " ")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.text import price_turkish
 from bazaarlens.operators import cards
+from bazaarlens.sources import envelopes
 
 
 def card(pos=0, merchant="trendyol", hrefs=("/stanley/icon-p-77?x=1",), brand="Stanley Icon kupa", title="Icon kupa", alt=None, images=("//i/1", None), text="", nodes=()):
@@ -39,3 +40,23 @@ def test_listed_offers(spark):
     got = {r.id: r for r in cards.listed_offers(spark.createDataFrame(rows, cards.LISTED), price_turkish).collect()}
     assert (got[1].current_lowest_price, got[1].offer_count, got[2].current_lowest_price, got[2].offer_count) == (12.0, 2, None, 0)
     assert [(o.price, o.merchant, o.seller_name, o.url) for o in got[1].offers] == [(12.0, None, None, None), (1299.0, "Shop A", "Seller B", "https://c/go")]
+
+
+def test_links_stand_in_for_missing_cards(spark):
+    shop = lambda pos, query, href, text="9 TL": (*card(pos, "hepsiburada", (href,), "B", "Item", text=text)[:1], query, *card(pos, "hepsiburada", (href,), "B", "Item", text=text)[2:])
+    shown = [shop(0, "a", "/one-p-HB1")]
+    linked = [shop(0, "a", "/two-p-HB2"), shop(0, "b", "/nothing"), shop(1, "b", "/three-p-HB3"), shop(2, "b", "/three-p-HB3?again"), shop(3, "b", "/four-p-HB4", "no amount"), shop(4, "b", "/five-p-HB5")]
+    frame = lambda rows: spark.createDataFrame(rows, cards.CARDS)
+    got = cards.items_or_fallback(frame(shown), frame(linked)).collect()
+    assert sorted((r.query, r.merchant_product_id) for r in got) == [("a", "HB1"), ("b", "HB3"), ("b", "HB5")]
+    assert [r.merchant_product_id for r in cards.link_card_items(frame(linked[1:]), most_links=1).collect()] == ["HB3"]
+    assert cards.items_or_fallback(frame(shown[:0]), frame(linked[:0])).collect() == []
+
+
+def test_envelopes(spark, tmp_path):
+    found = cards.card_items(spark.createDataFrame([card(), card(1, hrefs=("/x-p-5",), text="3 TL")], cards.CARDS))
+    asked = spark.createDataFrame([("trendyol", "q"), ("trendyol", "q"), ("n11", "none")], "merchant string, query string")
+    envelopes.write_envelopes(envelopes.envelopes(asked, found), f"file://{tmp_path}/out")
+    got = {r.merchant: r for r in envelopes.read_envelopes(spark, f"file://{tmp_path}/out").collect()}
+    assert (got["n11"]["ok"], got["n11"]["count"], got["n11"]["products"]) == (False, 0, [])
+    assert (got["trendyol"]["ok"], got["trendyol"]["count"], sorted(x.merchant_product_id for x in got["trendyol"]["products"])) == (True, 2, ["5", "77"])

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from bazaarlens import page_queries  # noqa: F401
+from bazaarlens import page_queries, report_queries  # noqa: F401
 from bazaarlens import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
