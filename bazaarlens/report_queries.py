@@ -12,8 +12,9 @@ from .functions import features as X
 from .functions import text as T
 from .operators import canonical, cards, deals, matching, pages
 from .page_queries import _ANALYSED, _case, _inputs, _say
+from .plans import catalog
 from .plans.storage import materialize, shared_dir
-from .queries import _FAMILIES, _OFFERS, _OUTCOMES, _TOKENS, _all_offers, query
+from .queries import _CURRENT, _FAMILIES, _OFFERS, _OUTCOMES, _TOKENS, _all_offers, _current, _history_sql, query
 from .sources import adapters as A
 from .sources import envelopes as E
 
@@ -208,6 +209,32 @@ def gtin_edges(spark, d):
     return edges.where("reason = 'gtin'").select("a", "b", "score")
 
 
+_VALID = """(SELECT p_partkey, (10 - list_sum(list_transform(range(1, 13), lambda k: CAST(s[k] AS INTEGER) * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 = CAST(s[13] AS INTEGER) AS valid
+  FROM (SELECT p_partkey, lpad(CAST(p_partkey * 7919 + 100000 AS VARCHAR), 13, '0') AS s FROM part))"""
+_STOCK = f"(SELECT id, l_partkey, l_suppkey, valid FROM {_OFFERS} JOIN {_VALID} ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE in_stock)"
+
+
+@query(f"""SELECT a.id AS a, b.id AS b, CASE WHEN a.valid THEN 100.0 ELSE 88.0 END::DOUBLE AS score, CASE WHEN a.valid THEN 'gtin' ELSE 'heuristic' END AS reason
+FROM {_STOCK} a JOIN {_STOCK} b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey AND a.id < b.id""")
+def product_edges(spark, d):
+    """Edges of all offers, those between offers of one product of them: titles are equal there, so that SQL knows the score."""
+    edges = matching.match_edges(materialize(matching.with_features(_all_offers(spark, d)), "featured"))
+    part = lambda c: F.split(c, "-")[2]
+    return edges.where(part("a") == part("b")).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH r AS (SELECT id, l_partkey, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY id) AS nth FROM {_STOCK} WHERE valid)
+SELECT id AS offer_id, min(id) OVER (PARTITION BY l_partkey, nth) AS first_offer FROM r QUALIFY count(*) OVER (PARTITION BY l_partkey, nth) > 1""")
+def gtin_groups(spark, d):
+    """Groups of all offers, by the offers that share a product with a valid GTIN: such offers are merged before all
+    others, the n-th of each merchant with the n-th of the others, and no later merge can join two of these sets."""
+    found = matching.resolve(_all_offers(spark, d))
+    part = found["featured"].where("valid_gtin is not null").select("offer_id", "product_id")
+    own = Window.partitionBy("group_id", "product_id")
+    rows = found["groups"].join(part, "offer_id").select("offer_id", F.min("offer_id").over(own).alias("first_offer"), F.count(F.lit(1)).over(own).alias("n"))
+    return rows.where("n > 1").drop("n")
+
+
 # ---- groups and approvals ---------------------------------------------------------------------------
 
 
@@ -242,6 +269,26 @@ def approved_matches(spark, d):
     return canonical.match_rows(applied, groups, facts, offers).drop("updated_at")
 
 
+@query("""SELECT p_partkey AS k, p_name AS title FROM part""")
+def cleaned_titles(spark, d):
+    """Titles with shops' endings, and dashes before them."""
+    title = _case(3, {0: F.concat("p_name", F.lit(" - Fiyatları ve Özellikleri ")), 1: F.concat("p_name", F.lit(" FIYATLARI VE OZELLIKLERI")), 2: F.concat(F.lit("  "), "p_name")})
+    return _parts(spark, d).select("k", T.clean_title(title).alias("title"))
+
+
+@query("""SELECT n_name AS subcategory, r_name AS category, 'buy ' || lower(n_name) AS query FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 <> 4 ORDER BY r_name, n_name LIMIT 7""")
+def category_config(spark, d):
+    """The category tree as a JSON file, read back; the first seven active subcategories, which is the feature."""
+    n, r = A.table(spark, d, "nation"), A.table(spark, d, "region")
+    sub = F.struct(F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.when(F.col("n_nationkey") % 5 == 4, False).alias("active"), F.array(F.lit(""), F.concat(F.lit(" buy "), F.lower("n_name"))).alias("queries"))
+    subs = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(sub), lambda a, b: F.when(a["name"] < b["name"], -1).otherwise(1)).alias("subcategories")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    category = F.struct(F.col("r_name").alias("name"), F.lower("r_name").alias("slug"), F.lit(True).alias("active"), "subcategories")
+    tree = subs.agg(F.lit(1).alias("version"), F.array_sort(F.collect_list(category), lambda a, b: F.when(a["name"] < b["name"], -1).otherwise(1)).alias("categories"))
+    path = f"{shared_dir(spark)}/categories-{uuid.uuid4().hex}"
+    tree.coalesce(1).write.json(path)
+    return catalog.active_subcategories(catalog.read_tree(spark, path), limit=7).select("subcategory", "category", "query")
+
+
 # ---- the shown feed ---------------------------------------------------------------------------------
 
 
@@ -268,3 +315,10 @@ def presented_feed(spark, d):
 @query(f"SELECT count(*) AS deals, count(*) FILTER (WHERE verified) AS verified FROM {_FED}")
 def feed_counters(spark, d):
     return deals.feed_counters(_fed(spark, d))
+
+
+@query(f"""SELECT offer_id, CASE history_status WHEN 'price_drop' THEN 'DOĞRULANDI (%' || printf('%.2f', history_drop_percent) || ' geçmiş fiyat düşüşü)' WHEN 'insufficient_history' THEN 'YETERSİZ VERİ (' || history_points || ' geçmiş kayıt)'
+  WHEN 'no_observed_drop' THEN 'FİYAT DÜŞÜŞÜ HENÜZ GÖRÜLMEDİ' ELSE 'ANLAMLI DÜŞÜŞ YOK (%' || printf('%.2f', history_drop_percent) || ')' END AS label FROM {_history_sql(_CURRENT)}""")
+def history_labels(spark, d):
+    found = deals.history_analysis(_current(spark, d), A.price_history(spark, d))
+    return found.select("offer_id", deals.history_label(F.col("history_status"), F.col("history_drop_percent"), F.col("history_points")).alias("label"))
