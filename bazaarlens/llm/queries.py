@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
-from . import ann, bpe, chat, mixing, near_dup, quality, sharding, suffix_dedup, token_counts, webp
+from . import ann, bpe, chat, langid, lexical, mixing, near_dup, prefix_trie, quality, sharding, suffix_dedup, token_counts, webp
 from .common import table
 
 
@@ -135,9 +135,72 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.with_borrowed_heads(prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))))
+
+
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations),
+sizes AS (SELECT conv_id, max(k) AS n, conv_id - conv_id % 5 AS base, coalesce(CAST(conv_id AS VARCHAR), '') AS decimal_id FROM turns GROUP BY 1),
+convs AS (
+  SELECT conv_id, n, base, xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(1, length(decimal_id) + 1), lambda i: CAST(ascii(decimal_id[i]) AS BIGINT))),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 9 AS h
+  FROM sizes),
+heads AS (SELECT c.conv_id, c.n, c.h, c.base, least(c.h, coalesce(b.n, 0)) AS head FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT c.conv_id, t.k AS depth, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.base AND t.k <= c.head
+  UNION ALL
+  SELECT c.conv_id, t.k - c.h + c.head, t.role, t.text FROM heads c JOIN turns t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.k > c.h),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, '' AS node, 0 AS n_bytes FROM heads
+  UNION ALL
+  SELECT conv_id, depth, string_agg(sha256(strlen(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING), strlen(text) FROM rebuilt),
+placed AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ending FROM prefixes),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ending), '')) AS ends_sha256
+  FROM placed GROUP BY 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT DISTINCT a.node AS top, b.node AS node FROM prefixes a JOIN prefixes b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT w.top AS node, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, CAST(sum(n.saved) AS BIGINT) AS saved_tokens
+  FROM below w JOIN nodes n ON n.node = w.node LEFT JOIN kids k ON k.node = w.node GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN kids k ON k.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.parent
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS n_words FROM words),
+item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (SELECT place, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT place, doc_id, len(w) AS n, unnest(w) AS term FROM words) GROUP BY place, term),
+weighted AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM held, totals GROUP BY term, n_docs),
+parts AS (SELECT place, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))) AS part FROM held JOIN weighted USING (term), totals),
+scored AS (SELECT item_id, place, any_value(doc_id) AS doc_id, CAST(sum(part) AS BIGINT) AS score FROM item_terms JOIN parts USING (term) GROUP BY item_id, place),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_prefix_targets, op4_multiprobe_lsh, op5_interval_expansion, op6_fair_queueing_mix, op7_ordinal_quality, op8_bottom_k_near_dup, op9_two_pass_shuffle, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_prefix_targets, op4_multiprobe_lsh, op5_interval_expansion, op6_fair_queueing_mix, op7_ordinal_quality, op8_bottom_k_near_dup, op9_two_pass_shuffle, op10_byte_bpe, op11_prefix_trie, op12_language_id, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_targets": OP3_SQL, "op6_fair_queueing_mix": OP6_SQL, "op8_bottom_k_near_dup": OP8_SQL}
+    return {"op3_prefix_targets": OP3_SQL, "op6_fair_queueing_mix": OP6_SQL, "op8_bottom_k_near_dup": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_lexical_search": OP13_SQL}
