@@ -8,7 +8,8 @@ quality, 2: neither.
 
 Features are the distinct words and word starts of a whole text, hashed, and the shape of the text (shares of capitals,
 digits, symbols, repeated words and lines, as steps of a scale). The model is fitted on the driver on
-at most RATED rated rows, chosen by a hash of the id; words in fewer than SEEN of them have no weight.
+at most RATED rated rows, chosen by a hash of the id, with at most FEATURES features together and OF_ONE in each, which
+bounds what the driver holds; words in fewer than SEEN of them have no weight.
 Its size is fixed by BITS. Scoring runs on all documents.
 
 Defined results: null and empty texts have shape features only; a label row with a null id, a null
@@ -26,12 +27,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
 
 BITS, RATED, SEEN = 20, 8000, 8
+#: Features of all rated rows that a model is fitted on, at most (64 MB), and of one row.
+FEATURES, OF_ONE = 1 << 24, 1 << 18
+#: The longest token that a worker remembers the hashes of.
+LONGEST = 64
 CUTOFF = 0.5
 #: How often a shape feature counts; long texts have many word features and few of these.
 SHAPE = 8
@@ -41,13 +46,19 @@ _CAPITALS, _DIGITS = np.arange(65, 91), np.arange(48, 58)
 _SYMBOLS = np.array([b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'-"])
 
 
-@lru_cache(100_000)
-def _word(token: str) -> tuple[int, ...]:
+def _hashes(token: str) -> tuple[int, ...]:
     """The word, and how it starts: by a stem of four and of five letters."""
     word = token.lower().strip(_EDGES)
     return tuple(zlib.crc32(x.encode()) & (1 << BITS) - 1 for x in (word, *(f"^{word[:n]}" for n in (4, 5) if len(word) > n)))
 
 
+_remembered = lru_cache(100_000)(_hashes)
+
+
+def _word(token: str) -> tuple[int, ...]:
+    return _remembered(token) if len(token) <= LONGEST else _hashes(token)
+
+
 def _step(name: str, share: float) -> int:
     """A feature for a share in [0, 1], on a scale finer near 0."""
     return zlib.crc32(f"\0{name}={int(12 * share**0.5)}".encode()) & (1 << BITS) - 1
@@ -75,14 +86,18 @@ def grades(labels: DataFrame) -> DataFrame:
     return rated.select(F.col("doc_id").alias("doc_id"), grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def rated_features(docs: DataFrame, rated: DataFrame, most: int = RATED) -> DataFrame:
+def rated_features(docs: DataFrame, rated: DataFrame, most: int = RATED, most_features: int = FEATURES, of_one: int = OF_ONE) -> DataFrame:
     """``(grade, doc_id, features)`` of at most ``most`` rated documents, the same ones on each run; an id that
-    documents repeat counts once."""
+    documents repeat counts once. Of these, rows with more than ``of_one`` features are left out, and so are rows, in
+    order of a hash of the id, from where all have more than ``most_features``."""
     sample = rated.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` rows of two numbers
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     out = pa.schema([("grade", pa.int32()), ("doc_id", pa.int64()), ("features", pa.list_(pa.int32()))])
-    return map_rows(chosen, ["grade", "doc_id", "text"], lambda g, i, t: (g, i, features(t)), "grade int, doc_id long, features array<int>", out)
+    found = map_rows(chosen, ["grade", "doc_id", "text"], lambda g, i, t: (g, i, features(t)), "grade int, doc_id long, features array<int>", out)
+    # one ordered pass over at most ``most`` rows
+    upto = F.sum(F.size("features")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return found.where(F.size("features") <= of_one).withColumn("upto", upto).where(F.col("upto") <= most_features).drop("upto")
 
 
 class Model:

@@ -2,8 +2,9 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in the same
 document or another. The strings of a document that share their least hashed anchor (ANCHOR bytes)
-follow each other, and equal strings have equal anchors; so documents are cut into segments, each the
-strings of one anchor, and only segments whose anchor comes twice can hold a repeat. Equal segments
+follow each other, and equal strings have equal anchors; so documents are cut into segments, each
+strings of one anchor (MOST at most, where a period repeats it), and only segments whose anchor comes twice can hold a
+repeat. Equal segments
 are counted once, with a weight. Segments are dealt into bins by their anchors, and each bin's text
 gets a Burrows-Wheeler transform: intervals of suffixes are extended backward breadth-first, so
 common prefixes come by increasing length, and expansion stops at LENGTH. Neighbours without a
@@ -41,8 +42,10 @@ LENGTH, ANCHOR = 200, 48
 BIN_BYTES = 1 << 20
 #: Distinct segments of an anchor (of about 256 bytes) that would fill a bin alone; above, it is cut finer.
 HOT = BIN_BYTES // 256
-#: Bytes of documents that are hashed at once.
+#: Bytes of documents that are hashed at once; at most 1 << 20.
 CHUNK = 1 << 20
+#: Strings of a segment at most; a segment of text without a period has LENGTH - ANCHOR + 1 or fewer.
+MOST = 2048
 
 _RNG = np.random.default_rng(48)
 _BYTE_VALUES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -86,21 +89,30 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - have)], x[size - have :]) if size > have else x
 
 
-def segments(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first string, last string) of each segment of a document, given as bytes.
-
-    A string's anchor is the leftmost of its least hashes, so strings of one segment have their
-    anchor at one place, and an anchor that comes twice in a document gives two segments."""
-    if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = window_hashes(data, anchor)
-    bits = np.uint64(20)  # the upper bits order, the lower ones tell the place
-    place = np.arange(len(h), dtype=np.uint64)
-    at = sliding_min(h >> bits << bits | place & np.uint64((1 << 20) - 1), length - anchor + 1) & np.uint64((1 << 20) - 1)
-    first = np.arange(len(at), dtype=np.int64)
-    spot = first + ((at.astype(np.int64) - first) & (1 << 20) - 1)
-    starts = np.flatnonzero(np.diff(spot, prepend=-1))
-    return h[spot[starts]], starts, np.append(starts[1:], len(spot)) - 1
+def segments(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first string, last string, times) of each segment of a document, given as bytes.
+
+    A string's anchor is its least hash, so equal strings have equal anchors, wherever a segment is cut. A segment is a
+    run of strings with one anchor, of ``most`` (MOST) strings at most. ``times`` is 2 where the anchor comes at several places
+    of the segment, as in periodic text, so that the segment may repeat its own strings, else 1. Long data go through
+    in parts, so that memory does not grow with them, but for what is returned."""
+    found = []
+    for at in range(0, len(data) - length + 1, CHUNK - length + 1):
+        h = window_hashes(data[at : at + CHUNK], anchor)
+        bits = np.uint64(20)  # the upper bits order, the lower ones tell the place
+        place = np.arange(len(h), dtype=np.uint64)
+        spot = (sliding_min(h >> bits << bits | place, length - anchor + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
+        anchors = h[spot]
+        new = np.ones(len(spot), bool)
+        new[1:] = anchors[1:] != anchors[:-1]
+        starts = np.flatnonzero(new)
+        number = np.arange(len(spot)) - np.repeat(starts, np.diff(np.append(starts, len(spot))))
+        starts = np.flatnonzero(number % (most or MOST) == 0)
+        moved = np.zeros(len(spot), np.int64)
+        moved[1:] = spot[1:] != spot[:-1]
+        moved[starts] = 0
+        found.append((anchors[starts], starts + at, np.append(starts[1:], len(spot)) - 1 + at, 1 + np.minimum(1, np.add.reduceat(moved, starts))))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if not k else np.int64) for k in range(4))
 
 
 # ---- Burrows-Wheeler transform and interval expansion -------------------------------------------
@@ -258,18 +270,18 @@ def _keys_ddl(keys: list[str]) -> str:
 
 
 def _occurrences(docs: DataFrame, keys: list[str], length: int, anchor: int) -> DataFrame:
-    """(anchor, seg, keys, first, last): every segment, with a hash of its bytes."""
-    out = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), *_key_fields(keys), ("first", pa.int32()), ("last", pa.int32())])
+    """(anchor, seg, keys, first, last, times): every segment, with a hash of its bytes."""
+    out = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), *_key_fields(keys), ("first", pa.int32()), ("last", pa.int32()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held = 0
         for values, text in _texts(batches):
-            anchors, first, last = segments(np.frombuffer(text, np.uint8), length, anchor)
+            anchors, first, last, times = segments(np.frombuffer(text, np.uint8), length, anchor)
             if len(first):
                 digest = xxhash.xxh3_64_intdigest
                 seg = np.fromiter((digest(text[a : b + length]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first))
-                parts.append([anchors.view(np.int64), seg.view(np.int64), *(np.full(len(first), v, np.int64) for v in values), first.astype(np.int32), last.astype(np.int32)])
+                parts.append([anchors.view(np.int64), seg.view(np.int64), *(np.full(len(first), v, np.int64) for v in values), first.astype(np.int32), last.astype(np.int32), times.astype(np.int32)])
                 held += len(first)
             if held >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=out)
@@ -277,7 +289,7 @@ def _occurrences(docs: DataFrame, keys: list[str], length: int, anchor: int) ->
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=out)
 
-    return docs.select(*keys, "text").mapInArrow(run, f"anchor long, seg long, {_keys_ddl(keys)}, first int, last int")
+    return docs.select(*keys, "text").mapInArrow(run, f"anchor long, seg long, {_keys_ddl(keys)}, first int, last int, times int")
 
 
 def _pieces(docs: DataFrame, distinct: DataFrame, keys: list[str], length: int) -> DataFrame:
@@ -329,7 +341,7 @@ def repeated_spans(docs: DataFrame, keys: list[str], length: int = LENGTH, ancho
     repeated strings cover; they may overlap. ``docs`` has the keys and ``text``, and keys are unique."""
     found = materialize(_occurrences(docs, keys, length, anchor), "segments")
     # stored, so that both sides of the join are plain shuffles, which Spark can split where an anchor is frequent
-    again = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "again")
+    again = materialize(found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "again")
     places = materialize(found.join(again.hint("merge"), "anchor"), "anchors")
     distinct = places.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct(*keys, "first", "last")).alias("at"))
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))

@@ -36,7 +36,9 @@ LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE, MAX_COPY, LONGEST_CODE = 16384, 4096, 15
 #: Bytes of a payload that one image holds at most, a multiple of 64 * MAX_SIDE; bounds the memory of a row.
-IMAGE = 1024 * MAX_SIDE
+IMAGE = 256 * MAX_SIDE
+#: Pixels that the largest distance code reaches back.
+MAX_BACK = (1 << 20) - 120
 #: Near pixels by distance, then by how far they are to the side, left of the pixel first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 SPAN = 15  # bits that one look-up of the grey reader takes
@@ -535,6 +537,8 @@ def _put_pixels(out: Out, argb: list[int], width: int, main: bool, cache_bits: i
         n, seen = 0, None
         if copies and at + 3 < len(argb):
             seen = last.get(tuple(argb[at : at + 3]))
+            if seen is not None and at - seen > MAX_BACK:  # no distance code reaches so far
+                seen = None
             while seen is not None and at + n < len(argb) and n < MAX_COPY and argb[seen + n] == argb[at + n]:
                 n += 1
         if n >= 3:
@@ -691,35 +695,80 @@ def shape_of(n: int) -> tuple[int, int]:
     return n // width, width
 
 
+def _runs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, how many) of samples: literals and, for runs of 8 or more, copies from one pixel back,
+    whose extra bits end with those of the distance."""
+    symbols = samples.astype(np.int16)
+    extra, widths = np.zeros(len(samples), np.uint32), np.zeros(len(samples), np.uint8)
+    starts = np.flatnonzero(np.diff(symbols, prepend=-1))
+    counts = np.diff(np.append(starts, len(samples)))
+    long = np.flatnonzero(counts >= 8)
+    if not long.size:
+        return symbols, extra, widths
+    _, back, n_back = _ONE_BACK
+    # a run: one literal, then copies of MAX_COPY pixels and the rest
+    starts, left = starts[long], counts[long] - 1
+    parts = -(-left // MAX_COPY)
+    run = np.repeat(np.arange(len(starts)), parts)
+    number = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(MAX_COPY, left[run] - number * MAX_COPY)
+    sizes, which = np.unique(size, return_inverse=True)
+    coded = np.array([prefix_of(int(n)) for n in sizes])[which]
+    spot = starts[run] + 1 + number
+    keep = np.ones(len(samples), bool)
+    inside = np.zeros(len(samples) + 1, np.int32)
+    np.add.at(inside, starts + 1, 1)
+    np.add.at(inside, starts + 1 + left, -1)
+    keep &= np.cumsum(inside[:-1]) == 0
+    keep[spot] = True
+    symbols[spot], extra[spot], widths[spot] = LITERALS + coded[:, 0], coded[:, 1] | back << coded[:, 2], coded[:, 2] + n_back
+    return symbols[keep], extra[keep], widths[keep]
+
+
+def _palette_header(table: np.ndarray, lengths: list[int]) -> Out:
+    """What comes before the pixels: no alpha, a palette of grey values, and one group of codes, of which only green has more than one symbol."""
+    out = Out()
+    for value, n in ((0, 1), (0, 3), (1, 1), (PALETTE, 2), (len(table) - 1, 8)):
+        out.put(value, n)
+    colours = table.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+    _put_pixels(out, _argb(np.diff(_channels(colours[:, None]), axis=0, prepend=np.zeros((1, 1, 4), np.uint8))).ravel().tolist(), len(table), False)
+    for value, n in ((0, 1), (0, 1), (0, 1)):  # no further transform, no colour cache
+        out.put(value, n)
+    _put_code(out, lengths)
+    for only in (0, 0, 255):
+        _put_code(out, [int(k == only) for k in range(256)])
+    _put_code(out, [int(k == _ONE_BACK[0]) for k in range(DISTANCE_CODES)])
+    return out
+
+
 def write_samples(payload: bytes) -> bytes:
     """Bytes as a grey image, R = G = B = the byte; the same bytes give the same file."""
     samples = np.frombuffer(payload, np.uint8)
     height, width = shape_of(len(samples))
     tally = np.bincount(samples, minlength=256)
-    if np.count_nonzero(tally) <= 16:
-        return write_image((samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)).reshape(height, width), palette=True)
-    each, profiles = _profiles()
-    lengths, codes, header, header_widths = profiles[int(np.argmin(each @ tally))]
-    _, extra, n_extra = _ONE_BACK
-    values, widths = codes[samples], lengths[samples]
-    starts = np.flatnonzero(np.diff(samples.astype(np.int16), prepend=-1))
-    counts = np.diff(np.append(starts, len(samples)))
-    if (long := np.flatnonzero(counts >= 8)).size:  # a run: one literal, then copies from one pixel back
-        keep = np.ones(len(samples), bool)
-        for at, n in zip(starts[long].tolist(), counts[long].tolist()):
-            keep[at + 1 : at + n] = False
-            spot, left = at + 1, n - 1
-            while left:
-                part = min(left, MAX_COPY)
-                s, x, m = prefix_of(part)
-                bits, used = int(codes[LITERALS + s]), int(lengths[LITERALS + s])
-                # the length symbol with its extra bits; the distance is a code of one symbol with its extra bits
-                values[spot], widths[spot] = bits | x << used | extra << used + m, used + m + n_extra
-                keep[spot] = True
-                spot, left = spot + 1, left - part
-        values, widths = values[keep], widths[keep]
+    table = np.flatnonzero(tally)
+    if len(table) <= 16:  # a palette: some pixels share a byte
+        bundle = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1
+        index = np.zeros(256, np.uint8)
+        index[table] = np.arange(len(table))
+        shifts = np.arange(0, 8, 8 >> bundle, dtype=np.uint8)
+        # the width is a multiple of 64, so every row fills its bytes
+        symbols, extra, n_extra = _runs((index[samples].reshape(-1, len(shifts)) << shifts).sum(axis=1, dtype=np.uint8))
+        of_each = np.bincount(symbols, minlength=LITERALS + LENGTH_CODES).tolist()
+        lengths = code_lengths(of_each)
+        out = _palette_header(table, lengths)
+        header, header_widths = np.array(out.values, np.uint64), np.array(out.widths)
+        if np.count_nonzero(of_each) == 1:  # a code of one symbol takes no bits
+            lengths = [0] * len(lengths)
+        lengths, codes = np.array(lengths), np.array(canonical(lengths) if any(lengths) else lengths, np.uint64)
+    else:
+        each, profiles = _profiles()
+        lengths, codes, header, header_widths = profiles[int(np.argmin(each @ tally))]
+        symbols, extra, n_extra = _runs(samples)
+    widths = lengths[symbols]
+    values = codes[symbols] | extra.astype(np.uint64) << widths.astype(np.uint64)
     sides = np.array([width - 1, height - 1], np.uint64)
-    return _file(pack(np.concatenate([sides, header, values]), np.concatenate([[14, 14], header_widths, widths])))
+    return _file(pack(np.concatenate([sides, header, values]), np.concatenate([[14, 14], header_widths, widths + n_extra])))
 
 
 def read_samples(data: bytes) -> bytes:

@@ -84,3 +84,23 @@ def test_odd_rows(spark):
         kept = Q.kept(docs, model)
         assert kept.columns == docs.columns and kept.count() == sum(r.keep for r in rows)
     assert Q.score(docs.limit(0), model).count() == 0
+
+
+def test_features_are_bounded(spark):
+    """The driver gets a bounded sum of features, whatever the texts' length; a huge row doesn't displace others."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(60)] + [(60 + i, " ".join(f"long{i}x{k}" for k in range(20_000))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rated = spark.createDataFrame([(i, i % 3) for i in range(64)], "doc_id long, grade int")
+    found = {r.doc_id: len(r.features) for r in Q.rated_features(docs, rated, of_one=10_000).collect()}
+    assert sorted(found) == list(range(60))
+    some = {r.doc_id: len(r.features) for r in Q.rated_features(docs, rated, most_features=4000, of_one=1000).collect()}
+    assert 5 < len(some) < 60 and sum(some.values()) <= 4000 and some.items() <= found.items()
+    assert sorted(r.doc_id for r in Q.rated_features(docs, rated).collect()) == list(range(64))
+
+
+def test_long_tokens_are_not_remembered():
+    before = Q._remembered.cache_info().currsize
+    for k in range(50):
+        Q.features(f"{k}" + "x" * 5000)
+    assert Q._remembered.cache_info().currsize == before
+    assert Q.features("Wordy!") == [*set(Q._hashes("Wordy!")), *Q.features("Wordy!")[-7 * Q.SHAPE :]]

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -46,10 +48,64 @@ def test_segments_cover_all_strings():
     rng = np.random.default_rng(2)
     for n in (199, 200, 201, 5000):
         data = rng.integers(97, 100, n).astype(np.uint8)
-        _, first, last = S.segments(data)
+        _, first, last, _ = S.segments(data)
         assert [k for a, b in zip(first, last) for k in range(a, b + 1)] == list(range(max(0, n - 199)))
 
 
+@pytest.mark.parametrize("period", [b"a", b"ab", b"abcdefg", bytes(range(150)), bytes(range(48, 250))])
+def test_periodic_text_has_few_segments(period):
+    data = np.frombuffer((period * 50_000)[: 4 << 20], np.uint8)
+    anchors, first, last, times = S.segments(data)
+    assert (first[1:] == last[:-1] + 1).all() and first[0] == 0 and last[-1] == len(data) - 200
+    if len(period) < 150:
+        assert len(first) <= len(data) / S.MOST + 10 and (times == 2).sum() >= len(first) - 5
+    else:  # some segments a period
+        assert len(first) <= len(data) / 20
+
+
+def test_segments_do_not_depend_on_parts(monkeypatch):
+    """Equal strings have equal anchors wherever parts and segments are cut."""
+    rng = np.random.default_rng(7)
+    data = np.concatenate([rng.integers(97, 100, 3000), np.full(900, 97), np.tile([98, 99], 400), rng.integers(97, 100, 800)]).astype(np.uint8)
+
+    def anchor_of_each(**more):
+        anchors, first, last, _ = S.segments(data, **more)
+        return np.repeat(anchors, last - first + 1)
+
+    whole = anchor_of_each()
+    assert (anchor_of_each(most=7) == whole).all()
+    monkeypatch.setattr(S, "CHUNK", 777)
+    assert (anchor_of_each() == whole).all()
+
+
+@pytest.mark.parametrize("hot", [S.HOT, 1])
+def test_long_periodic_documents(spark, hot, monkeypatch):
+    monkeypatch.setattr(S, "MOST", 60)
+    texts = ["q" * 1500, "q" * 1499 + "r", "xy" * 700, "z" + "xy" * 150 + "z", "0123456789" * 45, "u" * 201, "v" * 200, "w" * 200, "w" * 199 + "!", "-=" * 99 + "-=-"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.removal(docs, hot=hot, bin_bytes=2000).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts], 200)))
+
+
+def test_megabytes_of_one_byte(spark):
+    texts = ["a" * (4 << 20), "ab" * (2 << 20), "other text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in S.removal(docs).collect()} == {0: (4 << 20, 1), 1: (4 << 20, 1), 2: (0, 0)}
+
+
+def test_segments_of_megabytes_stay_under_500_mb():
+    code = """
+import resource
+import numpy as np
+from bazaarlens.llm import suffix_dedup as S
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for data in (b"a" * (16 << 20), b"ab" * (8 << 20)):
+    assert len(S.segments(np.frombuffer(data, np.uint8))[0]) < 9000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500_000
+
+
 def test_hashes_in_parts(monkeypatch):
     data = np.random.default_rng(2).integers(0, 256, 3000).astype(np.uint8)
     whole = S.window_hashes(data, 48)

@@ -1,4 +1,6 @@
 import hashlib
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -79,6 +81,45 @@ def test_few_values_are_a_palette_at_every_size():
         assert webp.read_samples(data) == payload and webp.Bits(data[20:]).read(8) == 0x2F
 
 
+@pytest.mark.parametrize("values", [b"0123456789 \n", b"acgt", b"01", bytes(range(16)), b"7"])
+def test_long_texts_of_few_values(values):
+    """More bytes than a distance code reaches back, with long runs and without."""
+    rng = np.random.default_rng(len(values))
+    payload = rng.choice(np.frombuffer(values, np.uint8), 3 << 20)
+    payload[: 1 << 16] = payload[0]
+    payload[1 << 20 : (1 << 20) + 40_000] = payload[5]
+    payload = payload.tobytes()
+    media = webp.write_media(payload)
+    assert b"".join((x & 255).astype(np.uint8).tobytes() for x in webp.images(media)) == payload
+    assert len(media) < len(payload) * max(0.02, np.log2(len(values)) / 8 + 0.2)
+
+
+def test_16_mb_of_two_values_stay_under_a_gigabyte():
+    code = """
+import hashlib, resource, sys
+import numpy as np
+from bazaarlens.llm import webp
+payload = (b"ab" * (8 << 20)) if sys.argv[1] == "ab" else np.random.default_rng(1).choice(np.frombuffer(b"ab", np.uint8), 16 << 20).tobytes()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+digest = hashlib.sha256()
+for x in webp.images(webp.write_media(payload)):
+    digest.update((x & 255).astype(np.uint8).tobytes())
+assert digest.digest() == hashlib.sha256(payload).digest()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    for kind in ("ab", "random"):
+        assert int(subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True, check=True).stdout) < 1_000_000
+
+
+def test_copies_from_afar():
+    """The general writer leaves out a match that no distance code reaches."""
+    rng = np.random.default_rng(4)
+    row = rng.integers(0, 2**32, 5, dtype=np.uint32)
+    image = np.concatenate([row, np.full((1 << 20) + 100, 7, np.uint32), row]).reshape(-1, 1)
+    image = np.concatenate([image, np.zeros((-len(image) % 16384, 1), np.uint32)]).reshape(16384, -1)
+    assert (webp.read_image(webp.write_image(image)) == image).all()
+
+
 def test_several_groups_of_codes():
     """A stream with an image of code groups, written bit by bit: a 4 x 8 image, upper half one value, lower half another."""
     out = webp.Out()
