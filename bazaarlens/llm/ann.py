@@ -7,8 +7,8 @@ index is a row (table, bucket, vector) for each vector and table.
 
 A query visits buckets of a table, its own and perturbed ones, in order of estimated success: the
 chance that a vector as near as its LIMIT-th nearest falls there, which is a product of Gaussian
-intervals, one for each hash. It stops when the chances of its buckets in all tables add up to RECALL,
-or after PROBES buckets of a table. How near the LIMIT-th nearest is, is estimated from SAMPLE vectors, with which each query is compared;
+intervals, one for each hash. It stops when the chances of its buckets in all tables add up to RECALL, however many
+buckets that takes, or when it has all buckets within a step of each hash; PROBES is how many it looks at first. How near the LIMIT-th nearest is, is estimated from SAMPLE vectors, with which each query is compared;
 they also give a score that LIMIT vectors reach, and below it no candidate is kept.
 
 Queries and vectors meet by equal (table, bucket): buckets are dealt into parts of about PART_ROWS vectors,
@@ -18,7 +18,7 @@ Candidates of all tables are merged and ranked by the inner product of the origi
 precision. A query with too few candidates is compared with all vectors, in blocks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components take no part; so do rows with a null id. A query is compared with the vectors of its length. Rows that repeat an id
+components take no part; rows with a null id do, after all ids where scores tie. A query is compared with the vectors of its length. Rows that repeat an id
 are candidates each for itself; a query's own row is one with its id and its vector. Of equal vectors the
 LIMIT + 1 smallest ids can be among a query's nearest, so the rest is not indexed; that is exact. Ties go to the smaller id; with
 fewer candidates than LIMIT, all are returned; other columns are not read; an empty table gives no rows.
@@ -41,7 +41,9 @@ from ..plans.storage import materialize
 
 LIMIT = 20
 TABLES, WIDTH, CELL_ROWS = 8, 2.5, 4
+#: The chance of finding the LIMIT-th nearest at which a query stops, and how many buckets of a table it looks at first.
 RECALL, PROBES = 0.93, 512
+NO_ID = (1 << 63) - 1
 #: Vectors on the driver, by which buckets are estimated.
 SAMPLE = 4096
 #: Vectors of a part, and queries that meet a piece of a large bucket.
@@ -56,12 +58,13 @@ _CDF = _BELOW(_GRID).astype(float)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(id, v)`` of the rows that take part."""
+    """``(id, noid, v)`` of the rows that take part; a row without an id has NO_ID, so that ids stay whole numbers in tasks."""
     v = F.col("v")
     single = isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
+    ident = F.col(id_col).cast("long")
+    rows = vectors.select(F.coalesce(ident, F.lit(NO_ID)).alias("id"), ident.isNull().alias("noid"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    return rows.where(v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def bits_of_hash(width: float) -> float:
@@ -122,8 +125,28 @@ class Index:
         return np.clip(np.maximum(held, np.minimum(tail, best[:, 1])), -0.99, 0.99), least
 
     def visited(self, q: np.ndarray, near: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of each query in order of estimated success, and how many of them it visits. A bucket is
-        built hash by hash; as the chances multiply, the best ``probes`` beginnings hold all beginnings of the best."""
+        """(query's place, bucket) of all buckets that queries visit, by query and then by estimated success. Queries whose
+        best ``probes`` buckets don't reach the wanted chance look at four times as many, until they reach it or have
+        all buckets within a step of each hash."""
+        left, probes, found = np.arange(len(q)), self.probes, []
+        while len(left):
+            again = []
+            for at in range(0, len(left), step := max(1, (1 << 19) // probes)):
+                some = left[at : at + step]
+                cells, n, short = self.best(q[some], near[some], table, probes)
+                done = ~short
+                who = np.repeat(some[done], n[done])
+                found.append((who, cells[done][np.arange(cells.shape[1]) < n[done, None]]))
+                again.append(some[short])
+            left, probes = np.concatenate(again), 4 * probes
+        who, cells = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(who, kind="stable")
+        return who[order], cells[order]
+
+    def best(self, q: np.ndarray, near: np.ndarray, table: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best ``probes`` buckets of each query in order of estimated success, how many of them it visits, and whether
+        it wants more than there are. A bucket is built hash by hash; as the chances multiply, the best beginnings hold
+        all beginnings of the best."""
         a, b = self.directions(table)
         at = (q / np.sqrt((q * q).sum(1))[:, None]) @ a[:-1]
         mean, spread = near[:, None] * at, np.sqrt(1 - near * near)[:, None]
@@ -134,14 +157,16 @@ class Index:
             low = around * self.width - b[j] - mean[:, j, None]
             p = np.interp((low + self.width) / spread, _GRID, _CDF) - np.interp(low / spread, _GRID, _CDF)
             total = (cost[:, :, None] - np.log(np.maximum(p, 1e-30))[:, None, :]).reshape(len(q), -1)
-            n = min(self.probes, total.shape[1])
+            n = min(probes, total.shape[1])
             keep = np.argpartition(total, n - 1, axis=1)[:, :n]
             cost = np.take_along_axis(total, keep, 1)
             cells = np.concatenate([np.take_along_axis(cells, (keep // 3)[:, :, None], 1), np.take_along_axis(around, keep % 3, 1)[:, :, None]], axis=2)
         order = np.argsort(cost, axis=1, kind="stable")
         chance = np.cumsum(np.exp(-np.take_along_axis(cost, order, 1)), axis=1)
         enough = 1 - (1 - self.recall) ** (1 / self.tables)
-        return np.take_along_axis(self.named(cells), order, 1), np.minimum((chance < enough).sum(axis=1) + 1, order.shape[1])
+        n = (chance < enough).sum(axis=1) + 1
+        short = (n > order.shape[1]) & (order.shape[1] < 3.0 ** len(b))
+        return np.take_along_axis(self.named(cells), order, 1), np.minimum(n, order.shape[1]), short
 
 
 def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -149,13 +174,13 @@ def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.add.reduce(rows[k : k + 65536] * queries[k : k + 65536], axis=1) for k in range(0, len(rows), 65536)]) if len(rows) else np.zeros(0)
 
 
-FOUND = "q long, query_id long, row long, vec_id long, score double, own boolean"
+FOUND = "q long, query_id long, row long, vec_id long, noid boolean, score double, own boolean"
 
 
 def best_in_part(mine: pd.DataFrame, asked: pd.DataFrame, limit: int) -> pd.DataFrame:
     """The best ``limit`` + 1 of each query among the vectors of its buckets in one part."""
     names = [c.split()[0] for c in FOUND.split(", ")]
-    nothing = pd.DataFrame({n: np.zeros(0, np.int64) for n in names}).astype({"score": float, "own": bool})
+    nothing = pd.DataFrame({n: np.zeros(0, np.int64) for n in names}).astype({"noid": bool, "score": float, "own": bool})
     if mine.empty or asked.empty:
         return nothing
     mine = mine.sort_values("cell", kind="stable")
@@ -182,14 +207,14 @@ def best_in_part(mine: pd.DataFrame, asked: pd.DataFrame, limit: int) -> pd.Data
         return nothing
     i, j = map(np.concatenate, zip(*pairs))
     score = exact_scores(q[i], x[j]) if len(i) < 1 << 20 else np.concatenate([exact_scores(q[i[k : k + (1 << 16)]], x[j[k : k + (1 << 16)]]) for k in range(0, len(i), 1 << 16)])
-    ids = mine.id.to_numpy()[j]
-    order = np.lexsort((ids, -score, i))
-    i, j, score, ids = i[order], j[order], score[order], ids[order]
+    ids, noid = mine.id.to_numpy(), mine.noid.to_numpy()
+    order = np.lexsort((noid[j], ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) <= limit
-    i, j, score, ids = i[keep], j[keep], score[keep], ids[keep]
+    i, j, score = i[keep], j[keep], score[keep]
     qids = asked.qid.to_numpy()[i]
-    own = (ids == qids) & (x[j] == q[i]).all(axis=1)
-    return pd.DataFrame(dict(zip(names, (asked.q.to_numpy()[i], qids, mine.row.to_numpy()[j], ids, score, own))))
+    own = (ids[j] == qids) & (noid[j] == asked.noid.to_numpy()[i]) & (x[j] == q[i]).all(axis=1)
+    return pd.DataFrame(dict(zip(names, (asked.q.to_numpy()[i], qids, mine.row.to_numpy()[j], ids[j], noid[j], score, own))))
 
 
 def _by_length(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
@@ -203,9 +228,9 @@ def _by_length(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFr
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, part_rows: int = PART_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", **parameters) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query row the best found among all other vectors.
     ``parameters`` are those of ``Index``. Runs jobs, since it stores tables."""
-    few = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    x = materialize(usable(vectors, id_col, vector_col).withColumn("nth", few).where(F.col("nth") <= limit + 1).select(F.monotonically_increasing_id().alias("row"), "id", "v"), "ann-vectors")
-    q = materialize(usable(queries, id_col, vector_col).select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("qid"), "v"), "ann-queries")
+    few = F.row_number().over(Window.partitionBy("v").orderBy("id", "noid"))
+    x = materialize(usable(vectors, id_col, vector_col).withColumn("nth", few).where(F.col("nth") <= limit + 1).select(F.monotonically_increasing_id().alias("row"), "id", "noid", "v"), "ann-vectors")
+    q = materialize(usable(queries, id_col, vector_col).select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("qid"), "noid", "v"), "ann-queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e))
     sizes = x.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("largest")).collect()  # a row for each length of vectors
     picked: dict[int, list] = {}
@@ -220,7 +245,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, part_row
                 for t in range(index[dim].tables):
                     cell = index[dim].cells(v, t)
                     out = pd.DataFrame({"dim": dim, "t": t, "cell": cell})
-                    yield out.assign(part=cell % parts[dim], row=rows.row.to_numpy(), id=rows.id.to_numpy(), v=rows.v.to_numpy()) if whole else out
+                    yield out.assign(part=cell % parts[dim], row=rows.row.to_numpy(), id=rows.id.to_numpy(), noid=rows.noid.to_numpy(), v=rows.v.to_numpy()) if whole else out
 
         return run
 
@@ -230,32 +255,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, part_row
                 continue
             near, least = index[dim].nearness(v)
             for t in range(index[dim].tables):
-                cells, n = index[dim].visited(v, near, t)
-                who = np.repeat(np.arange(len(rows)), n)
-                cell = cells[np.arange(cells.shape[1]) < n[:, None]]
+                who, cell = index[dim].visited(v, near, t)
                 part = cell % parts[dim]
                 order = np.lexsort((part, who))
                 who, cell, part = who[order], cell[order], part[order]
                 cuts = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
                 i = who[cuts]
-                yield pd.DataFrame({"dim": dim, "t": t, "part": part[cuts], "q": rows.q.to_numpy()[i], "qid": rows.qid.to_numpy()[i], "v": rows.v.to_numpy()[i], "least": least[i], "cells": np.split(cell, cuts[1:])})
+                yield pd.DataFrame({"dim": dim, "t": t, "part": part[cuts], "q": rows.q.to_numpy()[i], "qid": rows.qid.to_numpy()[i], "noid": rows.noid.to_numpy()[i], "v": rows.v.to_numpy()[i], "least": least[i], "cells": np.split(cell, cuts[1:])})
 
     v_type = x.schema["v"].dataType.simpleString()
     large = x.mapInPandas(hashed(False), "dim int, t int, cell long").groupBy("dim", "t", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
     large = materialize(large.select("dim", "t", "cell", F.ceil(F.col("n") / part_rows).alias("pieces")), "ann-large")
-    probes = materialize(q.mapInPandas(probed, f"dim int, t int, part long, q long, qid long, v {v_type}, least double, cells array<long>"), "ann-probes")
+    probes = materialize(q.mapInPandas(probed, f"dim int, t int, part long, q long, qid long, noid boolean, v {v_type}, least double, cells array<long>"), "ann-probes")
     q_pieces = F.lit(max(1, -(-q.count() // QUERY_ROWS)))
     nothing = F.lit(0).cast("long")
     group = ["dim", "t", "part", "piece", "q_piece"]
 
-    indexed = x.mapInPandas(hashed(True), f"dim int, t int, cell long, part long, row long, id long, v {v_type}").join(large, ["dim", "t", "cell"], "left")
+    indexed = x.mapInPandas(hashed(True), f"dim int, t int, cell long, part long, row long, id long, noid boolean, v {v_type}").join(large, ["dim", "t", "cell"], "left")
     split = F.col("pieces").isNotNull()
-    vectors_of = ["cell", "row", "id", "v"]
+    vectors_of = ["cell", "row", "id", "noid", "v"]
     mine = indexed.select("dim", "t", F.when(split, F.col("cell")).otherwise(F.col("part")).alias("part"), F.when(split, F.pmod(F.xxhash64("row"), "pieces")).otherwise(F.lit(-1)).alias("piece"), F.explode(F.sequence(nothing, F.when(split, q_pieces - 1).otherwise(0).cast("long"))).alias("q_piece"), *vectors_of)
-    queries_of = ["q", "qid", "v", "least", "cells"]
+    queries_of = ["q", "qid", "noid", "v", "least", "cells"]
     asked = probes.select("dim", "t", "part", F.lit(-1).cast("long").alias("piece"), nothing.alias("q_piece"), *queries_of)
     in_large = probes.withColumn("cell", F.explode("cells")).join(large, ["dim", "t", "cell"])
-    in_large = in_large.select("dim", "t", F.col("cell").alias("part"), F.explode(F.sequence(nothing, F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("q"), q_pieces).alias("q_piece"), "q", "qid", "v", "least", F.array("cell").alias("cells"))
+    in_large = in_large.select("dim", "t", F.col("cell").alias("part"), F.explode(F.sequence(nothing, F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("q"), q_pieces).alias("q_piece"), "q", "qid", "noid", "v", "least", F.array("cell").alias("cells"))
 
     def search(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         return best_in_part(mine, asked, limit)
@@ -267,16 +290,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, part_row
     counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     lengths = q.sparkSession.createDataFrame([(d, i.rows, parts[d]) for d, i in index.items()], "dim int, rows long, blocks long")
     short = q.withColumn("dim", F.size("v")).join(F.broadcast(lengths), "dim").join(counts, "q", "left").where(F.coalesce("n", nothing) < F.least(F.lit(limit + 1), "rows"))
-    short = materialize(short.select("dim", "q", "qid", "v", "blocks"), "ann-short")
+    short = materialize(short.select("dim", "q", "qid", "noid", "v", "blocks"), "ann-short")
     q_pieces = F.lit(max(1, -(-short.count() // QUERY_ROWS)))
     every = F.lit(-1).alias("t")
     rest = x.withColumn("dim", F.size("v")).join(F.broadcast(short.select("dim", "blocks").distinct()), "dim")
-    rest = rest.select("dim", every, F.pmod(F.xxhash64("row"), "blocks").alias("part"), nothing.alias("piece"), F.explode(F.sequence(nothing, (q_pieces - 1).cast("long"))).alias("q_piece"), nothing.alias("cell"), "row", "id", "v")
-    short = short.select("dim", every, F.explode(F.sequence(nothing, F.col("blocks") - 1)).alias("part"), nothing.alias("piece"), F.pmod(F.xxhash64("q"), q_pieces).alias("q_piece"), "q", "qid", "v", F.lit(float("-inf")).alias("least"), F.array(nothing).alias("cells"))
+    rest = rest.select("dim", every, F.pmod(F.xxhash64("row"), "blocks").alias("part"), nothing.alias("piece"), F.explode(F.sequence(nothing, (q_pieces - 1).cast("long"))).alias("q_piece"), nothing.alias("cell"), "row", "id", "noid", "v")
+    short = short.select("dim", every, F.explode(F.sequence(nothing, F.col("blocks") - 1)).alias("part"), nothing.alias("piece"), F.pmod(F.xxhash64("q"), q_pieces).alias("q_piece"), "q", "qid", "noid", "v", F.lit(float("-inf")).alias("least"), F.array(nothing).alias("cells"))
     exact = rest.groupBy(*group).cogroup(short.groupBy(*group)).applyInPandas(search, FOUND)
 
     all_found = found.unionByName(exact).repartition("q").dropDuplicates(["q", "row"])
     of = Window.partitionBy("q")
     others = all_found.withColumn("mine", F.min(F.when(F.col("own"), F.col("row"))).over(of)).where(F.col("mine").isNull() | (F.col("row") != F.col("mine")))
-    ranked = others.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= limit)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    ranked = others.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "vec_id", "noid", "row"))).where(F.col("rank") <= limit)
+    asked_by = q.select("q", F.col("noid").alias("q_noid"))
+    shown = ranked.join(asked_by.where("q_noid"), "q", "left")  # few queries, if any, are without an id
+    return shown.select(F.when(F.col("q_noid").isNull(), F.col("query_id")).alias("query_id"), "rank", F.when(~F.col("noid"), F.col("vec_id")).alias("vec_id"), "score")
