@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import brand_key, clean_title, normalize_matching
-from ..plans.components import connected_components
+from ..plans.linkage import first_disjoint
 from ..plans.storage import materialize
 
 NO_TITLE = "Eşleştirilmiş ürün"
@@ -16,29 +15,15 @@ NO_TITLE = "Eşleştirilmiş ürün"
 
 def applied_groups(groups: DataFrame, facts: DataFrame, rows: DataFrame, prior: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``(group_id)`` that are applied: good enough, no product matched before (in any state), and no product
-    taken by a better group of this run. Groups that share products are settled together, in order."""
+    taken by a better group of this run, in order of score, size and slot."""
     good = facts.where(F.col("best_score") >= settings.auto_approve)
     products = groups.join(good.select("group_id", "best_score", "size", "slot"), ["group_id", "slot"]).join(rows.select("offer_id", "product_id"), "offer_id")
     products = products.select("group_id", "best_score", "size", "slot", "product_id").distinct()
     taken = products.join(prior.select("product_id"), "product_id", "left_semi").select("group_id").distinct()
     free = materialize(products.join(taken, "group_id", "left_anti"), "free-groups")
-    first = Window.partitionBy("product_id").orderBy("group_id")
-    ties = free.withColumn("first", F.min("group_id").over(first)).where("first <> group_id").select(F.col("first").alias("src"), F.col("group_id").alias("dst")).distinct()
-    comps = materialize(connected_components(ties), "contested")
-    contested = free.join(comps, F.col("group_id") == F.col("node"))
-
-    def settle(held: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        held = held.sort_values(["best_score", "size", "slot"], ascending=[False, False, True])
-        for group, part in held.groupby("group_id", sort=False):
-            if used.isdisjoint(part.product_id):
-                used.update(part.product_id)
-                out.append(group)
-        return pd.DataFrame({"group_id": out})
-
-    alone = free.join(comps, F.col("group_id") == F.col("node"), "left_anti").select("group_id").distinct()
-    return alone.unionByName(contested.select("component", "group_id", "best_score", "size", "slot", "product_id").groupBy("component").applyInPandas(settle, "group_id string"))
+    claims = free.select(F.col("group_id").alias("name"), F.col("product_id").alias("key"), "best_score", "size", "slot")
+    order = [-F.col("best_score"), -F.col("size"), F.col("slot"), F.col("name")]
+    return first_disjoint(claims, order).withColumnRenamed("name", "group_id")
 
 
 def survivors(members: DataFrame) -> DataFrame:

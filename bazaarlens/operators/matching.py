@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..config import DEFAULT, Settings
 from ..functions import features as X
 from ..functions.text import brand_key, normalize_matching, truthy
-from ..plans.components import connected_components
+from ..plans.linkage import complete_linkage
 from ..plans.storage import materialize
 
 #: Parts of a heuristic score: base, title similarity (text ratio and shared words), model codes, and what
@@ -49,6 +49,24 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+#: Signs that are counted for a bound on the text ratio; all others count as one kind.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS comes in a text, and how many other signs there are."""
+    each = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*each, F.length(F.translate(text, LETTERS, "")))
+
+
+def most_ratio(a: Column, b: Column) -> Column:
+    """A bound on the text ratio of two texts, by ``letter_counts``: no more signs match than both have."""
+    signs = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
+    both = signs(F.zip_with(a, b, lambda m, n: F.least(m, n)))
+    total = signs(a) + signs(b)
+    return F.when(total == 0, 1.0).otherwise(2 * both / total)
+
+
 def least_jaccard(settings: Settings = DEFAULT) -> float:
     """The share of common words that a pair without a common model code needs, volumes agreeing."""
     return (settings.min_score - BASE - VOLUME_BONUS - TITLE * RATIO_SHARE) / (TITLE * WORDS_SHARE)
@@ -97,7 +115,7 @@ def conflict(a: str, b: str, settings: Settings = DEFAULT) -> Column:
 def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, bounded: bool = True) -> DataFrame:
     """``(a, b, score, reason)`` of each pair. ``bounded``: pairs whose bound is under the threshold are
     dropped before texts are compared, conflicts with them; what is left may still be under it."""
-    f = featured.select("offer_id", "merchant_id", "valid_gtin", "brand_key", "volume", "colours", "models", "words", "norm")
+    f = featured.select("offer_id", "merchant_id", "valid_gtin", "brand_key", "volume", "colours", "models", "words", "norm", letter_counts(F.col("norm")).alias("letters"))
     rows = pairs.join(f.select(F.col("offer_id").alias("a"), F.struct("*").alias("x")), "a").join(f.select(F.col("offer_id").alias("b"), F.struct("*").alias("y")), "b")
     rows = rows.withColumn("why", conflict("x", "y", settings))
     agreed = F.coalesce(F.abs(F.col("x.volume") - F.col("y.volume")) <= settings.volume_tolerance_ml, F.lit(False))
@@ -105,8 +123,7 @@ def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEF
     rows = rows.withColumn("rest", rest).withColumn("jac", X.jaccard(F.col("x.words"), F.col("y.words")))
     open_ = F.col("why").isNull()
     if bounded:
-        la, lb = F.length("x.norm"), F.length("y.norm")
-        most = F.when(la + lb == 0, 1.0).otherwise(2 * F.least(la, lb) / (la + lb))
+        most = most_ratio(F.col("x.letters"), F.col("y.letters"))
         rows = rows.where((F.col("why") == "gtin") | (open_ & (F.col("rest") + TITLE * (RATIO_SHARE * most + WORDS_SHARE * F.col("jac")) >= settings.min_score - 1e-6)))
     compared = rows.where(open_).withColumn("ratio", text_ratio("x.norm", "y.norm"))
     compared = compared.select("a", "b", F.least(F.lit(MOST), F.col("rest") + TITLE * (RATIO_SHARE * F.col("ratio") + WORDS_SHARE * F.col("jac"))).alias("score"), F.lit("heuristic").alias("reason"))
@@ -118,83 +135,102 @@ def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEF
 MATCHED = ("norm", "brand_key", "words", "volume", "colours", "models", "valid_gtin")
 
 
-def match_edges(featured: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``(a, b, score, reason)``: the pairs of offers that reach the score.
+def kind_edges(featured: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Offers by kind, ``(offer_id, merchant_id, kind, own)``, and edges of kinds, ``(ka, kb, score, reason)``.
 
-    Offers that are equal in MATCHED are one kind. Kinds are paired and scored, in both orders since the
-    text ratio has a first text, and each with itself; their offers of different merchants are the pairs.
+    Offers that are equal in MATCHED are one kind; ``own`` is the GTIN that makes kinds one class, or the kind. Kinds are
+    paired and scored in both orders, since the text ratio has a first text, and each with itself: two offers of
+    different merchants, the one of kind ka with the smaller id, are an edge where their kinds are. So the table grows
+    with kinds, not with pairs of offers; ``offer_edges`` has these.
     """
     kind = F.sha2(F.to_json(F.struct(*MATCHED)), 256)
-    of = materialize(featured.select("offer_id", "merchant_id", kind.alias("kind")), "kinds-of-offers")
+    own = F.coalesce(F.concat(F.lit("gtin:"), "valid_gtin"), kind)
+    of = materialize(featured.select("offer_id", "merchant_id", kind.alias("kind"), own.alias("own")), "kinds-of-offers")
     kinds = materialize(featured.select(kind.alias("offer_id"), *MATCHED).dropDuplicates(["offer_id"]), "kinds")
     pairs = materialize(candidate_pairs(kinds.withColumn("merchant_id", F.col("offer_id")), settings), "kind-pairs")
-    own = kinds.select(F.col("offer_id").alias("a"), F.col("offer_id").alias("b"))
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own)
+    same = kinds.select(F.col("offer_id").alias("a"), F.col("offer_id").alias("b"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     # kinds have no merchant, so that a kind can match itself
     scored = scored_pairs(kinds.withColumn("merchant_id", F.lit(None).cast("string")), pairs, settings).where(F.col("score") >= settings.min_score)
-    scored = materialize(scored.withColumnsRenamed({"a": "ka", "b": "kb"}), "kind-edges")
+    return of, materialize(scored.withColumnsRenamed({"a": "ka", "b": "kb"}), "kind-edges")
+
+
+def offer_edges(of: DataFrame, scored: DataFrame) -> DataFrame:
+    """``(a, b, score, reason)``: the pairs of offers behind edges of kinds, as many as there are."""
     left = of.select(F.col("kind").alias("ka"), F.col("offer_id").alias("a"), F.col("merchant_id").alias("am"))
     right = of.select(F.col("kind").alias("kb"), F.col("offer_id").alias("b"), F.col("merchant_id").alias("bm"))
     return scored.join(left, "ka").join(right, "kb").where("a < b and am <> bm").select("a", "b", "score", "reason")
 
 
-def _merge(edges: list[tuple], merchant: dict[str, str]) -> list[tuple[list[str], str]]:
-    """Greedy complete linkage: edges by falling score, then ids; two groups merge if no merchant comes twice
-    and each pair between them is an edge. Returns (members, slot): the slot is the first member of the group
-    that the merged group stands in for."""
-    linked = {frozenset(e[:2]) for e in edges}
-    group = {i: [i] for i in merchant}
-    slot = {i: i for i in merchant}
-    for a, b, *_ in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-        one, two = group[a], group[b]
-        if one is two or {merchant[i] for i in one} & {merchant[i] for i in two}:
-            continue
-        if all(frozenset((i, j)) in linked for i in one for j in two):
-            for i in two:
-                group[i] = one
-            one.extend(two)
-    seen, out = set(), []
-    for members in group.values():
-        if id(members) not in seen:
-            seen.add(id(members))
-            out.append((sorted(members), slot[members[0]]))
-    return out
-
-
-def cluster(featured: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(group_id, slot, offer_id)`` for groups of two offers or more.
-
-    Merges follow edges only, so components are clustered each for itself. Edges and merchants of a
-    component are held by one task; components are groups of offers of one product and its look-alikes.
-    ``edges`` should be a stored table: it is read several times.
-    """
-    comps = materialize(connected_components(edges, "a", "b"), "components")
-    nodes = comps.join(featured.select(F.col("offer_id").alias("node"), "merchant_id"), "node")
-    of_nodes = nodes.select("component", F.lit("").alias("b"), F.col("node").alias("a"), "merchant_id", F.lit(0.0).alias("score"))
-    of_edges = edges.join(comps, F.col("a") == F.col("node")).select("component", "b", "a", F.lit("").alias("merchant_id"), "score")
+def match_edges(featured: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``(a, b, score, reason)``: the pairs of offers that reach the score."""
+    return offer_edges(*kind_edges(featured, settings))
+
+
+def _groups(labels: DataFrame) -> DataFrame:
+    """``(group_id, slot, offer_id)`` of labels with two offers or more; a group is named after its first offer."""
+    facts = labels.groupBy("label").agg(F.min("offer_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return labels.join(facts, "label").select("group_id", F.col("label").alias("slot"), "offer_id")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows.b == ""]
-        found = _merge(list(rows[rows.b != ""][["a", "b", "score"]].itertuples(index=False, name=None)), dict(zip(own.a, own.merchant_id)))
-        return pd.DataFrame([(m[0], s, i) for m, s in found if len(m) > 1 for i in m], columns=["group_id", "slot", "offer_id"])
 
-    return of_nodes.unionByName(of_edges).groupBy("component").applyInPandas(run, "group_id string, slot string, offer_id string")
+def cluster(edges: DataFrame) -> DataFrame:
+    """``(group_id, slot, offer_id)`` for groups of two offers or more, by edges of offers.
+
+    Greedy complete linkage: edges by falling score, then ids; two groups merge if each pair between them is an edge, so
+    that no merchant comes twice. The slot is the first member of the group that the merged group stands in for.
+    """
+    return _groups(complete_linkage(edges.select(F.col("a").alias("g"), F.col("b").alias("h"), "score", "a", "b")).withColumnsRenamed({"node": "offer_id"}))
 
 
-def group_facts(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each group its size, best score and reasons, from the edges inside it."""
-    of = groups.select("group_id", "slot", "offer_id")
-    inside = edges.join(of.select(F.col("offer_id").alias("a"), F.col("group_id").alias("g")), "a").join(of.select(F.col("offer_id").alias("b"), "group_id"), "b").where("g = group_id")
+def cluster_kinds(of: DataFrame, scored: DataFrame) -> DataFrame:
+    """``cluster`` of all edges of offers, without making those inside a class.
+
+    A class is what has one valid GTIN or, without one, one kind; its offers are edges of each other, by one score. Where no
+    edge that leaves the class has that score, these edges come first, and what they make is known: the n-th offers of
+    its merchants, in order of ids, are a group. Only edges between such groups go on. Other classes (scores at the
+    common upper limit) are taken offer by offer.
+    """
+    owns = of.select("kind", "own").distinct()
+    sides = scored.join(owns.select(F.col("kind").alias("ka"), F.col("own").alias("oa")), "ka").join(owns.select(F.col("kind").alias("kb"), F.col("own").alias("ob")), "kb")
+    sides = materialize(sides, "class-edges")
+    inside = sides.where("oa = ob").groupBy(F.col("oa").alias("own")).agg(F.min("score").alias("inner"))
+    leaving = sides.where("oa <> ob")
+    outer = leaving.select(F.col("oa").alias("own"), "score").unionAll(leaving.select("ob", "score")).groupBy("own").agg(F.max("score").alias("outer"))
+    classes = inside.join(outer, "own", "left").select("own", F.coalesce(F.col("outer") >= F.col("inner"), F.lit(False)).alias("tied"))
+    nth = F.row_number().over(Window.partitionBy("own", "merchant_id").orderBy("offer_id"))
+    members = of.join(classes, "own").withColumn("nth", F.when(~F.col("tied"), nth))
+    first = F.min("offer_id").over(Window.partitionBy("own", "nth"))
+    members = materialize(members.select("offer_id", "merchant_id", "kind", "tied", F.when(F.col("tied"), F.col("offer_id")).otherwise(first).alias("atom")), "atoms")
+
+    open_ = sides.where("oa <> ob").unionByName(sides.where("oa = ob").join(classes.where("tied").select(F.col("own").alias("oa")), "oa", "left_semi"))
+    left = members.select(F.col("kind").alias("ka"), F.col("offer_id").alias("a"), F.col("merchant_id").alias("am"), F.col("atom").alias("g"))
+    right = members.select(F.col("kind").alias("kb"), F.col("offer_id").alias("b"), F.col("merchant_id").alias("bm"), F.col("atom").alias("h"))
+    met = open_.join(left, "ka").join(right, "kb").where("a < b and am <> bm and g <> h")
+    best = F.struct((-F.col("score")).alias("down"), "a", "b", "g", "h")
+    met = met.groupBy(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
+    sizes = members.groupBy("atom").agg(F.count(F.lit(1)).alias("size"))
+    met = met.join(sizes.select(F.col("atom").alias("x"), F.col("size").alias("nx")), "x").join(sizes.select(F.col("atom").alias("y"), F.col("size").alias("ny")), "y").where("n = nx * ny")
+    linked = complete_linkage(materialize(met.select("best.g", "best.h", (-F.col("best.down")).alias("score"), "best.a", "best.b"), "atom-edges"))
+    return _groups(members.join(linked.withColumnRenamed("node", "atom"), "atom", "left").select("offer_id", F.coalesce("label", "atom").alias("label")))
+
+
+def group_facts(groups: DataFrame, of: DataFrame, scored: DataFrame) -> DataFrame:
+    """For each group its size, best score and reasons, from the edges inside it. A group has one offer a merchant."""
+    own = groups.join(of.select("offer_id", "kind"), "offer_id")
+    a = own.select("group_id", F.col("offer_id").alias("a"), F.col("kind").alias("ka"))
+    b = own.select("group_id", F.col("offer_id").alias("b"), F.col("kind").alias("kb"))
+    inside = a.join(b, "group_id").where("a < b").groupBy("group_id", "ka", "kb").count().join(scored, ["ka", "kb"])
     facts = inside.groupBy("group_id").agg(F.max("score").alias("best_score"), F.concat_ws(",", F.array_sort(F.collect_set("reason"))).alias("reasons"))
-    return of.groupBy("group_id", "slot").agg(F.count(F.lit(1)).alias("size")).join(facts, "group_id")
+    return groups.groupBy("group_id", "slot").agg(F.count(F.lit(1)).alias("size")).join(facts, "group_id")
 
 
 def resolve(rows: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
-    """Features, edges, groups and their facts of offer rows; each is written once and read by what follows."""
+    """Features, kinds, groups and their facts of offer rows; each is written once and read by what follows. ``edges``
+    are those of offers, made when they are read."""
     featured = materialize(with_features(rows, settings), "featured")
-    edges = materialize(match_edges(featured, settings), "edges")
-    groups = materialize(cluster(featured, edges), "groups")
-    return {"featured": featured, "edges": edges, "groups": groups, "facts": materialize(group_facts(groups, edges), "facts")}
+    of, scored = kind_edges(featured, settings)
+    groups = materialize(cluster_kinds(of, scored), "groups")
+    return {"featured": featured, "kinds": of, "kind_edges": scored, "edges": offer_edges(of, scored), "groups": groups, "facts": materialize(group_facts(groups, of, scored), "facts")}
 
 
 def group_report(groups: DataFrame, facts: DataFrame, rows: DataFrame, limit: int = DEFAULT.report_groups) -> DataFrame:

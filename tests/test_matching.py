@@ -67,8 +67,94 @@ def test_low_threshold_uses_brands(spark):
         Settings(min_score=0)
 
 
+def merge(edges, merchant):
+    """One pass over all edges by falling score, then ids: two groups merge if no merchant comes twice and each pair
+    between them is an edge. (members, slot): the slot is the first member of the group of the edge's first end."""
+    linked = {frozenset(e[:2]) for e in edges}
+    group = {i: [i] for i in merchant}
+    for a, b, *_ in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        one, two = group[a], group[b]
+        if one is two or {merchant[i] for i in one} & {merchant[i] for i in two}:
+            continue
+        if all(frozenset((i, j)) in linked for i in one for j in two):
+            for i in two:
+                group[i] = one
+            one.extend(two)
+    return [(sorted(m), m[0]) for m in {id(m): m for m in group.values()}.values()]
+
+
 def clusters(edges, merchant):
-    return sorted(sorted(m) for m, _ in matching._merge(edges, merchant) if len(m) > 1)
+    return sorted(sorted(m) for m, _ in merge(edges, merchant) if len(m) > 1)
+
+
+def of_groups(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r.group_id, r.slot), []).append(r.offer_id)
+    return sorted((sorted(m), slot) for (_, slot), m in out.items())
+
+
+def random_edges(seed, n=60, shops=7, scores=(80, 85, 90)):
+    rnd = random.Random(seed)
+    merchant = {f"o{k:03}": str(rnd.randrange(shops)) for k in range(n)}
+    return [(a, b, float(rnd.choice(scores))) for a, b in itertools.combinations(sorted(merchant), 2) if merchant[a] != merchant[b] and rnd.random() < rnd.choice([0.05, 0.5])], merchant
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 200_000), (2, 60), (3, 20), (4, 7)])
+def test_rounds_are_one_pass_in_order(spark, monkeypatch, seed, block):
+    """Groups and slots of random graphs, in blocks down to a few edges."""
+    from bazaarlens.plans import linkage
+
+    edges, merchant = random_edges(seed)
+    monkeypatch.setattr(linkage.complete_linkage, "__defaults__", (block,))
+    got = of_groups(matching.cluster(spark.createDataFrame(edges, "a string, b string, score double")))
+    assert got == sorted((m, s) for m, s in merge(edges, merchant) if len(m) > 1) and got
+
+
+def test_blocks_decide_only_what_is_sure():
+    """A block of some nodes of a random graph merges no pair that one pass over the whole graph wouldn't."""
+    from bazaarlens.plans.linkage import merged_in_order
+
+    for seed in range(60):
+        rnd = random.Random(seed)
+        edges, merchant = random_edges(seed, 24, 6)
+        part = set(rnd.sample(sorted(merchant), rnd.choice([8, 16, 24])))
+        rows = [(x, y, x == a, s, a, b) for a, b, s in edges for x, y in ((a, b), (b, a)) if x in part]
+        whole = {i: slot for m, slot in merge(edges, merchant) for i in m}
+        found = merged_in_order(rows)
+        for old, new in found.items():
+            assert whole[old] == whole[new]
+        if len(part) == 24:
+            assert {i: found.get(i, i) for i in merchant} == whole
+
+
+def test_a_chain_of_100000_offers(spark):
+    """Each edge waits for the one before it, over the bounds of blocks."""
+    n = 100_000
+    edges = spark.range(n - 1).select(F.format_string("o%06d", "id").alias("a"), F.format_string("o%06d", F.col("id") + 1).alias("b"), F.lit(90.0).alias("score"))
+    found = matching.cluster(edges)
+    assert found.count() == n and found.select("group_id").distinct().count() == n // 2
+    assert found.where("cast(substr(offer_id, 2) as int) div 2 <> cast(substr(group_id, 2) as int) div 2").count() == 0
+
+
+def test_letter_counts_bound_the_text_ratio(spark):
+    rnd = random.Random(3)
+    made = ["".join(rnd.choice("abcé ız09") for _ in range(rnd.randint(0, 14))) for _ in range(200)]
+    df = spark.createDataFrame(list(zip(made, made[::-1])), "x string, y string")
+    rows = df.select(matching.text_ratio("x", "y").alias("ratio"), matching.most_ratio(matching.letter_counts(F.col("x")), matching.letter_counts(F.col("y"))).alias("most")).collect()
+    assert all(r.ratio <= r.most + 1e-12 for r in rows) and sum(r.most < 0.5 for r in rows) > 20
+
+
+def test_atoms_give_the_groups_of_all_edges(spark):
+    """Classes, and those at the common upper limit, against one pass over the edges of offers."""
+    for seed in (21, 22):
+        cases = random_cases(seed, 60) + [(m, "B", f"icon flask steel AB123 500 ml {w}", None) for m in "mnopm" for w in ("cup", "cap")]
+        rnd = random.Random(seed)
+        rnd.shuffle(cases)
+        found = matching.resolve(rows(spark, cases))
+        merchant = {r.offer_id: r.merchant_id for r in found["featured"].collect()}
+        edges = [(r.a, r.b, r.score) for r in found["edges"].collect()]
+        assert of_groups(found["groups"]) == sorted((m, s) for m, s in merge(edges, merchant) if len(m) > 1)
 
 
 def test_complete_linkage():
@@ -131,6 +217,34 @@ def test_groups_are_applied_in_order(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("block", [200_000, 40, 6])
+def test_choice_in_rounds(spark, block):
+    """Groups that share products, against one pass in order."""
+    from bazaarlens.plans.linkage import first_disjoint
+
+    rnd = random.Random(block)
+    groups = {f"g{k:03}": (float(rnd.randrange(5)), rnd.sample(range(90), rnd.choice([1, 2, 3]))) for k in range(120)}
+    used, want = set(), []
+    for name, (_, products) in sorted(groups.items(), key=lambda g: (-g[1][0], g[0])):
+        if used.isdisjoint(products):
+            used.update(products)
+            want.append(name)
+    claims = spark.createDataFrame([(n, str(p), s) for n, (s, products) in groups.items() for p in products], "name string, key string, score double")
+    assert sorted(r.name for r in first_disjoint(claims, [-F.col("score"), F.col("name")], block).collect()) == sorted(want)
+
+
+def test_a_contested_chain_of_100000_groups(spark):
+    """Group k shares a product with the next one, and its score falls: every second one applies."""
+    n = 100_000
+    name = F.format_string("g%06d", "id")
+    groups = spark.range(n).select(name.alias("group_id"), name.alias("slot"), F.explode(F.array((F.col("id") * 2).cast("string"), (F.col("id") * 2 + 1).cast("string"))).alias("offer_id"))
+    facts = spark.range(n).select(name.alias("group_id"), name.alias("slot"), F.lit(2).cast("long").alias("size"), (100 - F.col("id") * 1e-5).alias("best_score"), F.lit("gtin").alias("reasons"))
+    offers = spark.range(2 * n).select(F.col("id").cast("string").alias("offer_id"), F.floor((F.col("id") + 1) / 2).cast("string").alias("product_id"))
+    prior = spark.createDataFrame([], "product_id string, status string")
+    found = canonical.applied_groups(groups, facts, offers, prior)
+    assert found.count() == n // 2 and found.where("cast(substr(group_id, 2) as int) % 2 = 1").count() == 0
+
+
 def test_queries_match_all_offers(spark, sf, tmp_path):
     """The three queries on a few parts, against all pairs of all their offers in stock."""
     from bazaarlens import queries as Q
