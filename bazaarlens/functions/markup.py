@@ -54,12 +54,6 @@ def _page(html: str | None) -> _Page:
     return page
 
 
-@F.pandas_udf(LINKS)
-def links(html: pd.Series) -> pd.Series:
-    """Anchors with an address: position, address as written, title attribute, text."""
-    return html.map(lambda x: [{"pos": k, "href": h, "title": t, "text": " ".join("".join(d).split())} for k, (h, t, d) in enumerate(_page(x).links)])
-
-
 def _address(attributes: dict) -> str | None:
     for name in IMAGE_ATTRIBUTES:
         value = (attributes.get(name) or "").strip()
@@ -69,12 +63,6 @@ def _address(attributes: dict) -> str | None:
     return None
 
 
-@F.pandas_udf(IMAGES)
-def images(html: pd.Series) -> pd.Series:
-    """Images with an absolute address, and their alternative text or title."""
-    return html.map(lambda x: [{"pos": k, "url": u, "alt": a.get("alt") or a.get("title") or ""} for k, a in enumerate(_page(x).images) if (u := _address(a))])
-
-
 def _objects(value):
     """All objects in a JSON value, parents first."""
     stack = [value]
@@ -87,10 +75,10 @@ def _objects(value):
             stack.extend(reversed(x))
 
 
-def product_objects(html: str | None) -> list[dict]:
-    """Objects of type Product in the page's ld+json scripts, in order; scripts that can't be read are skipped."""
+def _products(scripts: list[str]) -> list[dict]:
+    """Objects of type Product in ld+json scripts, in order; scripts that can't be read are skipped."""
     found = []
-    for script in _page(html).scripts:
+    for script in scripts:
         try:
             parsed = json.loads(script)
         except ValueError:
@@ -102,7 +90,23 @@ def product_objects(html: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def product_json(html: pd.Series) -> pd.Series:
-    """Product objects of a page as JSON texts."""
-    return html.map(lambda x: [json.dumps(p, ensure_ascii=False) for p in product_objects(x)])
+def product_objects(html: str | None) -> list[dict]:
+    """The products that a page holds as ld+json."""
+    return _products(_page(html).scripts)
+
+
+def _read(html: str | None) -> dict:
+    page = _page(html)
+    return {
+        "links": [{"pos": k, "href": h, "title": t, "text": " ".join("".join(d).split())} for k, (h, t, d) in enumerate(page.links)],
+        "images": [{"pos": k, "url": u, "alt": a.get("alt") or a.get("title") or ""} for k, a in enumerate(page.images) if (u := _address(a))],
+        "products": [json.dumps(p, ensure_ascii=False) for p in _products(page.scripts)],
+    }
+
+
+@F.pandas_udf(StructType().add("links", LINKS).add("images", IMAGES).add("products", ArrayType(StringType())))
+def read_page(html: pd.Series) -> pd.DataFrame:
+    """All that is read from a page, parsed once. ``links``: anchors with an address, by position, with the address as
+    written, title attribute and text. ``images``: those with an absolute address, with alternative text or title.
+    ``products``: product objects as JSON texts."""
+    return pd.DataFrame([_read(x) for x in html], columns=["links", "images", "products"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import truthy
+from ..plans.storage import materialize
 
 
 def offer_groups(canonical: DataFrame, matches: DataFrame, variants: DataFrame, offers: DataFrame) -> DataFrame:
@@ -44,12 +45,15 @@ def ranked_gaps(grouped: DataFrame) -> DataFrame:
     """For each canonical product its number of merchants and the two cheapest offers of different
     merchants, with the gap between them; null where there is one merchant only."""
     best = best_offer_per_merchant(grouped)
-    # the two smallest by (price, offer): the cheapest, and the cheapest of the others
+    counts = best.groupBy("canonical_product_id").agg(F.count(F.lit(1)).alias("n_merchants"))
+    # the two smallest by (price, offer): the cheapest, and the cheapest of the others; the filter right above the rank
+    # lets each task drop all but two of a product before the shuffle
     order = Window.partitionBy("canonical_product_id").orderBy("price", "offer_id")
-    ranked = best.withColumn("place", F.row_number().over(order))
+    two = best.select("canonical_product_id", "offer_id", "merchant_id", "price").withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2)
     place = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
     names = {1: "cheapest", 2: "competitor"}
-    pair = ranked.groupBy("canonical_product_id").agg(F.count(F.lit(1)).alias("n_merchants"), *[place(n, f"{c}").alias(f"{who}_{c}") for n, who in names.items() for c in ("offer_id", "merchant_id", "price")])
+    pair = two.groupBy("canonical_product_id").agg(*[place(n, f"{c}").alias(f"{who}_{c}") for n, who in names.items() for c in ("offer_id", "merchant_id", "price")])
+    pair = counts.join(pair, "canonical_product_id")
     return pair.withColumn("gap_percent", F.when(F.col("n_merchants") > 1, percent_cheaper(F.col("cheapest_price"), F.col("competitor_price"))))
 
 
@@ -97,6 +101,20 @@ def history_analysis(current: DataFrame, history: DataFrame, settings: Settings
     return facts.withColumn("history_status", status).withColumn("verified", F.col("history_status") == "price_drop")
 
 
+def history_replay(history: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """What a run at the time of each snapshot would have known: ``(offer_id, checked_at, price, history_points,
+    history_avg_30d, history_low_90d, mean_drop_percent)``, by frames of time that end with the snapshot.
+
+    Snapshots without a price above 0 are left out; those of one time see each other.
+    """
+    frame = lambda what, days: F.expr(f"{what} OVER (PARTITION BY offer_id ORDER BY checked_at RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW)")
+    long, short = settings.history_days, settings.average_days
+    rows = history.where(F.col("price") > 0).select("offer_id", "checked_at", "price")
+    mean = frame("sum(cast(price AS decimal(24,6)))", short).cast("double") / frame("count(1)", short)
+    rows = rows.select("*", frame("count(1)", long).alias("history_points"), mean.alias("history_avg_30d"), frame("min(price)", long).alias("history_low_90d"))
+    return rows.withColumn("mean_drop_percent", price_drop_percent(F.col("price"), F.col("history_avg_30d")))
+
+
 def history_label(status: Column, drop: Column, points: Column) -> Column:
     """What a report says of a status."""
     return (
@@ -164,8 +182,11 @@ def run_deals(canonical: DataFrame, matches: DataFrame, variants: DataFrame, off
 
 
 def deal_feed(deals: DataFrame, canonical: DataFrame, offers: DataFrame, merchants: DataFrame, limit: int = DEFAULT.feed_limit) -> DataFrame:
-    """The candidates with the largest gaps, with names and links; missing or empty values have defaults."""
-    top = deals.where("status = 'candidate'").orderBy(F.desc_nulls_first("gap_percent"), "canonical_product_id").limit(limit)
+    """The candidates with the largest gaps, with names and links; missing or empty values have defaults. Rows of one
+    offer id are one offer. Runs a job: the ``limit`` deals are stored, and only their offers are looked up."""
+    top = materialize(deals.where("status = 'candidate'").orderBy(F.desc_nulls_first("gap_percent"), "canonical_product_id").limit(limit), "feed")
+    of_top = F.broadcast(top.select(F.col("cheapest_offer_id").alias("id")).distinct())  # ``limit`` rows at most
+    offers = offers.select("id", "product_url").join(of_top, "id", "left_semi").groupBy("id").agg(F.min("product_url").alias("product_url"))
     shop = merchants.select(F.col("id").alias("mid"), truthy(F.col("name"), F.col("slug"), F.lit("Mağaza")).alias("shop"))
     rows = (
         top.join(canonical.select(F.col("id").alias("canonical_product_id"), "title", "brand"), "canonical_product_id", "left")

@@ -32,15 +32,22 @@ def offer_rows(merchants: DataFrame, products: DataFrame, variants: DataFrame, o
     )
 
 
+#: What features are made of.
+LISTING = ("title", "brand", "gtin")
+
+
 def with_features(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Features of each row, once, before any pair is made."""
-    named = rows.withColumn("norm", normalize_matching(F.col("title"))).withColumn("tokens", X.tokens(F.col("norm")))
-    return named.withColumns(
+    """Features of each row, before any pair is made; they are computed once for rows of equal title, brand and GTIN."""
+    named = rows.select(*LISTING).distinct().withColumn("norm", normalize_matching(F.col("title"))).withColumn("tokens", X.tokens(F.col("norm")))
+    named = named.withColumns(
         {
             "brand_key": brand_key(F.col("brand")), "words": F.array_sort(F.array_distinct(X.meaningful(F.col("tokens")))), "volume": X.volume_ml(F.col("title"), F.col("tokens")), "colours": X.colours(F.col("tokens")),
             "models": X.model_codes(F.col("title")), "valid_gtin": X.valid_gtin(F.col("gtin"), settings.reject_zero_gtin),
         }
     )
+    same = [F.col(f"row.{c}").eqNullSafe(F.col(f"listing.{c}")) for c in LISTING]
+    made = [F.col(f"listing.{c}") for c in named.columns if c not in LISTING]
+    return rows.alias("row").join(named.alias("listing"), same).select("row.*", *made)
 
 
 @F.pandas_udf(DoubleType())

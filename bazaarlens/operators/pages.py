@@ -15,6 +15,7 @@ from ..config import DEFAULT, Settings
 from ..functions import features as X
 from ..functions import markup
 from ..functions.text import canonical_url, join_url, normalize_listing, price_plain, unescape_html
+from ..plans.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def is_blocked(html: Column, title: Column) -> Column:
 
 def exploded_links(pages: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, pos, href, url, title, text)``: anchors of each page, addresses resolved and canonical."""
-    rows = pages.select(*keys, F.col("url").alias("page_url"), F.explode(markup.links("html")).alias("x"))
+    rows = pages.select(*keys, F.col("url").alias("page_url"), F.explode(markup.read_page("html")["links"]).alias("x"))
     rows = rows.withColumn("full", join_url("page_url", "x.href"))
     return rows.select(*keys, "x.pos", "x.href", canonical_url(F.col("full")).alias("url"), "x.title", "x.text")
 
@@ -124,9 +125,10 @@ def title_matches_query(title_tokens: Column, query_tokens: Column) -> Column:
 
 
 def gallery_image(pages: DataFrame) -> DataFrame:
-    """``(merchant, query, url, image)``: the image whose text fits the title best, if it scores 3 or more; the first wins ties."""
+    """``(merchant, query, url, image)`` of pages with their ``images``: the one whose text fits the title best, if it scores
+    3 or more; the first wins ties."""
     keys = ["merchant", "query", "url"]
-    rows = pages.select(*keys, normalize_listing(F.col("title")).alias("t"), F.explode(markup.images("html")).alias("x")).withColumn("alt", normalize_listing(F.col("x.alt")))
+    rows = pages.select(*keys, normalize_listing(F.col("title")).alias("t"), F.explode("images").alias("x")).withColumn("alt", normalize_listing(F.col("x.alt")))
     rows = rows.where(F.col("x.url").rlike(r"n11scdn|akamaized\.net"))
     score = (
         F.when(F.col("alt") == "", 0).otherwise(F.size(F.array_intersect(F.split("t", " "), F.split("alt", " "))) + F.when(F.contains("alt", "t"), 100).otherwise(0))
@@ -136,9 +138,11 @@ def gallery_image(pages: DataFrame) -> DataFrame:
 
 
 def parsed_items(pages: DataFrame, merchants: list[Merchant] = MERCHANTS, limit: int = DEFAULT.search_limit) -> DataFrame:
-    """Scraped items of product pages (merchant, query, url, html, pos): title, price and id are required."""
-    p = pages.where("kind = 'product'").withColumn("product", F.get(markup.product_json("html"), 0)).where("product is not null")
-    p = p.withColumn("offer", first_offer("product")).withColumn("title", F.trim(F.coalesce(_json("product", "$.name"), F.lit(""))))
+    """Scraped items of product pages (merchant, query, url, html, pos): title, price and id are required. A page is
+    parsed once, and what was read of it is stored, without its HTML, before rows are sorted."""
+    p = pages.where("kind = 'product'").select("merchant", "query", "url", "pos", markup.read_page("html").alias("page"))
+    p = p.select("merchant", "query", "url", "pos", F.get("page.products", 0).alias("product"), "page.images").where("product is not null")
+    p = materialize(p.withColumn("offer", first_offer("product")).withColumn("title", F.trim(F.coalesce(_json("product", "$.name"), F.lit("")))), "read-pages")
     known, from_title, relevance, gallery, url_id = F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.lit("")
     said = [F.trim(F.coalesce(_json("product", f"$.{k}"), F.lit(""))) for k in ("sku", "productID", "mpn")]
     for m in merchants:
@@ -165,6 +169,11 @@ def parsed_items(pages: DataFrame, merchants: list[Merchant] = MERCHANTS, limit:
     )
 
 
+def page_products(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, pos, product)``: every product object of a page as JSON, parents before what they hold."""
+    return pages.select(*keys, F.posexplode(markup.read_page("html")["products"]).alias("pos", "product"))
+
+
 def marketplace_of(url: Column, known: dict[str, str] = MARKETPLACES) -> Column:
     """The first marketplace whose domain the address contains, else Other."""
     out = F.lit("Other")
@@ -212,8 +221,11 @@ def confirmed_products(pages: DataFrame, candidates: int = 40, enough: int = 5)
     """``(merchant, query, place, url, name, price)``: of a search's first ``candidates`` product pages, the first
     ``enough`` that hold a product with a price and a name that the page's title confirms."""
     own = Window.partitionBy("merchant", "query").orderBy("pos", "url")
-    p = pages.where("kind = 'product'").withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= candidates)
-    p = p.withColumn("product", F.get(markup.product_json("html"), 0)).where("product is not null").withColumn("offer", first_offer("product"))
+    # addresses are ranked without their pages, and only pages that may count are read
+    some = pages.where("kind = 'product'")
+    first = some.select("merchant", "query", "pos", "url").withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= candidates).drop("nth").distinct()
+    p = some.join(first, ["merchant", "query", "pos", "url"], "left_semi")
+    p = p.withColumn("product", F.get(markup.read_page("html")["products"], 0)).where("product is not null").withColumn("offer", first_offer("product"))
     price = F.coalesce(*[F.when(price_plain(_json("offer", f"$.{k}")) != 0, price_plain(_json("offer", f"$.{k}"))) for k in ("price", "lowPrice")])
     p = p.select("merchant", "query", "pos", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), _json("product", "$.name").alias("name"), price.alias("price"))
     p = p.where(F.col("price").isNotNull() & title_confirms(F.col("title"), F.col("name")))

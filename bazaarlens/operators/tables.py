@@ -46,8 +46,8 @@ def ingest(items: DataFrame, merchants: DataFrame, products: DataFrame, variants
 
     Items without an id, title or price are left out; of items with one key the last address counts.
     Known offers get price, address, image, currency, stock and times; others get product (by slug),
-    variant (by sku) and offer. Every item adds a snapshot. Images of known variants are renewed for
-    the merchants of ``refresh_images`` only.
+    variant (by sku) and offer. Every item adds a snapshot. Images of known variants, and of their
+    products, are renewed for the merchants of ``refresh_images`` only.
     """
     now = F.lit(settings.as_of)
     good = items.where("merchant_product_id <> '' AND title <> '' AND price IS NOT NULL")
@@ -66,6 +66,9 @@ def ingest(items: DataFrame, merchants: DataFrame, products: DataFrame, variants
     variants_ = get_or_create(variants, made, "sku")
     new_images = keyed.where(F.col("offer_id").isNotNull() & F.col("image_url").isNotNull() & F.col("merchant").isin(*refresh_images)).select(F.col("product_variant_id").alias("id"), F.col("image_url").alias("_image"))
     variants_ = variants_.join(first_per_key(new_images, ["id"], ["_image"]), "id", "left").withColumn("image_url", F.coalesce("_image", "image_url")).select(*variants.columns)
+    # the product of a renewed variant is renewed too; of several variants' images the last one counts
+    of_products = new_images.join(variants.select("id", "product_id"), "id").select(F.col("product_id").alias("id"), "_image")
+    products_ = products_.join(first_per_key(of_products, ["id"], [F.desc("_image")]), "id", "left").withColumn("image_url", F.coalesce("_image", "image_url")).select(*products.columns)
     variant_of = variants_.select("sku", F.col("id").alias("vid"))
     rows = keyed.join(variant_of, "sku", "left").select(
         F.coalesce("offer_id", F.concat(F.lit("o-"), "sku")).alias("id"), F.coalesce("product_variant_id", "vid").alias("product_variant_id"), "merchant_id", "merchant_product_id", "product_url", "price",

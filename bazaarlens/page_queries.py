@@ -71,6 +71,33 @@ def product_items(spark, d):
     return pages.parsed_items(product_pages(spark, d))
 
 
+@query("""SELECT k, CAST(pos AS INTEGER) AS pos, sku, name FROM (
+  SELECT p_partkey AS k, 0 AS pos, 'A' || p_partkey AS sku, p_name || ' & co' AS name FROM part
+  UNION ALL SELECT p_partkey, 1, 'R' || p_partkey, 'part of it' FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END, 'B' || p_partkey, '<b>&amp;</b>' FROM part WHERE p_partkey % 5 <> 0)""")
+def page_products(spark, d):
+    """All products of pages that a careless shop writes: capitals, broken nesting, entities, products inside products,
+    lists of types, scripts of other kinds and scripts that are no JSON."""
+    p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    inner = F.when(F.col("k") % 3 == 0, _say('"isRelatedTo":[{"@type":"Product","sku":"R{k}","name":"part of it"}],')).otherwise("")
+    first = _say("""<HTML><BODY><P>one<P><B>two</P></I><SCRIPT TYPE=' application/ld+json '>[{"@type":"Product",{r}"sku":"A{k}","name":"{n} & co"}]</SCRIPT>""", r=inner, n=F.col("p_name"))
+    second = F.when(F.col("k") % 5 != 0, _say("""<script type="application/ld+json" async>{"@graph":[{"@type":"Thing"},{"x":{"@type":["Thing","Product"],"sku":"B{k}","name":"<b>&amp;</b>"}}]}</SCRIPT >""")).otherwise("<script type=application/ld+json>{'@type': 'Product'}</script>")
+    html = F.concat(first, F.lit("<script>var x = {\"@type\":\"Product\"};</script></div></div>"), second, F.lit("<a href=x>&lt;end"))
+    found = pages.page_products(p.select("k", html.alias("html")), ["k"])
+    return found.select("k", "pos", F.get_json_object("product", "$.sku").alias("sku"), F.get_json_object("product", "$.name").alias("name"))
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey AS k, 'S' || p_partkey % 30 AS sku FROM part),
+once AS (SELECT *, row_number() OVER (PARTITION BY p_brand, sku ORDER BY k) AS nth FROM p)
+SELECT p_brand AS query, sku AS merchant_product_id, 'https://www.mediamarkt.com.tr/tr/product/_' || k || '.html' AS product_url FROM once WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k) <= 20""")
+def repeated_skus(spark, d):
+    """Product pages of a search that repeat skus: the first page of each counts, and twenty items of a search."""
+    p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    html = _say('<script type="application/ld+json">{"@type":"Product","name":"any {b}","sku":"S{r}","offers":{"price":5}}</script>', b=F.col("p_brand"), r=(F.col("k") % 30).cast("string"))
+    shop = p.select(F.lit("mediamarkt").alias("merchant"), F.col("p_brand").alias("query"), F.lit("product").alias("kind"), _say("https://www.mediamarkt.com.tr/tr/product/_{k}.html").alias("url"), html.alias("html"), F.col("k").alias("pos"))
+    return pages.parsed_items(shop).select(F.regexp_replace("title", "^any ", "").alias("query"), "merchant_product_id", "product_url")
+
+
 def search_pages(spark, d) -> DataFrame:
     """A search page for each brand, with links to its parts: relative and absolute ones, other sites, other pages, and again."""
     p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
@@ -168,6 +195,30 @@ def ingest_history(spark, d):
     return _ingested(spark, d)["price_history"]
 
 
+@query("""SELECT kind, id, CASE WHEN k % 6 = 0 THEN 'new-' || k WHEN k % 5 = 0 THEN NULL ELSE 'old' END AS image_url
+FROM (SELECT 'product' AS kind, '' || p_partkey AS id, p_partkey AS k FROM part UNION ALL SELECT 'variant', 'v-' || p_partkey, p_partkey FROM part)""")
+def renewed_images(spark, d):
+    """Images of products and variants after known offers came again: one shop of two renews them, where it has one."""
+    p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    key = F.col("k").cast("string")
+    shop = F.when(F.col("k") % 3 == 0, "n11").otherwise("vatan")
+    none = F.lit(None).cast("string")
+    merchants = A.merchants(spark, d).unionByName(spark.createDataFrame([(f"m-{s}", s, s, None, True) for s in ("n11", "vatan")], A.merchants(spark, d).schema))
+    known = p.select(
+        F.concat(F.lit("o-"), key).alias("id"), F.concat(F.lit("v-"), key).alias("product_variant_id"), F.concat(F.lit("m-"), shop).alias("merchant_id"), key.alias("merchant_product_id"), F.lit("u").alias("product_url"), F.col("p_retailprice").alias("price"),
+        F.lit("TRY").alias("currency"), F.lit(True).alias("in_stock"), none.alias("image_url"), F.lit(None).cast("timestamp").alias("last_checked_at"), F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    items = p.select(
+        shop.alias("merchant"), key.alias("merchant_product_id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("new-"), key)).alias("image_url"),
+        F.lit("u").alias("product_url"), F.lit(True).alias("in_stock"), none.alias("gtin"),
+    )
+    old = F.when(F.col("k") % 5 != 0, F.lit("old"))
+    of_product = A.products(spark, d).withColumn("k", F.col("id").cast("long")).withColumn("image_url", old).drop("k")
+    of_variant = A.variants(spark, d).withColumn("k", F.col("product_id").cast("long")).withColumn("image_url", old).drop("k")
+    out = tables.ingest(items, merchants, of_product, of_variant, known, A.price_history(spark, d).select("offer_id", "price", "in_stock", "checked_at"))
+    return out["products"].select(F.lit("product").alias("kind"), "id", "image_url").unionByName(out["variants"].select(F.lit("variant").alias("kind"), "id", "image_url"))
+
+
 # ---- deals with a history -------------------------------------------------------------------------
 
 _SNAPSHOTS = f"""(SELECT o.id AS offer_id, price * (1 + l_tax) AS value, TIMESTAMP '2024-01-21' AS ts FROM {_OFFERS.replace("l_shipdate FROM", "l_shipdate, l_tax, l_linenumber FROM")} o
@@ -204,6 +255,32 @@ def verified_counters(spark, d):
     return deals.counters(outcomes, analysed)
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS offer_id, ts AS checked_at, value AS price, count(*) OVER long AS history_points,
+  CAST(sum(CAST(value AS DECIMAL(24,6))) OVER short AS DOUBLE) / count(*) OVER short AS history_avg_30d, min(value) OVER long AS history_low_90d,
+  CASE WHEN value < CAST(sum(CAST(value AS DECIMAL(24,6))) OVER short AS DOUBLE) / count(*) OVER short
+    THEN (CAST(sum(CAST(value AS DECIMAL(24,6))) OVER short AS DOUBLE) / count(*) OVER short - value) / (CAST(sum(CAST(value AS DECIMAL(24,6))) OVER short AS DOUBLE) / count(*) OVER short) * 100 ELSE 0 END AS mean_drop_percent
+FROM events WHERE value > 0
+WINDOW long AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW), short AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)""")
+def history_replay(spark, d):
+    """What verification would have known at each snapshot of the whole history."""
+    return deals.history_replay(A.price_history(spark, d))
+
+
+@query(f"""WITH m AS (SELECT '' || p_partkey AS c, p_partkey AS product FROM part WHERE p_partkey % 30 <> 29
+  UNION ALL SELECT '' || (p_partkey + 1), p_partkey FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT '' || (p_partkey // 2), p_partkey FROM part WHERE p_partkey % 11 = 0),
+owner AS (SELECT product, max(c) AS c FROM m WHERE CAST(c AS BIGINT) % 20 <> 19 AND CAST(c AS BIGINT) IN (SELECT p_partkey FROM part) GROUP BY 1)
+SELECT c AS canonical_product_id, count(*) AS offers, count(DISTINCT l_partkey) AS products, min(price) AS lowest FROM {_OFFERS} o JOIN owner ON product = l_partkey WHERE in_stock AND price > 0 AND l_partkey % 50 <> 49 GROUP BY 1""")
+def shared_products(spark, d):
+    """Offers of canonical products where a product belongs to up to three: the highest id that is active counts."""
+    p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    none = F.lit(None).cast("timestamp")
+    more = p.where("k % 7 = 0").select((F.col("k") + 1).cast("string").alias("c"), "k").unionByName(p.where("k % 11 = 0").select(F.floor(F.col("k") / 2).cast("string").alias("c"), "k"))
+    more = more.select(F.concat_ws("-", F.lit("x"), "c", "k").alias("id"), F.col("c").alias("canonical_product_id"), F.col("k").cast("string").alias("product_id"), F.lit(90.0).alias("match_score"), F.lit("gtin").alias("match_reason"), F.lit("approved").alias("status"), none.alias("updated_at"))
+    grouped = deals.offer_groups(A.canonical_products(spark, d), A.product_matches(spark, d).unionByName(more), A.variants(spark, d), A.offers(spark, d))
+    of = grouped.withColumn("product", F.split("offer_id", "-")[2])
+    return of.groupBy("canonical_product_id").agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("product").alias("products"), F.min("price").alias("lowest"))
+
+
 @query("""SELECT event_id, CAST(user_id AS VARCHAR) AS offer_id, date_trunc('second', ts) AS checked_at FROM events WHERE event_id % 10 <> 0""")
 def iso_history(spark, d):
     """Times as text, with Z or an offset; text that is no time leaves no snapshot."""

@@ -135,8 +135,7 @@ FROM (SELECT * FROM {_OUTCOMES} WHERE outcome = 'candidate' ORDER BY round_even(
 JOIN part ON p_partkey = CAST(o.canonical_product_id AS BIGINT) JOIN supplier c ON c.s_suppkey = CAST(cheapest_merchant_id AS BIGINT) JOIN supplier k ON k.s_suppkey = CAST(competitor_merchant_id AS BIGINT)""")
 def deal_feed(spark, d):
     new = deals.run_deals(*_deal_inputs(spark, d))[0]
-    # offers of one id are one offer here
-    feed = deals.deal_feed(new, A.canonical_products(spark, d), A.offers(spark, d).dropDuplicates(["id"]), A.merchants(spark, d))
+    feed = deals.deal_feed(new, A.canonical_products(spark, d), A.offers(spark, d), A.merchants(spark, d))
     return feed.select("id", (F.col("title") != "Ürün").alias("titled"), "brand", "price", "competitor_price", "gap_percent", "merchant", "competitor_merchant", "product_url")
 
 
@@ -339,6 +338,14 @@ def category_flatten(spark, d):
     return flat.select(F.col("subcategory").alias("category"), F.col("category").alias("parent"), "query", F.array_join("aliases", "|").alias("aliases"))
 
 
+@query("SELECT n_name AS category, lower(n_name) AS query FROM nation WHERE lower(n_name) = 'nation_7' OR (lower(n_name) = 'germany' AND n_nationkey % 5 <> 4)")
+def category_by_slug(spark, d):
+    n = A.table(spark, d, "nation")
+    sub = F.struct(F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.when(F.col("n_nationkey") % 5 == 4, False).alias("active"), F.array(F.lower("n_name")).alias("queries"))
+    tree = n.agg(F.lit(1).alias("version"), F.array(F.struct(F.lit("all").alias("name"), F.lit("all").alias("slug"), F.lit(True).alias("active"), F.collect_list(sub).alias("subcategories"))).alias("categories"))
+    return catalog.active_subcategories(tree, slug="germany").unionByName(catalog.active_subcategories(tree, slug="nation_7")).select(F.col("subcategory").alias("category"), "query")
+
+
 @query("SELECT p_partkey, r_name FROM part, region")
 def collector_steps(spark, d):
     subs = A.table(spark, d, "part").select(F.col("p_partkey").alias("subcategory_slug"), F.lit("q").alias("query"))

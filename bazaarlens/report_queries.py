@@ -17,6 +17,7 @@ from .plans.storage import materialize, shared_dir
 from .queries import _CURRENT, _FAMILIES, _OFFERS, _OUTCOMES, _TOKENS, _all_offers, _current, _history_sql, query
 from .sources import adapters as A
 from .sources import envelopes as E
+from .streaming import deals as stream_deals
 
 # ---- cards ----------------------------------------------------------------------------------------
 
@@ -294,7 +295,7 @@ def category_config(spark, d):
 
 def _fed(spark, d) -> DataFrame:
     new = deals.run_deals(*_inputs(spark, d))[0]
-    return deals.deal_feed(new, A.canonical_products(spark, d), A.offers(spark, d).dropDuplicates(["id"]), A.merchants(spark, d))
+    return deals.deal_feed(new, A.canonical_products(spark, d), A.offers(spark, d), A.merchants(spark, d))
 
 
 _FED = f"""(SELECT o.*, h.history_drop_percent, history_status = 'price_drop' AS verified FROM (SELECT * FROM {_OUTCOMES} WHERE outcome = 'candidate' ORDER BY round_even(gap_percent, 2) DESC, canonical_product_id LIMIT 60) o
@@ -322,3 +323,24 @@ def feed_counters(spark, d):
 def history_labels(spark, d):
     found = deals.history_analysis(_current(spark, d), A.price_history(spark, d))
     return found.select("offer_id", deals.history_label(F.col("history_status"), F.col("history_drop_percent"), F.col("history_points")).alias("label"))
+
+
+# ---- snapshots as a stream --------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT '' || user_id // 10 AS c, '' || user_id % 10 AS m, value, event_type <> 'error' AS in_stock, ts FROM events),
+latest AS (SELECT c, m, arg_max(struct_pack(value := value, in_stock := in_stock), (ts, value, in_stock)) AS s FROM e GROUP BY 1, 2),
+good AS (SELECT c, m, s.value AS price, row_number() OVER (PARTITION BY c ORDER BY s.value, m) AS place FROM latest WHERE s.in_stock AND s.value > 0),
+pairs AS (SELECT c, count(*) AS n, max(m) FILTER (WHERE place = 1) AS m1, max(price) FILTER (WHERE place = 1) AS p1, max(m) FILTER (WHERE place = 2) AS m2, max(price) FILTER (WHERE place = 2) AS p2 FROM good GROUP BY 1)
+SELECT e.c AS canonical_product_id, coalesce(n, 0) AS n_merchants, m1 AS cheapest_merchant_id, p1 AS cheapest_price, m2 AS competitor_merchant_id, p2 AS competitor_price, (p2 - p1) / p2 * 100 AS gap_percent,
+  CASE WHEN coalesce(n, 0) < 2 THEN 'insufficient' WHEN (p2 - p1) / p2 * 100 + 1e-9 >= 15 THEN 'candidate' ELSE 'normal' END AS outcome
+FROM (SELECT DISTINCT c FROM e) e LEFT JOIN pairs ON pairs.c = e.c""")
+def streamed_deals(spark, d):
+    """Deal states of products after all snapshots went through as a stream, in four files out of order, a part of them twice."""
+    e = A.table(spark, d, "events")
+    u = F.col("user_id")
+    rows = e.select(F.floor(u / 10).cast("string").alias("canonical_product_id"), (u % 10).cast("string").alias("merchant_id"), F.col("value").alias("price"), (F.col("event_type") != "error").alias("in_stock"), F.col("ts").cast("timestamp").alias("checked_at"), "event_id")
+    again = rows.where(F.col("price") > 50)
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows.unionByName(again).repartition(4, F.hash("event_id", "price")).drop("event_id").write.parquet(path)
+    return stream_deals.final_states(stream_deals.run(spark, path)).drop("status", "version")

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.tables import patch, upsert, upsert_newer
 
 
 class WriteConflict(RuntimeError):
-    """Another writer made the same version first; the table is as that writer left it."""
+    """Another writer has the version that was to be written; the table is as that writer leaves it."""
 
 
 class TableStore:
@@ -24,23 +23,36 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _file(self, path: str):
+        """A path and its file system, as Spark's own readers and writers see them."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _pointers(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self._POINTER).parquet(f"{self.root}/{name}/_pointers")
-        except AnalysisException:  # no such folder
-            return None
+        path = f"{self.root}/{name}/_pointers"
+        where, files = self._file(path)
+        return self.spark.read.schema(self._POINTER).parquet(path) if files.exists(where) else None
 
     def _version(self, name: str) -> tuple[int, list[str]]:
         pointers = self._pointers(name)
-        # of two writers of one version the first name counts
-        row = pointers.orderBy("number", "writer", ascending=[False, True]).first() if pointers else None
+        row = pointers.orderBy("number", ascending=False).first() if pointers else None
         return (row.number, row.paths) if row else (0, [])
 
+    def _claim(self, name: str, number: int):
+        return self._file(f"{self.root}/{name}/_claims/{number}")
+
     def _publish(self, name: str, number: int, paths: list[str]) -> None:
-        writer = uuid.uuid4().hex
-        self.spark.createDataFrame([(number, writer, paths)], self._POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/_pointers")
-        if self._pointers(name).where(f"number = {number}").orderBy("writer").first().writer != writer:
-            raise WriteConflict(f"version {number} of {name} was written by another job")
+        """A version belongs to the writer that makes its claim, a file that must not exist; file systems make such a
+        file once. A writer that finds the claim made, or the version there, changes nothing."""
+        where, files = self._claim(name, number)
+        if not files.createNewFile(where) or self._version(name)[0] >= number:
+            raise WriteConflict(f"version {number} of {name} was claimed by another job")
+        self.spark.createDataFrame([(number, uuid.uuid4().hex, paths)], self._POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/_pointers")
+
+    def release(self, name: str) -> None:
+        """Gives up the claim of the next version, of a job that is known to be lost before it wrote its pointer."""
+        where, files = self._claim(name, self._version(name)[0] + 1)
+        files.delete(where, False)
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         _, paths = self._version(name)

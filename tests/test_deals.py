@@ -109,6 +109,7 @@ def test_ingest_twice(spark):
     assert {k: v.count() for k, v in second.items()} == {"merchants": 2, "products": 2, "variants": 2, "offers": 2, "price_history": 4}
     assert {r.merchant_product_id + r.merchant_id: (r.price, r.updated_at) for r in second["offers"].collect()} == {"1m-n11": (4.0, NOW), "1m-vatan": (6.5, NOW)}
     assert {r.sku: r.image_url for r in second["variants"].collect()} == {"n11:1": "new", "vatan:1": None}
+    assert {r.slug: r.image_url for r in second["products"].collect()} == {"n11-1": "new", "vatan-1": None}
 
 
 def test_store_and_stream(spark, tmp_path):
@@ -156,6 +157,57 @@ def test_late_batches_and_conflicts(spark, tmp_path):
     assert before.count() == 2 and store.read("price_history").count() == 5
     assert {r.id: r.price for r in store.read("offers").collect()} == {"a": 5.0, "b": 8.0, "c": 1.0}
     number, paths = store._version("offers")
+    # one of two writers of a version loses, whichever comes first, and nothing of the winner is lost
+    store._publish("offers", number + 1, [*paths, "winner"])
     with pytest.raises(WriteConflict):
-        for _ in range(40):  # one of two writers of a version loses
-            store._publish("offers", number + 1, paths)
+        store._publish("offers", number + 1, paths)
+    assert store._version("offers") == (number + 1, [*paths, "winner"])
+    # a job that was lost between its claim and its pointer: told, until somebody gives up its claim
+    where, files = store._claim("offers", number + 2)
+    assert files.createNewFile(where)
+    with pytest.raises(WriteConflict):
+        store._publish("offers", number + 2, paths)
+    store.release("offers")
+    store._publish("offers", number + 2, paths)
+    assert store._version("offers") == (number + 2, paths)
+
+
+def test_two_cheapest_are_cut_before_the_shuffle(spark):
+    can, match, var, off = shop(spark, {"a": [85.0, 100.0, 90.0], "b": [1.0]})
+    gaps = deals.ranked_gaps(deals.offer_groups(can, match, var, off))
+    assert "WindowGroupLimit" in gaps._jdf.queryExecution().executedPlan().toString()
+    assert {r.canonical_product_id: (r.n_merchants, r.cheapest_price, r.competitor_price) for r in gaps.collect()} == {"a": (3, 85.0, 90.0), "b": (1, 1.0, None)}
+
+
+def test_replay_of_history(spark):
+    """Frames of time end with each snapshot; snapshots of one time see each other, unpriced ones count nowhere."""
+    rows = [(10.0, 100), (20.0, 95), (8.0, 60), (0.0, 50), (9.0, 31), (9.5, 31), (7.0, 0)]
+    hist = spark.createDataFrame([("o", p, True, NOW - timedelta(days=d)) for p, d in rows], schemas.PRICE_HISTORY)
+    got = {(r.price, (NOW - r.checked_at).days): (r.history_points, round(r.history_avg_30d, 6), r.history_low_90d, round(r.mean_drop_percent, 6)) for r in deals.history_replay(hist).collect()}
+    assert got == {
+        (10.0, 100): (1, 10.0, 10.0, 0.0), (20.0, 95): (2, 15.0, 10.0, 0.0), (8.0, 60): (3, 8.0, 8.0, 0.0), (9.0, 31): (5, 8.833333, 8.0, 0.0), (9.5, 31): (5, 8.833333, 8.0, 0.0), (7.0, 0): (4, 7.0, 7.0, 0.0),
+    }
+
+
+def test_streamed_life_cycle(spark, tmp_path):
+    """Deals move on with each batch; late and repeated snapshots change nothing, and the stream goes on where it was."""
+    from bazaarlens.streaming import deals as streamed
+
+    batches = [
+        [("a", "s", 100.0, True, 1), ("a", "t", 70.0, True, 1), ("b", "s", 5.0, True, 1), (None, "s", 1.0, True, 1)],
+        [("a", "t", 70.0, True, 1), ("a", "t", 10.0, True, 0), ("b", "t", 4.9, True, 2)],
+        [("a", "t", 95.0, True, 3), ("b", "t", 2.0, False, 3)],
+        [("a", "u", 50.0, True, 4), ("b", "t", 3.0, True, 4), ("a", "t", 1.0, None, 5)],
+        [("b", "s", 5.0, False, 6), ("a", "s", None, True, 9)],
+    ]
+    want = {("a", 1): ("candidate", "candidate", 70.0, 100.0), ("b", 1): ("insufficient", None, 5.0, None), ("a", 2): ("candidate", "candidate", 70.0, 100.0), ("b", 2): ("normal", None, 4.9, 5.0),
+            ("a", 3): ("normal", "expired", 95.0, 100.0), ("b", 3): ("insufficient", None, 5.0, None), ("a", 4): ("candidate", "candidate", 50.0, 100.0), ("b", 4): ("candidate", "candidate", 3.0, 5.0), ("b", 5): ("insufficient", "expired", 3.0, None)}
+    found = None
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(c, m, p, s, NOW + timedelta(hours=h)) for c, m, p, s, h in rows], streamed.SNAPSHOTS)
+        df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        if k != 1:  # two files in one call, a batch each
+            found = streamed.run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    got = {(r.canonical_product_id, r.version): (r.outcome, r.status, r.cheapest_price, r.competitor_price) for r in found.collect()}
+    assert got == want
+    assert {r.canonical_product_id: r.version for r in streamed.final_states(found).collect()} == {"a": 4, "b": 5}
