@@ -158,8 +158,11 @@ def train(docs: DataFrame, most: int = TRAIN, id_col: str = "doc_id", text_col:
     """Machines fitted on at most ``most`` rows that are not held out."""
     ident, text = F.col(id_col), F.col(text_col)
     rows = docs.where(~held_out(ident) & F.col(lang_col).isNotNull() & text.isNotNull()).select(ident.alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(ident, text).alias("mark"))
-    # of each language no more than ``most`` rows are wanted: Spark drops the others before the shuffle
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "id"))).where(F.col("n") <= most)
+    # of each language no more than ``most`` rows are wanted; tasks drop the others before each shuffle, and a frequent
+    # language's rows meet in slices first
+    ranked = rows.withColumn("slice", F.pmod("mark", F.lit(256)))
+    for keys in (["lang", "slice"], ["lang"]):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("mark", "id"))).where(F.col("n") <= (most if keys == ["lang"] else -(-most // 64)))
     sample = ranked.orderBy("n", "lang").limit(most).select("id", "lang", "mark")
     # at most ``most`` rows of two numbers and a label; texts are read only for these
     chosen = docs.select(ident.alias("id"), F.col(lang_col).alias("lang"), text.alias("text")).withColumn("mark", F.xxhash64("id", "text"))
