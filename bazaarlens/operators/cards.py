@@ -28,7 +28,7 @@ URL_IDS = {
     "trendyol": [r"-p-(\d+)(?:$|[/?#])"],
     "hepsiburada": [r"(?i)-p-([A-Z0-9]+)(?:$|[/?#])", r"(?i)/(HBCV[A-Z0-9]+)(?:$|[/?#])", r"(?i)/(HBC[A-Z0-9]+)(?:$|[/?#])", r"(?i)(HB[A-Z0-9]{6,})"],
 }
-_MONEY = r"(?i)(?:\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?|\d+(?:,\d{1,2})?)\s*(?:TL|₺)"
+MONEY = r"(?i)(?:\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?|\d+(?:,\d{1,2})?)\s*(?:TL|₺)"
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -55,14 +55,14 @@ def node_score(node: Column) -> Column:
 def text_price(text: Column) -> Column:
     """The first amount in a line without words of promotions."""
     lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"\r?\n")
-    good = F.filter(lines, lambda x: ~_any(F.lower(x), PROMO) & x.rlike(_MONEY))
+    good = F.filter(lines, lambda x: ~_any(F.lower(x), PROMO) & x.rlike(MONEY))
     return price_currency(F.get(good, 0))
 
 
 def current_price(nodes: Column, card_text: Column) -> Column:
     """The amount of the node that scores highest (of the first 20 by score, and 0 or more), the first of
     equals; else the text's."""
-    shown = F.filter(nodes, lambda n: F.coalesce(n["visible"], F.lit(True)) & n["text"].rlike(_MONEY))
+    shown = F.filter(nodes, lambda n: F.coalesce(n["visible"], F.lit(True)) & n["text"].rlike(MONEY))
     scored = F.transform(shown, lambda n, k: F.struct((-node_score(n)).alias("s"), k.alias("k"), n["text"].alias("t")))
     best = F.filter(F.slice(F.array_sort(scored), 1, 20), lambda n: n["s"] <= 0)
     return F.coalesce(price_currency(F.replace(F.get(F.transform(best, lambda n: n["t"]), 0), F.lit("\u00a0"), F.lit(" "))), text_price(card_text))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import features as X
 from .functions import text as T
-from .operators import canonical, cards, deals, matching, pages
+from .operators import canonical, cards, deals, matching, pages, selectors
 from .page_queries import _ANALYSED, _case, _inputs, _say
 from .plans import catalog
 from .plans.storage import materialize, shared_dir
@@ -77,6 +77,38 @@ def card_fallback(spark, d):
     return found.drop("in_stock", "gtin")
 
 
+def card_pages(spark, d) -> DataFrame:
+    """Search pages of two shops with 25 cards each, as HTML: empty first choices, titles and addresses in images only, prices
+    beside old and hidden ones or in text only, links that lead nowhere."""
+    p = _parts(spark, d).withColumn("money", _lira("p_retailprice"))
+    k = F.col("k")
+    shop = F.when(k % 2 == 0, "trendyol").otherwise("hepsiburada")
+    dead = F.when(k % 5 == 0, F.lit("<a href='javascript:void(0)'>-p-</a>")).otherwise("")
+    brand = F.when(k % 3 == 0, _say("<i class='Item item-brand'>{b}</i>", b=F.col("p_brand"))).otherwise("")
+    image = F.when(k % 4 < 2, _say("<img src='//img.example/{k}.jpg' alt='{n}'>", n=F.col("p_name"))).otherwise(_say("<IMG SRC='' data-src='//img.example/{k}.jpg' ALT='{n}'/>", n=F.col("p_name")))
+    even = _say("<a href='/mark-{m}/item-p-{k}?a=1'>{i}</a>", m=(k % 9).cast("string"), i=image)
+    even_title = F.when(k % 6 == 0, F.lit("<span class='prdct-desc-cntnr-name'> </span>")).when(k % 6 == 2, _say("<span class='prdct-desc-cntnr-name'><!-- x --></span><b class='x product-name'>{n}</b>", n=F.col("p_name"))).otherwise(_say("<span class='a prdct-desc-cntnr-name'>{n}</span>", n=F.col("p_name")))
+    even_price = F.when(k % 8 < 6, _say("<s class='price old'>9.999,00 TL</s><em class='price current' style='display: none'>1 TL</em><div class='prc-box-dscntd'>{p}</div>", p=F.col("money"))).otherwise(_say("<p>50 TL kupon</p>{p}", p=F.col("money")))
+    odd = _say("<a href='/item-p-HBC{k}?a=1'>{i}</a>", i=image)
+    odd_title = F.when(k % 6 == 1, _say("<h3>no</h3><h2 class='title-module_titleRoot-7'><span>{n}</span> more</h2>", n=F.col("p_name"))).when(k % 6 == 3, _say("<h2>no</h2><h3>{n}</h3>", n=F.col("p_name"))).otherwise("<h3> </h3>")
+    odd_price = F.when(k % 4 == 1, _say("<div class='price-module_finalPrice'></div><p data-test-id='price-current-price'>indirim {p}</p>", p=F.col("money"))).otherwise(_say("<p>50 TL kupon<p>{p}", p=F.col("money")))
+    card = F.when(k % 2 == 0, F.concat(F.lit("<div class='w p-card-wrppr'>"), dead, even, even_title, brand, even_price, F.lit("</div><div class='product-card'>no card</div>"))).otherwise(
+        F.concat(F.lit("<li class='productListContent-x'>"), dead, odd, odd_title, brand, odd_price, F.lit("</p></li>"))
+    )
+    of = p.groupBy(shop.alias("merchant"), F.concat(F.lit("q"), F.floor(k / 50).cast("string")).alias("query")).agg(F.sort_array(F.collect_list(F.struct("k", card.alias("html")))).alias("l"))
+    html = F.concat(F.lit("<!DOCTYPE html><HTML><head><title>12 TL</title></head><body><ul>"), F.array_join(F.transform("l", lambda x: x["html"]), "\n"), F.lit("</ul></body>"))
+    return of.select("merchant", "query", F.format_string("https://www.%s.com/sr?q=x", "merchant").alias("page_url"), html.alias("html"))
+
+
+@query("""SELECT * EXCLUDE (k) FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'trendyol' ELSE 'hepsiburada' END AS merchant, 'q' || p_partkey // 50 AS query,
+  CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'HBC' END || p_partkey AS merchant_product_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN 'Mark ' || p_partkey % 9 ELSE split_part(p_name, ' ', 1) END AS brand,
+  p_name AS title, p_retailprice AS price, 'https://img.example/' || p_partkey || '.jpg' AS image_url,
+  CASE WHEN p_partkey % 2 = 0 THEN 'https://www.trendyol.com/mark-' || p_partkey % 9 || '/item-p-' ELSE 'https://www.hepsiburada.com/item-p-HBC' END || p_partkey AS product_url FROM part)
+QUALIFY row_number() OVER (PARTITION BY merchant, query ORDER BY k) <= 20""")
+def page_card_items(spark, d):
+    return cards.card_items(selectors.page_cards(card_pages(spark, d))).drop("in_stock", "gtin")
+
+
 @query(f"""SELECT merchant, query, n > 0 AS ok, n AS count, cheapest FROM (
   SELECT s.merchant, s.query, count(i.product_url) AS n, min(i.price) AS cheapest
   FROM (SELECT DISTINCT unnest(['trendyol', 'hepsiburada', 'n11']) AS merchant, 'q' || p_partkey // 50 AS query FROM part) s LEFT JOIN {_items_sql('true')} i ON i.merchant = s.merchant AND i.query = s.query GROUP BY 1, 2)""")
