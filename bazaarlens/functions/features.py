@@ -9,9 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .words import COLOUR_FAMILIES, STOPWORDS, VOLUME_CONTEXT
+from .words import COLOUR_FAMILY, STOPWORDS, VOLUME_CONTEXT
 
-_FAMILY = {word: family for family, words in COLOUR_FAMILIES.items() for word in words}
+# How amounts of each unit and model codes are written.
+MILLILITRES = r"(?U)(?<![\d.,])(\d{2,4}(?:[.,]\d+)?)\s*ml\b"
+LITRES = r"(?U)(?<![\d.,])(\d+[.,]\d+|[.,]\d+|\d+)\s*l(?:t|itre|iter)?\b"
+OUNCES = r"(?U)(?<![\d.,])(\d+[.,]\d+|\d+)\s*oz\b"
+BARE_DECIMAL = r"(?U)(?<![\d.,])(\d+[.,]\d+|[.,]\d+)(?![\d.,])"
+MODEL_CODE = r"(?U)\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b|\b[A-Z]{1,8}\d{2,}[A-Z0-9]*\b"
 
 
 def _strings(words) -> Column:
@@ -30,8 +35,8 @@ def meaningful(tokens_: Column) -> Column:
 
 def colours(tokens_: Column) -> Column:
     """Colour families of the colour words, in order of the alphabet."""
-    family = F.create_map(*[F.lit(x) for pair in _FAMILY.items() for x in pair])
-    return F.array_sort(F.array_distinct(F.transform(F.array_intersect(tokens_, _strings(_FAMILY)), lambda t: family[t])))
+    family = F.create_map(*[F.lit(x) for pair in COLOUR_FAMILY.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.transform(F.array_intersect(tokens_, _strings(COLOUR_FAMILY)), lambda t: family[t])))
 
 
 @F.pandas_udf(StringType())
@@ -58,11 +63,11 @@ def volume_ml(title: Column, tokens_: Column) -> Column:
     """Millilitres: from ml, else litres up to 20, else ounces, else a bare decimal from 0.10 to 5.0 (litres)
     where the title speaks of a vessel. The first hit of a unit counts; halves go to the even number."""
     raw = _by_ascii(title, F.lower, _casefold)
-    hit = lambda pattern: F.nullif(F.regexp_extract(raw, "(?U)" + pattern, 1), F.lit(""))
-    ml = _decimal(hit(r"(?<![\d.,])(\d{2,4}(?:[.,]\d+)?)\s*ml\b"))
-    litres = _decimal(hit(r"(?<![\d.,])(\d+[.,]\d+|[.,]\d+|\d+)\s*l(?:t|itre|iter)?\b"))
-    ounces = _decimal(hit(r"(?<![\d.,])(\d+[.,]\d+|\d+)\s*oz\b"))
-    bare = F.regexp_extract_all(raw, F.lit(r"(?U)(?<![\d.,])(\d+[.,]\d+|[.,]\d+)(?![\d.,])"), F.lit(1))
+    hit = lambda pattern: F.nullif(F.regexp_extract(raw, pattern, 1), F.lit(""))
+    ml = _decimal(hit(MILLILITRES))
+    litres = _decimal(hit(LITRES))
+    ounces = _decimal(hit(OUNCES))
+    bare = F.regexp_extract_all(raw, F.lit(BARE_DECIMAL), F.lit(1))
     bare = F.filter(F.transform(bare, _decimal), lambda x: (x >= 0.10) & (x <= 5.0))
     vessel = F.arrays_overlap(tokens_, _strings(VOLUME_CONTEXT))
     return F.coalesce(
@@ -74,8 +79,8 @@ def model_codes(title: Column) -> Column:
     """Codes with hyphens, or letters with two digits or more; not phrases of colours, not shorter than four
     signs, and without letters only with two hyphens."""
     raw = _by_ascii(title, F.upper, _upper_plain)
-    found = F.regexp_extract_all(raw, F.lit(r"(?U)\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b|\b[A-Z]{1,8}\d{2,}[A-Z0-9]*\b"), F.lit(0))
-    words = _strings([w.upper() for w in _FAMILY])
+    found = F.regexp_extract_all(raw, F.lit(MODEL_CODE), F.lit(0))
+    words = _strings([w.upper() for w in COLOUR_FAMILY])
 
     def good(code: Column) -> Column:
         parts = F.filter(F.split(code, "-"), lambda p: p != "")

@@ -91,9 +91,14 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
+# How amounts are written, with a currency and without.
+AMOUNT_WITH_CURRENCY = r"(?i)(\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?|\d+(?:,\d{1,2})?)\s*(?:TL|₺)"
+TURKISH_AMOUNT = r"(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{1,2}))?"
+
+
 def price_currency(text: Column) -> Column:
     """The first amount before TL or the lira sign; points group, a comma is decimal: ``1.299,90 TL``."""
-    amount = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)(\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?|\d+(?:,\d{1,2})?)\s*(?:TL|₺)", 1)
+    amount = F.regexp_extract(F.coalesce(text, F.lit("")), AMOUNT_WITH_CURRENCY, 1)
     return _number(F.replace(F.replace(F.nullif(amount, F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
 
 
@@ -106,7 +111,7 @@ def price_plain(text: Column) -> Column:
 
 def price_turkish(text: Column) -> Column:
     """Points group and a comma is decimal, with or without a currency: ``1.299 TL`` is 1299."""
-    amount = F.regexp_extract(F.coalesce(text, F.lit("")), r"(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{1,2}))?", 0)
+    amount = F.regexp_extract(F.coalesce(text, F.lit("")), TURKISH_AMOUNT, 0)
     return _number(F.replace(F.replace(F.nullif(amount, F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
 
 

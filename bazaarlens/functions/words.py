@@ -7,26 +7,26 @@ STOPWORDS = [
 
 VOLUME_CONTEXT = ["termos", "matara", "bardak", "mug", "kupa", "bottle", "suluk", "tumbler", "iceflow", "aerolight", "fliptop", "quencher"]
 
-#: Colour words by family.
-COLOUR_FAMILIES = {
-    "black": ["siyah", "black"],
-    "white": ["beyaz", "white"],
-    "cream": ["krem", "cream", "bej", "beige"],
-    "pink": ["pembe", "pink", "rose", "quartz"],
-    "blue": ["mavi", "blue", "azure"],
-    "navy": ["lacivert", "navy"],
-    "green": ["yesil", "green", "mint"],
-    "khaki": ["haki", "khaki"],
-    "gray": ["gri", "gray", "grey"],
-    "purple": ["mor", "purple", "leylak", "lilac"],
-    "burgundy": ["bordo"],
-    "red": ["kirmizi", "red"],
-    "orange": ["turuncu", "orange"],
-    "coral": ["mercan", "coral", "somon"],
-    "yellow": ["sari", "yellow"],
-    "brown": ["kahverengi", "brown"],
-    "gold": ["gold", "altin"],
-    "silver": ["gumus", "silver"],
+#: The family of each colour word.
+COLOUR_FAMILY = {
+    "siyah": "black", "black": "black",
+    "beyaz": "white", "white": "white",
+    "krem": "cream", "cream": "cream", "bej": "cream", "beige": "cream",
+    "pembe": "pink", "pink": "pink", "rose": "pink", "quartz": "pink",
+    "mavi": "blue", "blue": "blue", "azure": "blue",
+    "lacivert": "navy", "navy": "navy",
+    "yesil": "green", "green": "green", "mint": "green",
+    "haki": "khaki", "khaki": "khaki",
+    "gri": "gray", "gray": "gray", "grey": "gray",
+    "mor": "purple", "purple": "purple", "leylak": "purple", "lilac": "purple",
+    "bordo": "burgundy",
+    "kirmizi": "red", "red": "red",
+    "turuncu": "orange", "orange": "orange",
+    "mercan": "coral", "coral": "coral", "somon": "coral",
+    "sari": "yellow", "yellow": "yellow",
+    "kahverengi": "brown", "brown": "brown",
+    "gold": "gold", "altin": "gold",
+    "gumus": "silver", "silver": "silver",
 }
 
 #: Endings that shops add to a title.

@@ -185,6 +185,7 @@ def marketplace_of(url: Column, known: dict[str, str] = MARKETPLACES) -> Column:
 def comparison_offers(pages: DataFrame, keys: list[str], own_domain: str) -> DataFrame:
     """``(keys, place, price, seller, marketplace, url)``: offers that a comparison page holds as JSON-LD text,
     cheapest first. Only prices above 0 and addresses of other sites; each address once, whatever its query."""
+    # fixed value: how the page writes an offer
     pattern = r'"@type":"Offer","availability":"[^"]*","price":"([0-9.]+)","url":"([^"]+)","seller":\{"@type":"Organization","name":"([^"]+)"'
     rows = pages.withColumn("_t", unescape_html("html")).select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).alias("pos", "o"))
     part = lambda k: F.regexp_extract("o", pattern, k)
@@ -197,6 +198,7 @@ def comparison_offers(pages: DataFrame, keys: list[str], own_domain: str) -> Dat
 def comparison_products(pages: DataFrame, keys: list[str], base: str) -> DataFrame:
     """``(keys, pos, name, price, brand, vendor, image, url, code)``: products in a comparison page's embedded
     state, each address (or name, without one) once. Name and price are required."""
+    # fixed values: how the page's state writes a product and its parts
     block = r'\[0,\{"code":\[0,\d+\].*?\}\]'
     rows = pages.withColumn("_t", unescape_html("html")).select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(block), F.lit(0))).alias("pos", "b"))
     text = lambda key, shape=r'"([^"]+)"': F.nullif(F.regexp_extract("b", rf'"{key}":\[0,{shape}\]', 1), F.lit(""))

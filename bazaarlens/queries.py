@@ -86,10 +86,10 @@ def deal_candidates(spark, d):
     return out.where("outcome = 'candidate'").select("canonical_product_id", "outcome", "cheapest_offer_id", "cheapest_price", "competitor_price", "gap_percent")
 
 
-@query(f"SELECT count(*) FILTER (WHERE outcome = 'candidate') AS candidates, 0 AS verified, count(*) FILTER (WHERE outcome = 'normal') AS below_threshold, count(*) FILTER (WHERE outcome = 'insufficient') AS insufficient FROM {_OUTCOMES}")
+@query(f"SELECT count(*) FILTER (WHERE outcome = 'candidate') AS candidates, count(*) FILTER (WHERE outcome = 'normal') AS below_threshold, count(*) FILTER (WHERE outcome = 'insufficient') AS insufficient FROM {_OUTCOMES}")
 def deal_counters(spark, d):
     _, outcomes, analysed = deals.run_deals(*_deal_inputs(spark, d))
-    return deals.counters(outcomes, analysed)
+    return deals.counters(outcomes, analysed).drop("verified")  # verified_counters has it, over a history that verifies some
 
 
 def _deal_inputs(spark, d):
@@ -185,7 +185,8 @@ def title_tokens(spark, d):
     return _titles(spark, d).select("id", "norm", F.array_join("tokens", "|").alias("tokens"))
 
 
-_STOP = "['" + "','".join(X.STOPWORDS) + "']"
+# written out, so that a wrong list in the code shows
+_STOP = """['termos', 'matara', 'bardak', 'mug', 'kupa', 'pipetli', 'paslanmaz', 'celik', 'fiyatlari', 'ozellikleri', 'the', 've', 'ile', 'lt', 'litre', 'liter', 'ml', 'oz', 'suluk', 'bottle', 'tumbler', 'classic', 'klasik', 'renk', 'renkli']"""
 
 
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, array_to_string(list_sort(list_distinct(list_filter({_TOKENS}, lambda x: NOT list_contains({_STOP}, x) AND NOT regexp_full_match(x, '[0-9]{{1,2}}')))), '|') AS words FROM part")
@@ -193,7 +194,11 @@ def meaningful_tokens(spark, d):
     return _titles(spark, d).select("id", F.array_join(F.array_sort(F.array_distinct(X.meaningful(F.col("tokens")))), "|").alias("words"))
 
 
-_FAMILIES = " ".join(f"WHEN '{w}' THEN '{f}'" for w, f in X._FAMILY.items())
+_FAMILIES = """WHEN 'siyah' THEN 'black' WHEN 'black' THEN 'black' WHEN 'beyaz' THEN 'white' WHEN 'white' THEN 'white' WHEN 'krem' THEN 'cream' WHEN 'cream' THEN 'cream' WHEN 'bej' THEN 'cream' WHEN 'beige' THEN 'cream' WHEN 'pembe' THEN 'pink' WHEN 'pink' THEN 'pink' WHEN 'rose' THEN 'pink' WHEN 'quartz' THEN 'pink'
+  WHEN 'mavi' THEN 'blue' WHEN 'blue' THEN 'blue' WHEN 'azure' THEN 'blue' WHEN 'lacivert' THEN 'navy' WHEN 'navy' THEN 'navy' WHEN 'yesil' THEN 'green' WHEN 'green' THEN 'green' WHEN 'mint' THEN 'green' WHEN 'haki' THEN 'khaki' WHEN 'khaki' THEN 'khaki'
+  WHEN 'gri' THEN 'gray' WHEN 'gray' THEN 'gray' WHEN 'grey' THEN 'gray' WHEN 'mor' THEN 'purple' WHEN 'purple' THEN 'purple' WHEN 'leylak' THEN 'purple' WHEN 'lilac' THEN 'purple' WHEN 'bordo' THEN 'burgundy' WHEN 'kirmizi' THEN 'red' WHEN 'red' THEN 'red'
+  WHEN 'turuncu' THEN 'orange' WHEN 'orange' THEN 'orange' WHEN 'mercan' THEN 'coral' WHEN 'coral' THEN 'coral' WHEN 'somon' THEN 'coral' WHEN 'sari' THEN 'yellow' WHEN 'yellow' THEN 'yellow' WHEN 'kahverengi' THEN 'brown' WHEN 'brown' THEN 'brown'
+  WHEN 'gold' THEN 'gold' WHEN 'altin' THEN 'gold' WHEN 'gumus' THEN 'silver' WHEN 'silver' THEN 'silver'"""
 
 
 @query(f"""SELECT CAST(p_partkey AS VARCHAR) AS id, coalesce((SELECT string_agg(DISTINCT f, '|' ORDER BY f) FROM (SELECT CASE t {_FAMILIES} END AS f FROM unnest({_TOKENS}) u(t)) WHERE f IS NOT NULL), '') AS colours FROM part""")
