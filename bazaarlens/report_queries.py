@@ -284,6 +284,22 @@ def group_report(spark, d):
     return report.select("group_id", "best_score", "size", "spread", F.col("place").cast("long").alias("place"), "cheapest", "merchant", "price")
 
 
+@query("""WITH o AS (SELECT p_partkey AS k, p_partkey // 5 AS g, p_size AS s FROM part),
+e AS (SELECT a.g, 85 + (a.s * 3 + b.s) % 15 AS score, CASE (a.s + b.s) % 3 WHEN 0 THEN 'gtin' WHEN 1 THEN 'heuristic' ELSE 'model' END AS reason FROM o a JOIN o b ON a.g = b.g AND a.k < b.k WHERE a.s * b.s % 3 <> 0),
+n AS (SELECT g, count(*) AS size FROM o GROUP BY 1)
+SELECT '' || g AS group_id, any_value(size) AS size, CAST(max(score) AS DOUBLE) AS best_score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM e JOIN n USING (g) GROUP BY g""")
+def group_facts(spark, d):
+    """Best scores and joined reasons of groups of parts, by edges between sizes that depend on which one is first; a
+    group without an edge has no facts."""
+    p = _parts(spark, d).withColumn("group_id", F.floor(F.col("k") / 5).cast("string")).withColumn("offer_id", F.lpad(F.col("k").cast("string"), 12, "0"))
+    groups = p.select("group_id", "offer_id", F.min("offer_id").over(Window.partitionBy("group_id")).alias("slot"))
+    # a part's size is one of 50
+    sizes = p.select(F.col("p_size").alias("ka")).distinct().withColumn("kb", F.explode(F.sequence(F.lit(1), F.lit(50)))).where("ka * kb % 3 <> 0")
+    reason = F.element_at(F.array(F.lit("gtin"), F.lit("heuristic"), F.lit("model")), ((F.col("ka") + F.col("kb")) % 3 + 1).cast("int"))
+    scored = sizes.select("ka", "kb", (85.0 + (F.col("ka") * 3 + F.col("kb")) % 15).alias("score"), reason.alias("reason"))
+    return matching.group_facts(groups, p.select("offer_id", F.col("p_size").alias("kind")), scored).select("group_id", "size", "best_score", "reasons")
+
+
 _GROUPS = "(SELECT p_partkey AS k, p_partkey // 2 AS g, CASE WHEN p_partkey % 4 = 3 THEN p_partkey - 2 ELSE p_partkey END AS product FROM part)"
 
 
