@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.text import truthy
 from ..plans.storage import materialize
+from ..sources.buckets import of_keys
 
 
 def offer_groups(canonical: DataFrame, matches: DataFrame, variants: DataFrame, offers: DataFrame) -> DataFrame:
@@ -183,10 +184,11 @@ def run_deals(canonical: DataFrame, matches: DataFrame, variants: DataFrame, off
 
 def deal_feed(deals: DataFrame, canonical: DataFrame, offers: DataFrame, merchants: DataFrame, limit: int = DEFAULT.feed_limit) -> DataFrame:
     """The candidates with the largest gaps, with names and links; missing or empty values have defaults. Rows of one
-    offer id are one offer. Runs a job: the ``limit`` deals are stored, and only their offers are looked up."""
+    offer id are one offer. Runs jobs: the ``limit`` deals are stored, and their offers are looked up by id, which reads
+    few buckets of ``offers`` where these are in buckets by id."""
     top = materialize(deals.where("status = 'candidate'").orderBy(F.desc_nulls_first("gap_percent"), "canonical_product_id").limit(limit), "feed")
-    of_top = F.broadcast(top.select(F.col("cheapest_offer_id").alias("id")).distinct())  # ``limit`` rows at most
-    offers = offers.select("id", "product_url").join(of_top, "id", "left_semi").groupBy("id").agg(F.min("product_url").alias("product_url"))
+    shown = [r.id for r in top.select(F.col("cheapest_offer_id").alias("id")).distinct().collect()]  # ``limit`` ids at most
+    offers = of_keys(offers.select("id", "product_url"), "id", shown).groupBy("id").agg(F.min("product_url").alias("product_url"))
     shop = merchants.select(F.col("id").alias("mid"), truthy(F.col("name"), F.col("slug"), F.lit("Mağaza")).alias("shop"))
     rows = (
         top.join(canonical.select(F.col("id").alias("canonical_product_id"), "title", "brand"), "canonical_product_id", "left")

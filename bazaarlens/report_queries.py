@@ -14,8 +14,9 @@ from .operators import canonical, cards, deals, matching, pages, selectors
 from .page_queries import _ANALYSED, _case, _inputs, _say
 from .plans import catalog
 from .plans.storage import materialize, shared_dir
-from .queries import _CURRENT, _FAMILIES, _OFFERS, _OUTCOMES, _TOKENS, _all_offers, _current, _history_sql, query
+from .queries import _CURRENT, _FAMILIES, _OFFERS, _OUTCOMES, _TOKENS, SQL, _all_offers, _current, _history_sql, query
 from .sources import adapters as A
+from .sources import buckets
 from .sources import envelopes as E
 from .streaming import deals as stream_deals
 
@@ -392,3 +393,25 @@ def streamed_deals(spark, d):
     path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     rows.unionByName(again).repartition(4, F.hash("event_id", "price")).drop("event_id").write.parquet(path)
     return stream_deals.final_states(stream_deals.run(spark, path)).drop("status", "version")
+
+
+# ---- tables in buckets ----------------------------------------------------------------------------
+
+
+@query(f"SELECT offer_id, current_price, history_points, history_avg_30d, history_low_90d, history_status FROM {_history_sql(_CURRENT)}")
+def bucketed_history(spark, d):
+    """Snapshots in buckets by offer: the last price of each offer and its history, without a shuffle."""
+    history = buckets.bucketed(A.price_history(spark, d), "offer_id", "history")
+    current = history.groupBy("offer_id").agg(F.max_by("price", F.struct("checked_at", "price")).alias("current_price"))
+    return deals.history_analysis(current, history).select("offer_id", "current_price", "history_points", "history_avg_30d", "history_low_90d", "history_status")
+
+
+@query(SQL["deal_feed"])
+def bucketed_feed(spark, d):
+    """The feed from offers in buckets: by variant for the join that finds deals, by id for the links of those shown."""
+    offers = A.offers(spark, d)
+    by_variant, links = buckets.bucketed(offers, "product_variant_id", "offers"), buckets.bucketed(offers.select("id", "product_url"), "id", "links")
+    canonical_products = A.canonical_products(spark, d)
+    new = deals.run_deals(canonical_products, A.product_matches(spark, d), A.variants(spark, d), by_variant, A.price_history(spark, d), A.deal_candidates(spark, d))[0]
+    feed = deals.deal_feed(new, canonical_products, links, A.merchants(spark, d))
+    return feed.select("id", (F.col("title") != "Ürün").alias("titled"), "brand", "price", "competitor_price", "gap_percent", "merchant", "competitor_merchant", "product_url")
