@@ -28,20 +28,19 @@ def is_even(rows: DataFrame, key: str, buckets: int, most: float = MOST, always:
 
 def bucketed(rows: DataFrame, key: str, label: str, buckets: int | None = None, most: float = MOST, always: int = ALWAYS) -> DataFrame:
     """``rows``, stored in ``buckets`` files by a hash of ``key``, sorted by it; the session's number of shuffle partitions
-    where none is given, and no fewer, since Spark shuffles a side with less. Runs jobs: ``rows`` are stored once, counted,
-    and stored in buckets.
+    where none is given, and no fewer, since Spark shuffles a side with less. Runs jobs: ``rows`` are counted, which reads
+    their key alone, and stored; rows that are dear to compute, or differ from run to run, are to be stored before.
 
     Files are in the shared folder. The table is known by its name in the session's catalog; with a catalog of one
     session the next one stores it anew.
     """
     spark = rows.sparkSession
     n = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = materialize(rows, f"{label}-rows")
-    if not is_even(stored, key, n, most, always):
-        return stored
+    if not is_even(rows, key, n, most, always):
+        return materialize(rows, label)
     name = f"{label}_{uuid.uuid4().hex}"
     # the hash is that of buckets, so a task writes one file, a whole bucket
-    stored.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
