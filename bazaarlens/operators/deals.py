@@ -116,13 +116,30 @@ def history_replay(history: DataFrame, settings: Settings = DEFAULT) -> DataFram
     return rows.withColumn("mean_drop_percent", price_drop_percent(F.col("price"), F.col("history_avg_30d")))
 
 
+def two_decimals(x: Column) -> Column:
+    """A number of 0 or more with two decimals, by its exact binary value, halves to the even digit, as C and Python print
+    it; ``format_string`` rounds the shortest decimal text of the number, so that 1.005, which is less than that, becomes 1.01.
+
+    The fraction is cut in two parts whose hundredfolds are exact. From 2**43 on a double has fewer bits than a cent needs.
+    """
+    whole = F.floor(x)
+    fraction = x - whole
+    upper = F.floor(fraction * 2.0**26) / 2.0**26
+    cents = F.floor(upper * 100)
+    missing = 0.5 - (upper * 100 - cents)  # from the upper part to the middle between two cents
+    rest = (fraction - upper) * 100
+    cents = whole * 100 + cents + F.when((rest > missing) | ((rest == missing) & (cents % 2 == 1)), 1).otherwise(0)
+    exact = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when((x >= 0) & (x < 2.0**43), exact).otherwise(F.format_string("%.2f", x))
+
+
 def history_label(status: Column, drop: Column, points: Column) -> Column:
     """What a report says of a status."""
     return (
-        F.when(status == "price_drop", F.format_string("DOĞRULANDI (%%%.2f geçmiş fiyat düşüşü)", drop))
+        F.when(status == "price_drop", F.concat(F.lit("DOĞRULANDI (%"), two_decimals(drop), F.lit(" geçmiş fiyat düşüşü)")))
         .when(status == "insufficient_history", F.format_string("YETERSİZ VERİ (%d geçmiş kayıt)", points))
         .when(status == "no_observed_drop", F.lit("FİYAT DÜŞÜŞÜ HENÜZ GÖRÜLMEDİ"))
-        .otherwise(F.format_string("ANLAMLI DÜŞÜŞ YOK (%%%.2f)", drop))
+        .otherwise(F.concat(F.lit("ANLAMLI DÜŞÜŞ YOK (%"), two_decimals(drop), F.lit(")")))
     )
 
 

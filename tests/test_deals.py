@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -92,6 +93,22 @@ def test_labels(spark):
     assert got == ["DOĞRULANDI (%5.00 geçmiş fiyat düşüşü)", "YETERSİZ VERİ (1 geçmiş kayıt)", "FİYAT DÜŞÜŞÜ HENÜZ GÖRÜLMEDİ", "ANLAMLI DÜŞÜŞ YOK (%1.50)"]
 
 
+def test_labels_round_by_the_exact_value(spark):
+    rnd = random.Random(5)
+    made = [0.0, 0.005, 0.015, 0.125, 0.375, 1.005, 1.015, 2.675, 12.125, 12.375, 99.995, 99.999, 100.0, 0.0049999999, 1e-300, 8.345, 4398046511103.125]
+    made += [rnd.randrange(10**6) / 1000 for _ in range(3000)] + [rnd.randrange(10**5) / 8 for _ in range(1000)] + [rnd.random() * 10 ** rnd.randint(-6, 9) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in made], "x double")
+    rows = df.select("x", deals.two_decimals(F.col("x")).alias("got"), F.format_string("%.2f", "x").alias("before")).collect()
+    assert [r.got for r in rows] == ["%.2f" % r.x for r in rows] and any(r.before != r.got for r in rows)
+    assert df.where("x = 2.675").select(deals.history_label(F.lit("price_drop"), F.col("x"), F.lit(2))).first()[0] == "DOĞRULANDI (%2.67 geçmiş fiyat düşüşü)"
+
+
+def test_counters_say_what_is_verified(spark, sf):
+    from bazaarlens import queries as Q
+
+    assert Q.QUERIES["deal_counters"](spark, sf).columns == ["candidates", "verified", "below_threshold", "insufficient"] and "verified" in Q.SQL["deal_counters"]
+
+
 def test_upsert_and_patch(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, w string")
     new = spark.createDataFrame([("b", None), ("c", 3)], "k string, v int")
