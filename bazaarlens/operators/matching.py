@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType
 from ..config import DEFAULT, Settings
 from ..functions import features as X
 from ..functions.text import brand_key, normalize_matching, truthy
-from ..plans.linkage import complete_linkage
+from ..plans.components import connected_components
+from ..plans.linkage import BLOCK, complete_linkage, linked_by_kinds
 from ..plans.storage import materialize
 
 #: Parts of a heuristic score: base, title similarity (text ratio and shared words), model codes, and what
@@ -36,20 +37,29 @@ def offer_rows(merchants: DataFrame, products: DataFrame, variants: DataFrame, o
 LISTING = ("title", "brand", "gtin")
 
 
-def with_features(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Features of each row, before any pair is made; they are computed once for rows of equal title, brand and GTIN."""
+def listings(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Features of each distinct title, brand and GTIN."""
     named = rows.select(*LISTING).distinct().withColumn("norm", normalize_matching(F.col("title"))).withColumn("tokens", X.tokens(F.col("norm")))
-    named = named.withColumns(
+    return named.withColumns(
         {
             "brand_key": brand_key(F.col("brand")), "words": F.array_sort(F.array_distinct(X.meaningful(F.col("tokens")))), "volume": X.volume_ml(F.col("title"), F.col("tokens")), "colours": X.colours(F.col("tokens")),
             "models": X.model_codes(F.col("title")), "valid_gtin": X.valid_gtin(F.col("gtin"), settings.reject_zero_gtin),
         }
     )
+
+
+def _of_listing(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with what is known of their listing."""
     same = [F.col(f"row.{c}").eqNullSafe(F.col(f"listing.{c}")) for c in LISTING]
     made = [F.col(f"listing.{c}") for c in named.columns if c not in LISTING]
     return rows.alias("row").join(named.alias("listing"), same).select("row.*", *made)
 
 
+def with_features(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Features of each row, before any pair is made; they are computed once for rows of equal title, brand and GTIN."""
+    return _of_listing(rows, listings(rows, settings))
+
+
 @F.pandas_udf(DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """How much of two texts is in matching blocks; the first text is the one of the smaller offer id."""
@@ -99,12 +109,21 @@ def candidate_pairs(featured: DataFrame, settings: Settings = DEFAULT) -> DataFr
         keys.append(rare.select(*ids, F.concat_ws(":", F.lit("w"), "brand_key", "w").alias("key")))
     else:
         keys.append(branded.select(*ids, F.concat(F.lit("b:"), "brand_key").alias("key")))
-    listed = keys[0]
-    for k in keys[1:]:
-        listed = listed.unionByName(k)
-    left = listed.select("key", F.col("offer_id").alias("a"), F.col("merchant_id").alias("am"))
-    right = listed.select("key", F.col("offer_id").alias("b"), F.col("merchant_id").alias("bm"))
-    return left.join(right, "key").where("a < b and am <> bm").select("a", "b").distinct()
+    # two valid GTINs match by their own key or not at all, so other keys pair one of them with rows without; and two
+    # volumes agree
+    facts = featured.select("offer_id", "volume", F.col("valid_gtin").isNotNull().alias("coded"))
+    rest = keys[1]
+    for k in keys[2:]:
+        rest = rest.unionByName(k)
+    rest = rest.join(facts, "offer_id")
+    side = lambda rows, x: rows.select("key", F.col("offer_id").alias(x), F.col("merchant_id").alias(f"{x}m"), *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c in ("volume",)])
+    agree = F.coalesce(F.abs(F.col("a_volume") - F.col("b_volume")) <= settings.volume_tolerance_ml, F.lit(True))
+    bare, coded = rest.where(~F.col("coded")), rest.where("coded")
+    apart = F.col("am") != F.col("bm")
+    found = side(keys[0], "a").join(side(keys[0], "b"), "key").where((F.col("a") < F.col("b")) & apart).select("a", "b")
+    found = found.unionAll(side(bare, "a").join(side(bare, "b"), "key").where((F.col("a") < F.col("b")) & apart & agree).select("a", "b"))
+    found = found.unionAll(side(bare, "a").join(side(coded, "b"), "key").where(apart & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found.distinct()
 
 
 def conflict(a: str, b: str, settings: Settings = DEFAULT) -> Column:
@@ -142,18 +161,24 @@ def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEF
 MATCHED = ("norm", "brand_key", "words", "volume", "colours", "models", "valid_gtin")
 
 
-def kind_edges(featured: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def kind_edges(rows: DataFrame, settings: Settings = DEFAULT, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Offers by kind, ``(offer_id, merchant_id, kind, own)``, and edges of kinds, ``(ka, kb, score, reason)``.
 
-    Offers that are equal in MATCHED are one kind; ``own`` is the GTIN that makes kinds one class, or the kind. Kinds are
-    paired and scored in both orders, since the text ratio has a first text, and each with itself: two offers of
-    different merchants, the one of kind ka with the smaller id, are an edge where their kinds are. So the table grows
-    with kinds, not with pairs of offers; ``offer_edges`` has these.
+    Offers that are equal in MATCHED are one kind, which has a number; ``own`` is the GTIN that makes kinds one class, or the
+    kind. Kinds are paired and scored in both orders, since the text ratio has a first text, and each with itself: two
+    offers of different merchants, the one of kind ka with the smaller id, are an edge where their kinds are. So the table
+    grows with kinds, not with pairs of offers; ``offer_edges`` has these. ``named``: the stored ``listings`` of the rows.
     """
-    kind = F.sha2(F.to_json(F.struct(*MATCHED)), 256)
-    own = F.coalesce(F.concat(F.lit("gtin:"), "valid_gtin"), kind)
-    of = materialize(featured.select("offer_id", "merchant_id", kind.alias("kind"), own.alias("own")), "kinds-of-offers")
-    kinds = materialize(featured.select(kind.alias("offer_id"), *MATCHED).dropDuplicates(["offer_id"]), "kinds")
+    if named is None:
+        named = materialize(listings(rows, settings), "listings")
+    look = F.sha2(F.to_json(F.struct(*MATCHED)), 256)
+    kinds = named.select(look.alias("look"), *MATCHED).dropDuplicates(["look"])
+    kinds = materialize(kinds.withColumn("offer_id", F.monotonically_increasing_id()), "kinds")
+    numbered = named.withColumn("look", look).join(kinds.select("look", F.col("offer_id").alias("kind")), "look")
+    own = F.coalesce(F.concat(F.lit("gtin:"), "valid_gtin"), F.col("kind").cast("string"))
+    of = _of_listing(rows.select("offer_id", "merchant_id", *LISTING), numbered.select(*LISTING, "kind", own.alias("own")))
+    of = materialize(of.select("offer_id", "merchant_id", "kind", "own"), "kinds-of-offers")
+    kinds = kinds.drop("look")
     pairs = materialize(candidate_pairs(kinds.withColumn("merchant_id", F.col("offer_id")), settings), "kind-pairs")
     same = kinds.select(F.col("offer_id").alias("a"), F.col("offer_id").alias("b"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
@@ -162,16 +187,38 @@ def kind_edges(featured: DataFrame, settings: Settings = DEFAULT) -> tuple[DataF
     return of, materialize(scored.withColumnsRenamed({"a": "ka", "b": "kb"}), "kind-edges")
 
 
-def offer_edges(of: DataFrame, scored: DataFrame) -> DataFrame:
-    """``(a, b, score, reason)``: the pairs of offers behind edges of kinds, as many as there are."""
-    left = of.select(F.col("kind").alias("ka"), F.col("offer_id").alias("a"), F.col("merchant_id").alias("am"))
-    right = of.select(F.col("kind").alias("kb"), F.col("offer_id").alias("b"), F.col("merchant_id").alias("bm"))
-    return scored.join(left, "ka").join(right, "kb").where("a < b and am <> bm").select("a", "b", "score", "reason")
+def offer_edges(of: DataFrame, scored: DataFrame, part: Column | None = None) -> DataFrame:
+    """``(a, b, score, reason)``: the pairs of offers behind edges of kinds, as many as there are.
+
+    ``part``: a column of ``of``; pairs are made inside its values only, of which each is joined by its kinds first."""
+    of = of.withColumn("part", F.lit(0) if part is None else part)
+    left = of.select("part", F.col("kind").alias("ka"), F.col("offer_id").alias("a"), F.col("merchant_id").alias("am"))
+    right = of.select("part", F.col("kind").alias("kb"), F.col("offer_id").alias("b"), F.col("merchant_id").alias("bm"))
+    if part is None:
+        met = scored.join(left.drop("part"), "ka").join(right.drop("part"), "kb")
+    else:
+        kinds = of.select("part", "kind").distinct()
+        inside = kinds.select("part", F.col("kind").alias("ka")).join(kinds.select("part", F.col("kind").alias("kb")), "part").join(scored, ["ka", "kb"])
+        met = inside.join(left, ["part", "ka"]).join(right, ["part", "kb"])
+    return met.where("a < b and am <> bm").select("a", "b", "score", "reason")
 
 
-def match_edges(featured: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def match_edges(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``(a, b, score, reason)``: the pairs of offers that reach the score."""
-    return offer_edges(*kind_edges(featured, settings))
+    return offer_edges(*kind_edges(rows, settings))
+
+
+def match_classes(of: DataFrame, scored: DataFrame) -> DataFrame:
+    """``(row, a, b, merchant_id, score, reason)``: all edges of offers, by kinds, each named after its first offer.
+
+    A ``member`` row says that offer b, of a merchant, is of kind a. An ``edge`` row says that offers of kinds a and b, of
+    different merchants and the one of kind a with the smaller id, are an edge of this score; so both orders have a row
+    of their own, and a kind is an edge of itself where its offers are. ``offer_edges`` of that is ``match_edges``."""
+    first = of.groupBy("kind").agg(F.min("offer_id").alias("first"))
+    none = F.lit(None).cast("string")
+    members = of.join(first, "kind").select(F.lit("member").alias("row"), F.col("first").alias("a"), F.col("offer_id").alias("b"), "merchant_id", F.lit(None).cast("double").alias("score"), none.alias("reason"))
+    edges = scored.join(first.select(F.col("kind").alias("ka"), F.col("first").alias("a")), "ka").join(first.select(F.col("kind").alias("kb"), F.col("first").alias("b")), "kb")
+    return members.unionByName(edges.select(F.lit("edge").alias("row"), "a", "b", none.alias("merchant_id"), "score", "reason"))
 
 
 def _groups(labels: DataFrame) -> DataFrame:
@@ -189,7 +236,36 @@ def cluster(edges: DataFrame) -> DataFrame:
     return _groups(complete_linkage(edges.select(F.col("a").alias("g"), F.col("b").alias("h"), "score", "a", "b")).withColumnsRenamed({"node": "offer_id"}))
 
 
-def cluster_kinds(of: DataFrame, scored: DataFrame) -> DataFrame:
+def cluster_kinds(of: DataFrame, scored: DataFrame, block: int = BLOCK, work: int = 20_000_000) -> DataFrame:
+    """``cluster`` of all edges of offers, without making them.
+
+    Kinds with edges make components. A task takes one that has ``block`` offers and edges of kinds at most, as it is
+    (``linked_by_kinds``); larger ones, and those where one merchant has so many offers that this would take more than
+    ``work`` steps, go on as edges of offers, by ``_cluster_in_rounds``.
+    """
+    linked = connected_components(scored.where("ka <> kb").select("ka", "kb"), "ka", "kb").select(F.col("node").alias("kind"), "component")
+    linked = materialize(of.select("kind").distinct().join(linked, "kind", "left").select("kind", F.coalesce("component", "kind").alias("component")), "kind-components")
+    placed = materialize(of.where("merchant_id is not null").join(linked, "kind"), "placed-offers")
+    edges = scored.join(linked.withColumnRenamed("kind", "ka"), "ka")
+    per = placed.groupBy("component", "merchant_id").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    per = per.join(edges.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
+    per = materialize(per.select("component", ((F.greatest("n", "m") <= block) & (F.col("n") * F.col("most") <= work)).alias("small")), "component-sizes")
+    small = per.where("small").select("component")
+
+    def link(offers: pd.DataFrame, between: pd.DataFrame) -> pd.DataFrame:
+        rows = linked_by_kinds(zip(offers["offer_id"], offers["merchant_id"], offers["kind"]), zip(between["ka"], between["kb"], between["score"]))
+        return pd.DataFrame(rows, columns=["offer_id", "label"], dtype=object)
+
+    by = lambda rows, *c: rows.join(small, "component").select("component", *c).groupBy("component")
+    labels = by(placed, "offer_id", "merchant_id", "kind").cogroup(by(edges, "ka", "kb", "score")).applyInPandas(link, "offer_id string, label string")
+    found = _groups(materialize(labels, "labels"))
+    large = per.where("not small").select("component")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_cluster_in_rounds(placed.join(large, "component", "left_semi").drop("component"), edges.join(large, "component", "left_semi").drop("component")))
+
+
+def _cluster_in_rounds(of: DataFrame, scored: DataFrame) -> DataFrame:
     """``cluster`` of all edges of offers, without making those inside a class.
 
     A class is what has one valid GTIN or, without one, one kind; its offers are edges of each other, by one score. Where no
@@ -223,21 +299,21 @@ def cluster_kinds(of: DataFrame, scored: DataFrame) -> DataFrame:
 
 def group_facts(groups: DataFrame, of: DataFrame, scored: DataFrame) -> DataFrame:
     """For each group its size, best score and reasons, from the edges inside it. A group has one offer a merchant."""
-    own = groups.join(of.select("offer_id", "kind"), "offer_id")
-    a = own.select("group_id", F.col("offer_id").alias("a"), F.col("kind").alias("ka"))
-    b = own.select("group_id", F.col("offer_id").alias("b"), F.col("kind").alias("kb"))
-    inside = a.join(b, "group_id").where("a < b").groupBy("group_id", "ka", "kb").count().join(scored, ["ka", "kb"])
+    own = groups.join(of.select("offer_id", "kind"), "offer_id").groupBy("group_id", "kind").agg(F.min("offer_id").alias("low"), F.max("offer_id").alias("high"))
+    a, b = own.select("group_id", F.col("kind").alias("ka"), "low"), own.select("group_id", F.col("kind").alias("kb"), "high")
+    # an offer of kind ka is before one of kind kb
+    inside = a.join(b, "group_id").where("low < high").join(scored, ["ka", "kb"])
     facts = inside.groupBy("group_id").agg(F.max("score").alias("best_score"), F.concat_ws(",", F.array_sort(F.collect_set("reason"))).alias("reasons"))
     return groups.groupBy("group_id", "slot").agg(F.count(F.lit(1)).alias("size")).join(facts, "group_id")
 
 
 def resolve(rows: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
-    """Features, kinds, groups and their facts of offer rows; each is written once and read by what follows. ``edges``
-    are those of offers, made when they are read."""
-    featured = materialize(with_features(rows, settings), "featured")
-    of, scored = kind_edges(featured, settings)
+    """Features, kinds, groups and their facts of offer rows. What is stored is by listing, kind or group, and the kind
+    of each offer; ``featured``, and ``edges``, those of offers, are made when they are read."""
+    named = materialize(listings(rows, settings), "listings")
+    of, scored = kind_edges(rows, settings, named)
     groups = materialize(cluster_kinds(of, scored), "groups")
-    return {"featured": featured, "kinds": of, "kind_edges": scored, "edges": offer_edges(of, scored), "groups": groups, "facts": materialize(group_facts(groups, of, scored), "facts")}
+    return {"featured": _of_listing(rows, named), "kinds": of, "kind_edges": scored, "edges": offer_edges(of, scored), "groups": groups, "facts": materialize(group_facts(groups, of, scored), "facts")}
 
 
 def group_report(groups: DataFrame, facts: DataFrame, rows: DataFrame, limit: int = DEFAULT.report_groups) -> DataFrame:

@@ -8,6 +8,7 @@ that is larger than a block takes a few.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -115,6 +116,78 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return materialize(moved.select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
+def linked_by_kinds(offers: Iterable[tuple], edges: Iterable[tuple]) -> list[tuple]:
+    """``(offer, label)`` of one component: complete linkage of all edges of offers, by falling score, then a and b.
+
+    ``offers``: (offer, merchant, kind); ``edges``: (ka, kb, score): offers a of ka and b of kb, a < b, of different merchants
+    are an edge. Groups hold their merchants, and their offers by kind in order, and two groups that can't merge never
+    can later. So at each score a group is held against others once for each of its kinds, from its first offer of that
+    kind, by the other groups' first offers after it; there is no step for a pair of offers.
+    """
+    score_of: dict = {}
+    levels: dict = defaultdict(lambda: defaultdict(list))
+    for ka, kb, score in edges:
+        score_of[ka, kb] = score
+        levels[score][ka].append(kb)
+    names, shops, members, of_kind = [], [], [], defaultdict(set)
+    for g, (offer, merchant, kind) in enumerate(offers):
+        names.append(offer)
+        shops.append({merchant})
+        members.append({kind: [offer]})
+        of_kind[kind].add(g)
+    up = list(range(len(names)))
+
+    def top(g: int) -> int:
+        while up[g] != g:
+            up[g] = up[up[g]]
+            g = up[g]
+        return g
+
+    def fit(g: int, h: int) -> bool:
+        if not shops[g].isdisjoint(shops[h]):
+            return False
+        for k, x in members[g].items():
+            for m, y in members[h].items():
+                if (x[0] < y[-1] and (k, m) not in score_of) or (y[0] < x[-1] and (m, k) not in score_of):
+                    return False
+        return True
+
+    def merge(g: int, h: int) -> None:
+        up[h] = g
+        shops[g] |= shops[h]
+        for k, y in members[h].items():
+            x = members[g].setdefault(k, [])
+            after = not x or x[-1] < y[0]
+            x.extend(y)
+            if not after:
+                x.sort()
+            of_kind[k].discard(h)
+            of_kind[k].add(g)
+        shops[h] = members[h] = None
+
+    for score in sorted(levels, reverse=True):
+        ends = levels[score]
+        held: dict = defaultdict(set)
+        for a, g, ka in sorted((members[g][ka][0], g, ka) for ka in ends for g in of_kind[ka]):
+            g = top(g)
+            if ka in held[g]:
+                continue
+            held[g].add(ka)
+            first: dict = {}
+            for kb in ends[ka]:
+                for h in of_kind[kb]:
+                    y = members[h][kb]
+                    if h != g and y[-1] > a:
+                        b = y[0] if y[0] > a else y[bisect_right(y, a)]
+                        if h not in first or b < first[h]:
+                            first[h] = b
+            for h in sorted(first, key=first.get):
+                if fit(g, h):
+                    merge(g, h)
+                    held[g] |= held.pop(h, set())
+    return [(offer, names[top(g)]) for g, offer in enumerate(list(names))]
+
+
 def chosen_in_order(rows: Iterable[tuple]) -> Iterator[str]:
     """Names of the chosen of one block. ``rows``: (name, keys, before), in order, where ``before`` says for each key how
     many come earlier in the whole order; a row is chosen if none of its keys is taken and all that come earlier at its
