@@ -239,8 +239,8 @@ o AS (SELECT id, l_partkey, l_suppkey FROM {_OFFERS} JOIN v ON p_partkey = l_par
 SELECT a.id AS a, b.id AS b, 100.0::DOUBLE AS score FROM o a JOIN o b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey AND a.id < b.id""")
 def gtin_edges(spark, d):
     """Edges of all offers, those by GTIN of them; the others' score is beyond SQL."""
-    edges = matching.match_edges(materialize(matching.with_features(_all_offers(spark, d)), "featured"))
-    return edges.where("reason = 'gtin'").select("a", "b", "score")
+    of, scored = matching.kind_edges(_all_offers(spark, d))
+    return matching.offer_edges(of, scored.where("reason = 'gtin'")).select("a", "b", "score")
 
 
 _VALID = """(SELECT p_partkey, (10 - list_sum(list_transform(range(1, 13), lambda k: CAST(s[k] AS INTEGER) * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 = CAST(s[13] AS INTEGER) AS valid
