@@ -252,9 +252,8 @@ _STOCK = f"(SELECT id, l_partkey, l_suppkey, valid FROM {_OFFERS} JOIN {_VALID}
 FROM {_STOCK} a JOIN {_STOCK} b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey AND a.id < b.id""")
 def product_edges(spark, d):
     """Edges of all offers, those between offers of one product of them: titles are equal there, so that SQL knows the score."""
-    edges = matching.match_edges(materialize(matching.with_features(_all_offers(spark, d)), "featured"))
-    part = lambda c: F.split(c, "-")[2]
-    return edges.where(part("a") == part("b")).withColumn("score", F.round("score", 9))
+    edges = matching.offer_edges(*matching.kind_edges(_all_offers(spark, d)), part=F.split("offer_id", "-")[2])
+    return edges.withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH r AS (SELECT id, l_partkey, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY id) AS nth FROM {_STOCK} WHERE valid)
