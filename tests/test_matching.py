@@ -282,6 +282,17 @@ def test_many_copies_of_a_title_are_no_pairs():
     assert process_time() - began < 20 and set(labels.values()) == {"000000", "010000"}
 
 
+def test_similar_titles_are_pairs_of_classes(spark, sf, tmp_path):
+    """50 copies of each part add a row each, not a pair of all copies."""
+    from bazaarlens import queries as Q
+
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    part.crossJoin(spark.range(50)).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("id")).drop("id").write.parquet(f"file://{tmp_path}/part.parquet")
+    one, many = ({(int(r.a), int(r.b)): r.jac for r in Q.QUERIES["jaccard_pairs"](spark, d).collect()} for d in (sf, f"file://{tmp_path}"))
+    n = part.count()
+    assert one.items() <= many.items() and len(many) == len(one) + 49 * n
+
+
 def test_facts_without_pairs_of_members(spark):
     """A group of 20,000 offers has 200 million pairs."""
     groups = spark.range(20_000).select(F.lit("g").alias("group_id"), F.lit("g").alias("slot"), F.format_string("%06d", "id").alias("offer_id"))
