@@ -38,12 +38,18 @@ class DealProcessor(StatefulProcessor):
         self.deal = handle.getValueState("deal", "status string, version long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # the newest of each merchant first, so that the state is asked once for a merchant, not for a snapshot
+        newest: dict[str, tuple] = {}
         for batch in rows:
-            for merchant, price, in_stock, at in zip(batch["merchant_id"], batch["price"], batch["in_stock"], batch["at"]):
-                new = int(at), float(price), bool(in_stock)
-                if not self.newest.containsKey((merchant,)) or new > tuple(self.newest.getValue((merchant,))):
-                    self.newest.updateValue((merchant,), new)
-        good = sorted((price, merchant) for (merchant,), (_, price, in_stock) in self.newest.iterator() if in_stock and price > 0)
+            for merchant, *new in zip(batch["merchant_id"], batch["at"].astype(int), batch["price"].astype(float), batch["in_stock"].astype(bool)):
+                if merchant not in newest or tuple(new) > newest[merchant]:
+                    newest[merchant] = tuple(new)
+        known = {merchant: tuple(at) for (merchant,), at in self.newest.iterator()}
+        for merchant, new in newest.items():
+            if merchant not in known or new > known[merchant]:
+                known[merchant] = int(new[0]), float(new[1]), bool(new[2])
+                self.newest.updateValue((merchant,), known[merchant])
+        good = sorted((price, merchant) for merchant, (_, price, in_stock) in known.items() if in_stock and price > 0)
         (low, first), (high, second) = [*good[:2], (None, None), (None, None)][:2]
         gap = (high - low) / high * 100 if high else None
         outcome = "insufficient" if len(good) < 2 else "candidate" if gap + self.slack >= self.threshold else "normal"

@@ -228,3 +228,36 @@ def test_streamed_life_cycle(spark, tmp_path):
     got = {(r.canonical_product_id, r.version): (r.outcome, r.status, r.cheapest_price, r.competitor_price) for r in found.collect()}
     assert got == want
     assert {r.canonical_product_id: r.version for r in streamed.final_states(found).collect()} == {"a": 4, "b": 5}
+
+
+def test_state_is_asked_once_for_a_merchant():
+    """1,000 snapshots of three merchants, in batches out of order, against a pass over all."""
+    import pandas as pd
+
+    from bazaarlens.streaming.deals import DealProcessor
+
+    class Newest(dict):
+        calls = 0
+
+        def iterator(self):
+            Newest.calls += 1
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            Newest.calls += 1
+            self[key] = value
+
+    class Deal:
+        value = None
+        exists, get = (lambda self: self.value is not None), (lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abc"), rnd.randint(0, 300), float(rnd.randint(0, 9)), rnd.random() < 0.7) for _ in range(1000)]
+    process = DealProcessor()
+    process.newest, process.deal = Newest({("a",): (500, 4.0, True)}), Deal()
+    frames = (pd.DataFrame(rows[k : k + 100], columns=["merchant_id", "at", "price", "in_stock"]) for k in range(0, 1000, 100))
+    list(process.handleInputRows(("p",), frames, None))
+    assert process.newest == {("a",): (500, 4.0, True), **{(m,): max(r[1:] for r in rows if r[0] == m) for m in "bc"}} and Newest.calls <= 3
