@@ -34,7 +34,7 @@ def _say(template: str, **values: Column) -> Column:
 
 def product_pages(spark, d) -> DataFrame:
     """A product page of one of four shops for each part."""
-    p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey")).withColumn("title", F.concat_ws(" ", "p_name", F.col("k").cast("string")))
+    p = A.spread(A.table(spark, d, "part"), "p_partkey").withColumn("k", F.col("p_partkey")).withColumn("title", F.concat_ws(" ", "p_name", F.col("k").cast("string")))
     money, comma = F.format_string("%.2f", "p_retailprice"), F.replace(F.format_string("%.2f", "p_retailprice"), F.lit("."), F.lit(","))
     price = _case(3, {0: _say('"{m}"', m=money), 1: _say("{m}", m=money), 2: _say('"{m} TL"', m=comma)})
     state = F.when(F.col("k") % 11 == 0, "https://schema.org/OutOfStock").otherwise("https://schema.org/InStock")
@@ -78,7 +78,7 @@ def product_items(spark, d):
 def page_products(spark, d):
     """All products of pages that a careless shop writes: capitals, broken nesting, entities, products inside products,
     lists of types, scripts of other kinds and scripts that are no JSON."""
-    p = A.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    p = A.spread(A.table(spark, d, "part"), "p_partkey").withColumn("k", F.col("p_partkey"))
     inner = F.when(F.col("k") % 3 == 0, _say('"isRelatedTo":[{"@type":"Product","sku":"R{k}","name":"part of it"}],')).otherwise("")
     first = _say("""<HTML><BODY><P>one<P><B>two</P></I><SCRIPT TYPE=' application/ld+json '>[{"@type":"Product",{r}"sku":"A{k}","name":"{n} & co"}]</SCRIPT>""", r=inner, n=F.col("p_name"))
     second = F.when(F.col("k") % 5 != 0, _say("""<script type="application/ld+json" async>{"@graph":[{"@type":"Thing"},{"x":{"@type":["Thing","Product"],"sku":"B{k}","name":"<b>&amp;</b>"}}]}</SCRIPT >""")).otherwise("<script type=application/ld+json>{'@type': 'Product'}</script>")

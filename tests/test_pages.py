@@ -96,3 +96,11 @@ def test_ids_by_pattern(spark):
 def test_search_addresses(spark):
     df = spark.createDataFrame([("Çelik Termos",), ("icon kupa",)], "q string")
     assert [r[0] for r in df.select(pages.search_url(F.col("q"), {"termos": "https://x/termos"}, "https://x/ara?q=")).collect()] == ["https://x/termos", "https://x/ara?q=icon%20kupa"]
+
+
+def test_pages_are_parsed_by_many_tasks(spark, sf):
+    """However few parts the table of their parts is read in."""
+    from bazaarlens import page_queries
+
+    assert page_queries.product_pages(spark, sf).rdd.getNumPartitions() >= 200
+    assert page_queries.page_products(spark, sf).rdd.getNumPartitions() >= 200
