@@ -1,6 +1,6 @@
 """Search pages as raw HTML to cards: selectors in order of preference, with attributes where texts are missing.
 
-A page is parsed once, into an array of its elements in document order (``read_elements``, Python); which elements are
+A page is parsed once, into an array of its elements in document order (``read_pages``, Python); which elements are
 cards and what is taken from each are columns. ``page_cards`` gives rows of ``cards.CARDS``, so ``cards.card_items``
 goes on from there.
 
@@ -9,6 +9,7 @@ An element carries the text below it, so a page takes as much memory as its text
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -147,6 +148,25 @@ def read_elements(html: pd.Series) -> pd.Series:
     return html.map(elements)
 
 
+#: Pages whose elements a task holds at once.
+AT_ONCE = 16
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``(merchant, query, page_url, page)``: pages with their elements in place of their HTML, a few at once, however many
+    come in a batch."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), AT_ONCE):
+                some = batch.iloc[start : start + AT_ONCE]
+                yield some[["merchant", "query", "page_url"]].assign(page=some["html"].map(elements))
+
+    rows = pages.select(*[F.col(c).cast("string").alias(c) for c in ("merchant", "query", "page_url", "html")])
+    schema = StructType().add("merchant", StringType()).add("query", StringType()).add("page_url", StringType()).add("page", ELEMENTS)
+    return rows.mapInPandas(read, schema)
+
+
 def fits(element: Column, selector: Selector, page: Column) -> Column:
     """Whether an element of a page is one that the selector means."""
     good = element["tag"] == selector.tag if selector.tag else F.lit(True)
@@ -208,7 +228,7 @@ def _cards(chosen: Column, page: Column, merchant: str) -> Column:
 def page_cards(pages: DataFrame) -> DataFrame:
     """Rows of ``cards.CARDS`` of ``(merchant, query, page_url, html)``: of a page the elements of the first card
     selector that means any. A page without cards, of another merchant or without HTML gives none."""
-    read = pages.where(F.col("merchant").isin(list(CARD))).select("merchant", "query", "page_url", read_elements("html").alias("page"))
+    read = read_pages(pages.where(F.col("merchant").isin(list(CARD))))
     page, of = F.col("page"), None
     for merchant, selectors in CARD.items():
         choices = [_means(page, s, page) for s in selectors]

@@ -98,7 +98,7 @@ def card_pages(spark, d) -> DataFrame:
     )
     of = p.groupBy(shop.alias("merchant"), F.concat(F.lit("q"), F.floor(k / 50).cast("string")).alias("query")).agg(F.sort_array(F.collect_list(F.struct("k", card.alias("html")))).alias("l"))
     html = F.concat(F.lit("<!DOCTYPE html><HTML><head><title>12 TL</title></head><body><ul>"), F.array_join(F.transform("l", lambda x: x["html"]), "\n"), F.lit("</ul></body>"))
-    return of.select("merchant", "query", F.format_string("https://www.%s.com/sr?q=x", "merchant").alias("page_url"), html.alias("html"))
+    return A.spread(of, "query").select("merchant", "query", F.format_string("https://www.%s.com/sr?q=x", "merchant").alias("page_url"), html.alias("html"))
 
 
 @query("""SELECT * EXCLUDE (k) FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'trendyol' ELSE 'hepsiburada' END AS merchant, 'q' || p_partkey // 50 AS query,

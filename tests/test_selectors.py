@@ -52,3 +52,12 @@ def test_pages_without_cards(spark):
         assert read(spark, html, merchant).collect() == []
     (empty,) = read(spark, '<p class="product-card"></p>').collect()
     assert (empty.title, empty.hrefs, empty.nodes, empty.card_text) == (None, [], [], "")
+
+
+def test_pages_are_read_a_few_at_once(spark, monkeypatch):
+    """However many pages come in a batch, the elements of a few are held and sent."""
+    rows = spark.range(0, 100, 1, 1).select(F.lit("trendyol").alias("merchant"), F.col("id").cast("string").alias("query"), F.lit("u").alias("page_url"), F.lit("<p>x</p>").alias("html"))
+    sizes = []
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, read, schema: sizes.extend(len(b) for b in read(iter([self.toPandas()]))) or self)
+    selectors.read_pages(rows)
+    assert sum(sizes) == 100 and max(sizes) <= selectors.AT_ONCE
