@@ -21,7 +21,8 @@ def offer_groups(canonical: DataFrame, matches: DataFrame, variants: DataFrame,
     owner = approved.join(live, "canonical_product_id", "left_semi").groupBy("product_id").agg(F.max("canonical_product_id").alias("canonical_product_id"))
     of_variant = variants.where("active").select(F.col("id").alias("product_variant_id"), "product_id").join(owner, "product_id").select("product_variant_id", "canonical_product_id")
     priced = offers.where("in_stock").where(F.coalesce("price", F.lit(0.0)) > 0)
-    return priced.join(of_variant, "product_variant_id").select("canonical_product_id", F.col("id").alias("offer_id"), "merchant_id", "price", "currency", "product_url")
+    shown = [c for c in ("currency", "product_url") if c in offers.columns]
+    return priced.join(of_variant, "product_variant_id").select("canonical_product_id", F.col("id").alias("offer_id"), "merchant_id", "price", *shown)
 
 
 def best_offer_per_merchant(grouped: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def price_drop_percent(current: Column, reference: Column) -> Column:
 def ranked_gaps(grouped: DataFrame) -> DataFrame:
     """For each canonical product its number of merchants and the two cheapest offers of different
     merchants, with the gap between them; null where there is one merchant only."""
-    best = best_offer_per_merchant(grouped)
+    best = best_offer_per_merchant(grouped.select("canonical_product_id", "merchant_id", "offer_id", "price"))
     counts = best.groupBy("canonical_product_id").agg(F.count(F.lit(1)).alias("n_merchants"))
     # the two smallest by (price, offer): the cheapest, and the cheapest of the others; the filter right above the rank
     # lets each task drop all but two of a product before the shuffle

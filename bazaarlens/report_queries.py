@@ -409,7 +409,7 @@ def bucketed_history(spark, d):
 def bucketed_feed(spark, d):
     """The feed from offers in buckets: by variant for the join that finds deals, by id for the links of those shown."""
     offers = A.offers(spark, d)
-    by_variant, links = buckets.bucketed(offers, "product_variant_id", "offers"), buckets.bucketed(offers.select("id", "product_url"), "id", "links")
+    by_variant, links = buckets.bucketed(offers.select("id", "product_variant_id", "merchant_id", "price", "in_stock"), "product_variant_id", "offers"), buckets.bucketed(offers.select("id", "product_url"), "id", "links")
     canonical_products = A.canonical_products(spark, d)
     new = deals.run_deals(canonical_products, A.product_matches(spark, d), A.variants(spark, d), by_variant, A.price_history(spark, d), A.deal_candidates(spark, d))[0]
     feed = deals.deal_feed(new, canonical_products, links, A.merchants(spark, d))
