@@ -81,7 +81,7 @@ def _running(rows: DataFrame, keys: list[str], slice_col: str, order: list, valu
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 11, extra: list[str] = []) -> DataFrame:  # noqa: B006
     """``(doc_id, source, size, extra, source_size, target, copies)`` for each row of ``sizes``; ``copies``
-    says how often the mix holds the row. ``sized`` should be a stored table: it is read several times."""
+    says how often the mix holds the row. ``sized`` should be a stored table: it is read several times. Runs jobs."""
     slices = max(64, sized.count() // SLICE_ROWS)
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *[F.col(c).cast("string") for c in extra]))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("key")
@@ -92,7 +92,8 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     rows = rows.withColumn("slice", F.floor(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") * slices / 2**32))
     rows = _running(rows, ["key"], "slice", ["mark", "doc_id", "size", *extra], "held", "upto", "place")
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, epochs)
-    rows = rows.join(by_source.withColumn("key", key), "key")
+    # stored, since copies are read twice: their sums of slices would repeat all the plan above
+    rows = materialize(rows.join(by_source.withColumn("key", key), "key").drop("mark", "held"), "mix-rows")
     # each of them for itself again, in runs that are dealt out before they are taken apart
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SLICE_ROWS)))
     nth = F.explode(F.sequence(F.col("run") * SLICE_ROWS, F.least(F.col("rows"), (F.col("run") + 1) * SLICE_ROWS) - 1))
@@ -113,11 +114,12 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with all their columns. Rows
     are told apart by two hashes of all columns; equal rows are one with a number, as which they are taken.
-    Runs jobs, since it stores the sizes."""
+    Runs jobs, since it stores the sizes and how often rows are taken."""
     hashes = ["_mix_a", "_mix_b"]
     hashed = docs.select("*", F.xxhash64(*docs.columns).alias("_mix_a"), F.xxhash64(F.lit("b"), *docs.columns).alias("_mix_b"))
     sized = materialize(sizes(hashed, id_col, text_col, source_col, hashes), "sizes")
     taken = mix(sized, extra=hashes, **parameters).groupBy(*hashes).agg(F.sum("copies").alias("_mix_copies")).where("_mix_copies > 0")
+    taken = materialize(taken, "mix-taken")
     whole = hashed.groupBy(*hashes).agg(F.first(F.struct(*docs.columns)).alias("_mix_row"))
     # in runs, so that no list of copies is long
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_copies") - 1) / SLICE_ROWS)))

@@ -35,6 +35,8 @@ from .common import map_rows
 BITS, RATED, SEEN = 20, 8000, 8
 #: Features of all rated rows that a model is fitted on, at most (64 MB), and of one row.
 FEATURES, OF_ONE = 1 << 24, 1 << 18
+#: Features that the fit takes at once, so that the driver holds no array of doubles for all of them.
+BLOCK = 1 << 20
 #: The longest token that a worker remembers the hashes of.
 LONGEST = 64
 CUTOFF = 0.5
@@ -109,6 +111,16 @@ class Model:
         return 1 / (1 + np.exp(self.thresholds - float(self.weights[found].sum(dtype=np.float64))))
 
 
+def _blocks(counts: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Slices of documents, and of their features, with at most BLOCK features or one document in each."""
+    ends = np.cumsum(counts)
+    a, low = 0, 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+        yield slice(a, b), slice(low, int(ends[b - 1]))
+        a, low = b, int(ends[b - 1])
+
+
 def objective(theta: np.ndarray, y: np.ndarray, place: np.ndarray, counts: np.ndarray, each: np.ndarray, decay: float, n_grades: int) -> tuple[float, np.ndarray]:
     """The weighted negative log-likelihood of grades ``y``, with a penalty on weights, and its gradient.
     ``theta``: a weight for each feature, the first threshold, and the logarithms of the gaps to the next ones;
@@ -117,15 +129,20 @@ def objective(theta: np.ndarray, y: np.ndarray, place: np.ndarray, counts: np.nd
     row = np.arange(len(y))
     w, low, gaps = theta[:n], theta[n], np.exp(theta[n + 1 :])
     cuts = low + np.concatenate([[0], np.cumsum(gaps)])
-    sums, ends = np.concatenate([[0.0], np.cumsum(w[place])]), np.cumsum(counts)
-    s = sums[ends] - sums[ends - counts]
+    s = np.empty(len(y))
+    for docs, part in _blocks(counts):
+        sums, ends = np.concatenate([[0.0], np.cumsum(w[place[part]])]), np.cumsum(counts[docs])
+        s[docs] = sums[ends] - sums[ends - counts[docs]]
     upto = 1 / (1 + np.exp(np.clip(s[:, None] - cuts, -40, 40)))
     wide = np.hstack([np.zeros((len(y), 1)), upto, np.ones((len(y), 1))])
     slope = np.hstack([np.zeros((len(y), 1)), upto * (1 - upto), np.zeros((len(y), 1))])
     p = np.maximum(wide[row, y + 1] - wide[row, y], 1e-9)
     up, down = slope[row, y + 1] / p * each, slope[row, y] / p * each
     by_cut = (np.bincount(y, down, n_grades + 1) - np.bincount(y + 1, up, n_grades + 1))[1:-1]
-    grad = np.concatenate([np.bincount(place, np.repeat(up - down, counts), n) + decay * w, [by_cut.sum()], [by_cut[j + 1 :].sum() * gaps[j] for j in range(n_grades - 2)]])
+    by_word = np.zeros(n)
+    for docs, part in _blocks(counts):
+        by_word += np.bincount(place[part], np.repeat((up - down)[docs], counts[docs]), n)
+    grad = np.concatenate([by_word + decay * w, [by_cut.sum()], [by_cut[j + 1 :].sum() * gaps[j] for j in range(n_grades - 2)]])
     return float(-(each * np.log(p)).sum() + decay / 2 * (w * w).sum()), grad
 
 
@@ -135,15 +152,20 @@ def fit(grade: np.ndarray, counts: np.ndarray, found: np.ndarray, n_grades: int
     y = grade.astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    tally = np.bincount(found, minlength=1 << BITS)
+    tally = np.zeros(1 << BITS, np.int64)
+    for _, part in _blocks(counts):
+        tally += np.bincount(found[part], minlength=1 << BITS)
     own = np.flatnonzero(tally >= seen)
     number = np.full(1 << BITS, -1, np.int32)
     number[own] = np.arange(len(own), dtype=np.int32)
-    place = number[found]
-    of = np.repeat(np.arange(len(y), dtype=np.int32), counts)[place >= 0]
-    place = place[place >= 0]
-    counts = np.bincount(of, minlength=len(y))
-    del of, number, tally
+    places, left = [np.zeros(0, np.int32)], np.zeros(len(y), np.int64)
+    for docs, part in _blocks(counts):
+        own_place = number[found[part]]
+        of = np.repeat(np.arange(docs.stop - docs.start, dtype=np.int32), counts[docs])
+        left[docs] = np.bincount(of[own_place >= 0], minlength=docs.stop - docs.start)
+        places.append(own_place[own_place >= 0])
+    place, counts = np.concatenate(places), left
+    del places, number, tally
     share = np.sqrt(len(y) / (n_grades * np.maximum(1, np.bincount(y, minlength=n_grades))))
     each = share[y] / share[y].sum()
     theta = np.concatenate([np.zeros(len(own)), [-0.5], np.zeros(n_grades - 2)])

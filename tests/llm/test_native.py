@@ -163,3 +163,9 @@ def test_query_columns(spark, sf):
     rows = queries.op9_two_pass_shuffle(spark, sf).collect()
     text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(r.text_crc32 == zlib.crc32(text[r.doc_id]) and r.size == len(text[r.doc_id]) + 8 and 0 <= r.shard < 24 for r in rows)
+
+
+def test_mix_is_no_single_large_plan(spark, sf):
+    """What the driver plans at once is bounded: the mix is stored where it would repeat the plan above."""
+    out = mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Aggregate") < 8

@@ -108,3 +108,15 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (103, 101), (7, 7), (None, 5)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert out == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_settled_components_take_one_round(spark, monkeypatch):
+    from bazaarlens.plans import components
+
+    stored = []
+    monkeypatch.setattr(components, "materialize", lambda df, label, f=components.materialize: stored.append(label) or f(df, label))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (7, 8)], "src long, dst long")
+    assert {tuple(r) for r in connected_components(stars).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert len(stored) == 2
+    stored.clear()
+    assert connected_components(stars.limit(0)).collect() == [] and len(stored) == 1

@@ -104,3 +104,26 @@ def test_long_tokens_are_not_remembered():
         Q.features(f"{k}" + "x" * 5000)
     assert Q._remembered.cache_info().currsize == before
     assert Q.features("Wordy!") == [*set(Q._hashes("Wordy!")), *Q.features("Wordy!")[-7 * Q.SHAPE :]]
+
+
+def test_fit_takes_features_in_blocks(monkeypatch):
+    """The driver holds no array of doubles for all features, and blocks change nothing but the last digits."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 2000, 4000)
+    found = rng.integers(0, 50_000, counts.sum()).astype(np.int32)
+    grade = rng.integers(0, 3, len(counts))
+    tracemalloc.start()
+    model = Q.fit(grade, counts, found, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 18 * len(found)
+    monkeypatch.setattr(Q, "BLOCK", 1000)
+    small = Q.fit(grade[:300], counts[:300], found[: counts[:300].sum()], rounds=5)
+    monkeypatch.setattr(Q, "BLOCK", 1 << 30)
+    whole = Q.fit(grade[:300], counts[:300], found[: counts[:300].sum()], rounds=5)
+    assert np.allclose(small.weights, whole.weights, atol=1e-6) and np.allclose(small.thresholds, whole.thresholds)
+    assert model.weights.any()
