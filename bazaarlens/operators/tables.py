@@ -48,12 +48,19 @@ def ingest(items: DataFrame, merchants: DataFrame, products: DataFrame, variants
     Known offers get price, address, image, currency, stock and times; others get product (by slug),
     variant (by sku) and offer. Every item adds a snapshot. Images of known variants, and of their
     products, are renewed for the merchants of ``refresh_images`` only.
+
+    Items are shuffled once by merchant and number of the product, which picks their last address and finds known
+    offers, and once by sku. Offers don't read the new products and variants: a new variant's id follows from its sku.
     """
     now = F.lit(settings.as_of)
     good = items.where("merchant_product_id <> '' AND title <> '' AND price IS NOT NULL")
-    good = first_per_key(good, ["merchant", "merchant_product_id"], [F.desc("product_url"), F.desc("price"), F.desc("title")])
     shops = get_or_create(merchants, good.select(F.col("merchant").alias("slug")).distinct().select(F.concat(F.lit("m-"), "slug").alias("id"), F.initcap("slug").alias("name"), "slug", F.lit(True).alias("active")), "slug")
-    keyed = good.join(shops.select(F.col("id").alias("merchant_id"), F.col("slug").alias("merchant")), "merchant")
+    old_shops = merchants.select(F.col("id").alias("_shop_id"), F.col("slug").alias("merchant"), F.lit(True).alias("_shop"))
+    keyed = good.where("merchant IS NOT NULL").join(old_shops, "merchant", "left")
+    keyed = keyed.withColumn("merchant_id", F.when(F.col("_shop"), F.col("_shop_id")).otherwise(F.concat(F.lit("m-"), "merchant"))).drop("_shop", "_shop_id")
+    # so dealt out, both the first of each key and the join with known offers find their rows
+    keyed = keyed.repartition("merchant_id", "merchant_product_id")
+    keyed = first_per_key(keyed, ["merchant_id", "merchant_product_id", "merchant"], [F.desc("product_url"), F.desc("price"), F.desc("title")])
     keyed = keyed.withColumn("sku", F.concat_ws(":", "merchant", "merchant_product_id")).withColumn("slug", F.concat_ws("-", "merchant", "merchant_product_id"))
     known = offers.select(F.col("id").alias("offer_id"), "product_variant_id", "merchant_id", "merchant_product_id")
     keyed = keyed.join(known, ["merchant_id", "merchant_product_id"], "left")
@@ -69,9 +76,10 @@ def ingest(items: DataFrame, merchants: DataFrame, products: DataFrame, variants
     # the product of a renewed variant is renewed too; of several variants' images the last one counts
     of_products = new_images.join(variants.select("id", "product_id"), "id").select(F.col("product_id").alias("id"), "_image")
     products_ = products_.join(first_per_key(of_products, ["id"], [F.desc("_image")]), "id", "left").withColumn("image_url", F.coalesce("_image", "image_url")).select(*products.columns)
-    variant_of = variants_.select("sku", F.col("id").alias("vid"))
-    rows = keyed.join(variant_of, "sku", "left").select(
-        F.coalesce("offer_id", F.concat(F.lit("o-"), "sku")).alias("id"), F.coalesce("product_variant_id", "vid").alias("product_variant_id"), "merchant_id", "merchant_product_id", "product_url", "price",
+    old_variants = variants.select("sku", F.col("id").alias("_variant_id"), F.lit(True).alias("_variant"))
+    vid = F.when(F.col("_variant"), F.col("_variant_id")).when(F.col("offer_id").isNull(), F.concat(F.lit("v-"), "sku"))
+    rows = keyed.join(old_variants, "sku", "left").select(
+        F.coalesce("offer_id", F.concat(F.lit("o-"), "sku")).alias("id"), F.coalesce("product_variant_id", vid).alias("product_variant_id"), "merchant_id", "merchant_product_id", "product_url", "price",
         F.lit("TRY").alias("currency"), F.coalesce("in_stock", F.lit(True)).alias("in_stock"), "image_url", now.alias("last_checked_at"), F.when(F.col("offer_id").isNotNull(), now).alias("updated_at"),
     )
     snapshot = rows.select(F.col("id").alias("offer_id"), "price", "in_stock", now.alias("checked_at"))

@@ -145,8 +145,10 @@ def _ingested(spark, d) -> dict[str, DataFrame]:
     """A batch: every second (shop, part) that has an offer, and all parts of a shop that is new."""
     pairs = A.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_extendedprice").alias("price"))
     s, k, none = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.lit(None)
-    known = pairs.select(
-        F.concat_ws("-", F.lit("o"), s, k).alias("id"), F.concat(F.lit("v-"), k).alias("product_variant_id"), s.alias("merchant_id"), k.alias("merchant_product_id"), F.lit("old").alias("product_url"), (F.col("price") + 1).alias("price"),
+    # grouped by the offers' keys, so that a join on them needs no other shuffle
+    of = A.table(spark, d, "lineitem").groupBy(s.alias("merchant_id"), k.alias("merchant_product_id")).agg(F.min("l_extendedprice").alias("price"))
+    known = of.select(
+        F.concat_ws("-", F.lit("o"), "merchant_id", "merchant_product_id").alias("id"), F.concat(F.lit("v-"), "merchant_product_id").alias("product_variant_id"), "merchant_id", "merchant_product_id", F.lit("old").alias("product_url"), (F.col("price") + 1).alias("price"),
         F.lit("TRY").alias("currency"), F.lit(False).alias("in_stock"), none.cast("string").alias("image_url"), none.cast("timestamp").alias("last_checked_at"), none.cast("timestamp").alias("updated_at"),
     )
     renewed = pairs.where((F.col("l_suppkey") + F.col("l_partkey")) % 2 == 0).select(

@@ -129,6 +129,21 @@ def test_ingest_twice(spark):
     assert {r.slug: r.image_url for r in second["products"].collect()} == {"n11-1": "new", "vatan-1": None}
 
 
+def test_ingested_offers_are_found_in_one_pass(spark, sf):
+    """New offers take their variant's id from the sku, so the plan doesn't build products and variants before."""
+    from bazaarlens import page_queries as P
+
+    plan = P.ingest_offers(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 4 and plan.count("Window [") == 1
+    old = {"merchants": [("m", "M", "a", None, True)], "variants": [("v", "p", None, "a:2", None, True)]}
+    table = lambda name, schema: spark.createDataFrame(old.get(name, []), schema)
+    items = spark.createDataFrame([(s, k, "B", "Kupa", 5.0, None, u, True, None) for s, k, u in (("a", "1", "u1"), ("a", "1", "u2"), ("a", "2", "u"), ("b", "1", "u"), (None, "1", "u"))], schemas.ITEMS)
+    offers = spark.createDataFrame([("x", None, "m", "1", "u0", 9.0, "TRY", False, None, NOW, NOW)], schemas.OFFERS)
+    out = tables.ingest(items, table("merchants", schemas.MERCHANTS), table("products", schemas.PRODUCTS), table("variants", schemas.VARIANTS), offers, table("history", schemas.PRICE_HISTORY))
+    got = {(r.id, r.product_variant_id, r.merchant_id, r.product_url) for r in out["offers"].collect()}
+    assert got == {("x", None, "m", "u2"), ("o-a:2", "v", "m", "u"), ("o-b:1", "v-b:1", "m-b", "u")}
+
+
 def test_store_and_stream(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/store")
     offers = spark.createDataFrame([("a", 1.0, True, NOW)], "id string, price double, in_stock boolean, last_checked_at timestamp")
