@@ -12,7 +12,9 @@ class that has the fewest values of its own, the one most like the others; the u
 components follow. (2) Classes of lists that still hold more than one component go through the exact
 prefix filter: two sets over the threshold meet in one of the rarest shingles of each, before fewer
 shingles are left in either than the pair must have in common; shingles that only one set has come
-first and list nothing. Pairs of different components that meet there are confirmed, all of them, without
+first and list nothing. Each set has a bitmap of the parities of its shingles' hashes in BITS places; where the bitmaps of
+two sets differ, so do the sets, so pairs whose bitmaps differ in more places than a link's sets can differ in shingles
+are no links and are not made. All other pairs of different components that meet there are confirmed, without
 an estimate, and join the components found before. So links inside a component are not confirmed one by one, pairs of a large family that can't
 be links are not made, and no link between components is lost for a list's length.
 
@@ -39,6 +41,8 @@ from ..plans.components import connected_components
 from ..plans.storage import materialize
 
 SHINGLE, K = 5, 64
+#: Places of the bitmap of a set.
+BITS = 512
 #: A link's similarity, in hundredths; the chance that the sketches of a pair at the threshold hide it.
 THRESHOLD, MISS = 85, 1e-7
 
@@ -69,6 +73,12 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(total ^ total >> np.uint64(31))
 
 
+def parities(values: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Longs of ``bits`` bits in all: how many of the values fall on each, modulo 2. Of two sets, as many values
+    are in only one of them as bits differ, at least."""
+    return np.packbits(np.bincount(values & np.uint64(bits - 1), minlength=bits) & 1 == 1).view(np.int64)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, key, th, text)``: the key is the id, or for a null id the hash ``th`` of the text."""
     ident, th = F.col(id_col).cast("long"), F.xxhash64(text_col)
@@ -91,20 +101,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(sig, items array<long>)`` of the classes ``wanted`` (sig, key, th), each from the text that stands for it."""
+    """``(sig, items array<long>, bits array<long>)`` of the classes ``wanted`` (sig, key, th), each from the text that
+    stands for it."""
     # rows that repeat id and text are one
     texts = _keyed(docs, id_col, text_col).groupBy("key", "th").agg(F.first("text").alias("text"))
     rows = texts.join(wanted.select("key", "th", "sig"), ["key", "th"]).select("sig", "text")
-    out = pa.schema([("sig", pa.binary()), ("items", pa.list_(pa.int64()))])
+    out = pa.schema([("sig", pa.binary()), ("items", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, size).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, out.field(1).type)], schema=out)
+                sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
+                made = [pa.array([s.view(np.int64) for s in sets], out.field(1).type), pa.array(map(parities, sets), out.field(2).type)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], schema=out)
 
-    return rows.mapInArrow(run, "sig binary, items array<long>")
+    return rows.mapInArrow(run, "sig binary, items array<long>, bits array<long>")
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
@@ -140,17 +152,19 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, shared: float, thre
 
 
 def _apart(sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of the sets (sig, comp, items) that may be links, by the exact prefix filter, and are in
-    different components."""
+    """Pairs (a, b) of the sets (sig, comp, items, bits) that may be links, by the exact prefix filter and their
+    bitmaps, and are in different components."""
     own = sets.select(F.xxhash64("sig").alias("id"), F.size("items").cast("long").alias("of"), F.explode("items").alias("v"))
     larger = F.col("of") - F.ceil(F.col("of") * threshold / 100) + 1
     smaller = F.col("of") - F.ceil(F.col("of") * 2 * threshold / (100 + threshold)) + 1
-    rare = _rarest(own, "id", larger).join(sets.select(F.xxhash64("sig").alias("id"), "sig", "comp"), "id")
-    short = rare.where(F.col("place") <= smaller).select("v", F.col("sig").alias("y"), F.col("of").alias("yn"), F.col("comp").alias("yc"), F.col("place").alias("yp"))
+    rare = _rarest(own, "id", larger).join(sets.select(F.xxhash64("sig").alias("id"), "sig", "comp", "bits"), "id")
+    short = rare.where(F.col("place") <= smaller).select("v", F.col("sig").alias("y"), F.col("of").alias("yn"), F.col("comp").alias("yc"), F.col("place").alias("yp"), F.col("bits").alias("ybits"))
     near = (F.col("comp") != F.col("yc")) & (F.col("yn") <= F.col("of")) & (100 * F.col("yn") >= threshold * F.col("of"))
     # what two sets of these sizes must have in common; they must meet before so many are left in either
     common = F.ceil(threshold * (F.col("of") + F.col("yn")) / (100 + threshold) - 1e-9)
     near = near & (F.col("place") <= F.col("of") - common + 1) & (F.col("yp") <= F.col("yn") - common + 1)
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("ybits")[k])) for k in range(BITS // 64)), F.lit(0))
+    near = near & (differ <= F.col("of") + F.col("yn") - 2 * common)
     met = rare.join(short, (rare["v"] == short["v"]) & near)
     return met.select(F.least("sig", "y").alias("a"), F.greatest("sig", "y").alias("b")).distinct()
 

@@ -188,7 +188,10 @@ def train(docs: DataFrame, rated: DataFrame, most: int = RATED, n_grades: int =
     lists = rows["features"].combine_chunks()
     counts = np.diff(lists.offsets.to_numpy())
     found = lists.flatten().to_numpy()
-    return fit(rows["grade"].to_numpy(), counts, found, n_grades)
+    model = fit(rows["grade"].to_numpy(), counts, found, n_grades)
+    del rows, lists, counts, found
+    pa.default_memory_pool().release_unused()  # else Arrow keeps what the features took
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

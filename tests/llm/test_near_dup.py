@@ -3,6 +3,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from bazaarlens.llm import near_dup as N
@@ -120,3 +121,31 @@ def test_settled_components_take_one_round(spark, monkeypatch):
     assert len(stored) == 2
     stored.clear()
     assert connected_components(stars.limit(0)).collect() == [] and len(stored) == 1
+
+
+def test_rounds_end_with_stars(spark, monkeypatch):
+    """A chain that one round makes a star takes one; before, a second round only found that nothing changed."""
+    from bazaarlens.plans import components
+
+    stored = []
+    monkeypatch.setattr(components, "materialize", lambda df, label, f=components.materialize: stored.append(label) or f(df, label))
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    assert {tuple(r) for r in connected_components(chain).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert len(stored) == 2
+
+
+def test_pairs_of_a_family_that_are_no_links(spark):
+    """Sets that meet in rare values and are apart in others: only pairs near the threshold are made, and all links."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 150).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(150) > rng.random() / 3], rng.choice(base * np.uint64(3), rng.integers(0, 12))])) for _ in range(120)]
+    rows = [(str(k).encode(), k, s.view(np.int64).tolist(), N.parities(s).tolist()) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "sig binary, comp long, items array<long>, bits array<long>")
+    made = {tuple(sorted((int(r.a), int(r.b)))) for r in N._apart(df, 80).collect()}
+    items = [set(r[2]) for r in rows]
+    like = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(items) for j, b in enumerate(items) if i < j}
+    links = {p for p, x in like.items() if x >= 0.8}
+    assert len(links) > 100 and links <= made
+    assert sum(x < 0.7 for x in like.values()) > 1000 and all(like[p] >= 0.7 for p in made)
+    differ = lambda i, j: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[i][3], rows[j][3]))
+    assert all(differ(i, j) <= len(items[i] ^ items[j]) for i, j in like)
