@@ -26,7 +26,8 @@ def offer_rows(merchants: DataFrame, products: DataFrame, variants: DataFrame, o
     variant = variants.select(F.col("id").alias("product_variant_id"), "product_id", "gtin", "sku")
     product = products.select(F.col("id").alias("product_id"), "brand", "title")
     merchant = merchants.select(F.col("id").alias("merchant_id"), truthy(F.col("name"), F.col("slug")).alias("merchant"))
-    rows = offers.where("in_stock").join(variant, "product_variant_id").join(product, "product_id").join(merchant, "merchant_id")
+    # variants learn their product before they meet offers, which are shuffled once
+    rows = offers.where("in_stock").join(variant.join(product, "product_id"), "product_variant_id").join(merchant, "merchant_id")
     return rows.select(
         F.col("id").alias("offer_id"), "product_variant_id", "product_id", "merchant_id", "merchant", "merchant_product_id", "brand", F.coalesce("title", F.lit("")).alias("title"), "gtin", "sku",
         F.coalesce("price", F.lit(0.0)).alias("price"), truthy(F.col("currency"), F.lit("TRY")).alias("currency"), "product_url",
@@ -89,41 +90,66 @@ def least_jaccard(settings: Settings = DEFAULT) -> float:
     return (settings.min_score - BASE - VOLUME_BONUS - TITLE * RATIO_SHARE) / (TITLE * WORDS_SHARE)
 
 
-def candidate_pairs(featured: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``(a, b)``, a < b: every pair that can reach the score, found by equal keys only.
+def rest_of_score(settings: Settings = DEFAULT) -> Column:
+    """What featured columns x and y have of a score besides their titles' share."""
+    agreed = F.coalesce(F.abs(F.col("x.volume") - F.col("y.volume")) <= settings.volume_tolerance_ml, F.lit(False))
+    return BASE + MODEL * X.overlap(F.col("x.models"), F.col("y.models")) + F.when(agreed, VOLUME_BONUS).otherwise(0.0) + F.when(F.arrays_overlap("x.models", "y.models"), MODEL_BONUS).otherwise(0.0)
+
+
+def can_reach(settings: Settings = DEFAULT) -> Column:
+    """Whether featured columns x and y can reach the score: no conflict of their titles, and a bound on the score, by
+    common words (their hashes, which are faster to compare and never share fewer), and where these suffice by letters."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    agree = F.coalesce(F.abs(x("volume") - y("volume")) <= settings.volume_tolerance_ml, F.lit(True))
+    shared = F.size(F.array_intersect(x("hashes"), y("hashes")))
+    most_common = F.when(shared == 0, 0.0).otherwise(shared / (F.size(x("hashes")) + F.size(y("hashes")) - shared))
+    enough = lambda ratio: rest_of_score(settings) + TITLE * (RATIO_SHARE * ratio + WORDS_SHARE * most_common) >= settings.min_score - 1e-6
+    # branches, since what two conjuncts share would be computed first, for all that meet
+    apart = X.disjoint(x("colours"), y("colours")) | X.disjoint(x("models"), y("models"))
+    return F.when(~agree, False).when(~enough(F.lit(1.0)), False).when(apart, False).otherwise(enough(most_ratio(x("letters"), y("letters"))))
+
+
+def title_pairs(branded: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``(a, b)``, a < b: every pair of offers of one brand that can reach the score by their titles, found by equal keys only.
 
-    Keys: a valid GTIN; brand and a model code; brand and one of the title's rarest words, as many that
-    two titles with the words in common that the score asks for must meet in one (no pair without a
-    common code passes with fewer). Where the score asks for no common words, the brand alone.
+    Keys: brand and a model code; brand and one of the title's rarest words, as many that two titles with the words in
+    common that the score asks for must meet in one (no pair without a common code passes with fewer). Where the score
+    asks for no common words, the brand alone. What can't reach the score is dropped where it meets, so what is
+    shuffled from then on grows with pairs that nearly match, not with all that share a key.
+
+    ``branded``: (offer_id, merchant_id, brand_key, coded), with what ``can_reach`` asks for; an offer may come once for
+    each of its brands. ``coded``: whether it has a valid GTIN; two valid GTINs match by their own key or not at all.
     """
-    ids = ["offer_id", "merchant_id"]
     least = least_jaccard(settings)
-    branded = featured.where("brand_key <> ''")
-    keys = [featured.where("valid_gtin is not null").select(*ids, F.concat(F.lit("g:"), "valid_gtin").alias("key"))]
+    own = ["offer_id", "brand_key"]
     if least > 0:
-        keys.append(branded.select(*ids, F.explode("models").alias("m"), "brand_key").select(*ids, F.concat_ws(":", F.lit("m"), "brand_key", "m").alias("key")))
-        words = branded.select(*ids, "brand_key", F.size("words").alias("n"), F.explode("words").alias("w"))
+        models = branded.select(*own, F.explode("models").alias("m")).select(*own, F.concat_ws(":", F.lit("m"), "brand_key", "m").alias("key"))
+        words = branded.select(*own, F.size("words").alias("n"), F.explode("words").alias("w"))
         often = words.groupBy("brand_key", "w").agg(F.count(F.lit(1)).alias("often"))
-        rare = words.join(often, ["brand_key", "w"]).withColumn("place", F.row_number().over(Window.partitionBy("offer_id").orderBy("often", "w")))
+        rare = words.join(often, ["brand_key", "w"]).withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy("often", "w")))
         rare = rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * min(1.0, least) - 1e-9) + 1)
-        keys.append(rare.select(*ids, F.concat_ws(":", F.lit("w"), "brand_key", "w").alias("key")))
+        keys = models.unionByName(rare.select(*own, F.concat_ws(":", F.lit("w"), "brand_key", "w").alias("key")))
     else:
-        keys.append(branded.select(*ids, F.concat(F.lit("b:"), "brand_key").alias("key")))
-    # two valid GTINs match by their own key or not at all, so other keys pair one of them with rows without; and two
-    # volumes agree
-    facts = featured.select("offer_id", "volume", F.col("valid_gtin").isNotNull().alias("coded"))
-    rest = keys[1]
-    for k in keys[2:]:
-        rest = rest.unionByName(k)
-    rest = rest.join(facts, "offer_id")
-    side = lambda rows, x: rows.select("key", F.col("offer_id").alias(x), F.col("merchant_id").alias(f"{x}m"), *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c in ("volume",)])
-    agree = F.coalesce(F.abs(F.col("a_volume") - F.col("b_volume")) <= settings.volume_tolerance_ml, F.lit(True))
-    bare, coded = rest.where(~F.col("coded")), rest.where("coded")
-    apart = F.col("am") != F.col("bm")
-    found = side(keys[0], "a").join(side(keys[0], "b"), "key").where((F.col("a") < F.col("b")) & apart).select("a", "b")
-    found = found.unionAll(side(bare, "a").join(side(bare, "b"), "key").where((F.col("a") < F.col("b")) & apart & agree).select("a", "b"))
-    found = found.unionAll(side(bare, "a").join(side(coded, "b"), "key").where(apart & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return found.distinct()
+        keys = branded.select(*own, F.concat(F.lit("b:"), "brand_key").alias("key"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
+    keyed = keys.join(branded.select(*own, "merchant_id", "coded", F.struct("volume", "colours", "models", hashes, "letters").alias("look")), own)
+    side = lambda rows, i, look: rows.select("key", F.col("offer_id").alias(i), F.col("merchant_id").alias(f"{i}m"), F.col("look").alias(look))
+    # pairs take time by the square of a key's rows, not by bytes, so tasks are not put together
+    parts = max(200, int(branded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bare, coded = keyed.where("not coded").repartition(parts, "key"), keyed.where("coded").repartition(parts, "key")
+    met = side(bare, "a", "x").join(side(bare, "b", "y"), "key").where("a < b and am <> bm").where(can_reach(settings)).select("a", "b")
+    mixed = side(bare, "a", "x").join(side(coded, "b", "y"), "key").where("a <> b and am <> bm").where(can_reach(settings))
+    return met.unionAll(mixed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def candidate_pairs(featured: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``(a, b)``, a < b: every pair that can reach the score, found by equal keys only: a valid GTIN, or those of
+    ``title_pairs``."""
+    coded = featured.where("valid_gtin is not null")
+    side = lambda x: coded.select("valid_gtin", F.col("offer_id").alias(x), F.col("merchant_id").alias(f"{x}m"))
+    same = side("a").join(side("b"), "valid_gtin").where("a < b and am <> bm").select("a", "b")
+    branded = featured.where("brand_key <> ''").withColumns({"coded": F.col("valid_gtin").isNotNull(), "letters": letter_counts(F.col("norm"))})
+    return same.unionAll(title_pairs(branded, settings)).distinct()
 
 
 def conflict(a: str, b: str, settings: Settings = DEFAULT) -> Column:
@@ -144,9 +170,7 @@ def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEF
     f = featured.select("offer_id", "merchant_id", "valid_gtin", "brand_key", "volume", "colours", "models", "words", "norm", letter_counts(F.col("norm")).alias("letters"))
     rows = pairs.join(f.select(F.col("offer_id").alias("a"), F.struct("*").alias("x")), "a").join(f.select(F.col("offer_id").alias("b"), F.struct("*").alias("y")), "b")
     rows = rows.withColumn("why", conflict("x", "y", settings))
-    agreed = F.coalesce(F.abs(F.col("x.volume") - F.col("y.volume")) <= settings.volume_tolerance_ml, F.lit(False))
-    rest = BASE + MODEL * X.overlap(F.col("x.models"), F.col("y.models")) + F.when(agreed, VOLUME_BONUS).otherwise(0.0) + F.when(F.arrays_overlap("x.models", "y.models"), MODEL_BONUS).otherwise(0.0)
-    rows = rows.withColumn("rest", rest).withColumn("jac", X.jaccard(F.col("x.words"), F.col("y.words")))
+    rows = rows.withColumn("rest", rest_of_score(settings)).withColumn("jac", X.jaccard(F.col("x.words"), F.col("y.words")))
     open_ = F.col("why").isNull()
     if bounded:
         most = most_ratio(F.col("x.letters"), F.col("y.letters"))
@@ -157,34 +181,50 @@ def scored_pairs(featured: DataFrame, pairs: DataFrame, settings: Settings = DEF
     return compared.unionByName(settled)
 
 
-#: What a score depends on, besides merchants and which offer id is smaller.
-MATCHED = ("norm", "brand_key", "words", "volume", "colours", "models", "valid_gtin")
+#: What the score of two titles of one brand depends on, besides which offer id is smaller; and what a score depends on,
+#: besides that and merchants.
+TITLED = ("norm", "words", "volume", "colours", "models")
+MATCHED = (*TITLED, "brand_key", "valid_gtin")
 
 
 def kind_edges(rows: DataFrame, settings: Settings = DEFAULT, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Offers by kind, ``(offer_id, merchant_id, kind, own)``, and edges of kinds, ``(ka, kb, score, reason)``.
 
     Offers that are equal in MATCHED are one kind, which has a number; ``own`` is the GTIN that makes kinds one class, or the
-    kind. Kinds are paired and scored in both orders, since the text ratio has a first text, and each with itself: two
-    offers of different merchants, the one of kind ka with the smaller id, are an edge where their kinds are. So the table
-    grows with kinds, not with pairs of offers; ``offer_edges`` has these. ``named``: the stored ``listings`` of the rows.
+    kind. Kinds are edges in both orders, since the text ratio has a first text, and each with itself: two offers of
+    different merchants, the one of kind ka with the smaller id, are an edge where their kinds are. So the table grows
+    with kinds, not with pairs of offers; ``offer_edges`` has these. Kinds that are equal in TITLED have one text, and
+    texts are paired and scored once, for all brands and GTINs they come with; only those that reach the score are
+    joined with their kinds. ``named``: the stored ``listings`` of the rows.
     """
     if named is None:
         named = materialize(listings(rows, settings), "listings")
-    look = F.sha2(F.to_json(F.struct(*MATCHED)), 256)
-    kinds = named.select(look.alias("look"), *MATCHED).dropDuplicates(["look"])
-    kinds = materialize(kinds.withColumn("offer_id", F.monotonically_increasing_id()), "kinds")
-    numbered = named.withColumn("look", look).join(kinds.select("look", F.col("offer_id").alias("kind")), "look")
+    digest = lambda columns: F.sha2(F.to_json(F.struct(*columns)), 256)
+    kinds = named.select(digest(MATCHED).alias("look"), digest(TITLED).alias("title_look"), *MATCHED).dropDuplicates(["look"])
+    kinds = materialize(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    numbered = named.withColumn("look", digest(MATCHED)).join(kinds.select("look", "kind"), "look")
     own = F.coalesce(F.concat(F.lit("gtin:"), "valid_gtin"), F.col("kind").cast("string"))
     of = _of_listing(rows.select("offer_id", "merchant_id", *LISTING), numbered.select(*LISTING, "kind", own.alias("own")))
     of = materialize(of.select("offer_id", "merchant_id", "kind", "own"), "kinds-of-offers")
-    kinds = kinds.drop("look")
-    pairs = materialize(candidate_pairs(kinds.withColumn("merchant_id", F.col("offer_id")), settings), "kind-pairs")
-    same = kinds.select(F.col("offer_id").alias("a"), F.col("offer_id").alias("b"))
+    texts = kinds.select("title_look", *TITLED).dropDuplicates(["title_look"])
+    texts = materialize(texts.withColumns({"offer_id": F.monotonically_increasing_id(), "letters": letter_counts(F.col("norm"))}), "texts")
+    branded = kinds.where("brand_key <> ''").join(texts.select("title_look", F.col("offer_id").alias("text")), "title_look")
+    branded = materialize(branded.select("kind", "text", "brand_key", F.col("valid_gtin").isNotNull().alias("coded")), "branded-kinds")
+    # a text whose kinds of a brand all have a GTIN
+    offered = branded.groupBy(F.col("text").alias("offer_id"), "brand_key").agg(F.bool_and("coded").alias("coded")).join(texts, "offer_id")
+    pairs = materialize(title_pairs(offered.withColumn("merchant_id", F.col("offer_id")), settings), "text-pairs")
+    same = texts.select(F.col("offer_id").alias("a"), F.col("offer_id").alias("b"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
-    # kinds have no merchant, so that a kind can match itself
-    scored = scored_pairs(kinds.withColumn("merchant_id", F.lit(None).cast("string")), pairs, settings).where(F.col("score") >= settings.min_score)
-    return of, materialize(scored.withColumnsRenamed({"a": "ka", "b": "kb"}), "kind-edges")
+    # texts have no merchant, so that one can match itself, and the brand is one
+    none = F.lit(None).cast("string")
+    alone = texts.withColumns({"merchant_id": none, "valid_gtin": none, "brand_key": F.lit("one")})
+    near = materialize(scored_pairs(alone, pairs, settings).where(F.col("score") >= settings.min_score), "text-edges")
+    side = lambda t, k, c: branded.select(F.col("text").alias(t), "brand_key", F.col("kind").alias(k), F.col("coded").alias(c))
+    titled = near.join(side("a", "ka", "ca"), "a").join(side("b", "kb", "cb"), ["b", "brand_key"]).where("not (ca and cb)").select("ka", "kb", "score", "reason")
+    coded = kinds.where("valid_gtin is not null")
+    equal = coded.select("valid_gtin", F.col("kind").alias("ka")).join(coded.select("valid_gtin", F.col("kind").alias("kb")), "valid_gtin")
+    equal = equal.select("ka", "kb", F.lit(100.0).alias("score"), F.lit("gtin").alias("reason")).where(F.col("score") >= settings.min_score)
+    return of, materialize(titled.unionByName(equal), "kind-edges")
 
 
 def offer_edges(of: DataFrame, scored: DataFrame, part: Column | None = None) -> DataFrame:

@@ -67,6 +67,31 @@ def test_low_threshold_uses_brands(spark):
         Settings(min_score=0)
 
 
+def test_pairs_that_cant_reach_the_score_are_not_made(spark):
+    """Titles that share one word of two and a volume, in other letters: 900 pairs meet by that word, none can be an edge."""
+    titles = [f"{x * 7} {y * 7} 500 ml" for x in "abcdefghij" for y in "qrstuvwxyz"]
+    featured = matching.with_features(rows(spark, [(str(k), "B", t, None) for k, t in enumerate(titles)]))
+    assert matching.candidate_pairs(featured).count() == 0
+    one_more = matching.with_features(rows(spark, [(str(k), "B", t, None) for k, t in enumerate([*titles, "aaaaaaa qqqqqqq 500 ml classic"])]))
+    assert [tuple(r) for r in matching.candidate_pairs(one_more).collect()] == [("o000", "o100")]
+
+
+def test_texts_are_compared_once_for_all_brands(spark, monkeypatch):
+    """The same titles of 12 brands, with and without a GTIN: as many texts are compared as for one brand."""
+    compared, scored_pairs = [], matching.scored_pairs
+    monkeypatch.setattr(matching, "scored_pairs", lambda featured, pairs, *a, **k: (compared.append(pairs.count()), scored_pairs(featured, pairs, *a, **k))[1])
+    titles = [f"icon flask steel {w} 500 ml" for w in ("cup", "cap", "cop", "cut")]
+    gtins = ["4006381333931", "12345670", None, None]
+    counts = []
+    for brands in (1, 12):
+        cases = [(m, f"B{b}", t, g if b == 0 and m == "m" else None) for b in range(brands) for m in "mn" for t, g in zip(titles, gtins)]
+        counts.append(matching.kind_edges(rows(spark, cases))[1].groupBy("reason").count().collect())
+    one, many = ({r.reason: r["count"] for r in c} for c in counts)
+    assert compared[0] == compared[1] == 16
+    # six kinds of the first brand, two of them with a GTIN and so only an edge of themselves and of those without; four of each other brand
+    assert one == {"gtin": 2, "heuristic": 16 + 2 * 2 * 4} and many == {"gtin": 2, "heuristic": one["heuristic"] + 11 * 16}
+
+
 def merge(edges, merchant):
     """One pass over all edges by falling score, then ids: two groups merge if no merchant comes twice and each pair
     between them is an edge. (members, slot): the slot is the first member of the group of the edge's first end."""
